@@ -219,10 +219,15 @@ def targets_or_sources(target: DataFrame, primary: DataFrame) -> DataFrame:
 
 
 def mapping_quality(mappings: DataFrame) -> DataFrame:
-    """Per pair: average confidence in percent, warnings, high-confidence columns."""
+    """Per pair: average confidence in percent, warnings, high-confidence columns.
+
+    Confidences have two decimals, so they are averaged as whole percents: the
+    sum is exact and does not depend on the order of the rows.
+    """
+    percent = F.round(F.col("confidence") * F.lit(100.0)).cast("bigint")
     return mappings.groupBy("pair").agg(
         F.count(F.lit(1)).alias("columns"),
-        round_half_up(F.avg("confidence") * F.lit(100.0)).cast("bigint").alias("avg_confidence_pct"),
+        round_half_up(F.avg(percent)).cast("bigint").alias("avg_confidence_pct"),
         F.count_if(F.col("warning").isNotNull()).alias("warnings"),
         F.count_if(F.col("confidence") >= HIGH_CONFIDENCE).alias("high_confidence"),
     )

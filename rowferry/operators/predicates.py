@@ -90,8 +90,9 @@ def _ordered(c: Column, dtype: T.DataType, operator: str, value: str) -> Column:
         bound = F.lit(int(number)) if whole and isinstance(dtype, INTEGRAL) else F.lit(number)
         test = compare(c, bound)
         if isinstance(dtype, FRACTIONAL):
-            if operator in (">", ">="):  # Spark orders NaN above every number
-                test = test & ~F.isnan(c)
+            if operator in (">", ">="):
+                # Spark orders NaN above every number; this form can be pushed.
+                test = test & (c <= F.lit(float("inf")))
         return (test | c.isNull()) if compare(0.0, number) else test
     return compare(number_of(c, dtype), F.lit(number))
 
