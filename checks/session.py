@@ -12,7 +12,8 @@ def local_session(cpus: str = "8", memory: str = "8g") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("rowferry")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
+        # Without it each column expression also records its Python call site.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)

@@ -8,6 +8,7 @@ orders NaN above every number and treats it as equal to itself.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -133,21 +134,10 @@ def key_part(c: Column) -> Column:
 
 # -- serialized size ---------------------------------------------------------
 
-_SHORT_ESCAPES = '"\\\b\f\n\r\t'
-_LONG_ESCAPES = "".join(chr(i) for i in range(32) if chr(i) not in _SHORT_ESCAPES)
-
-
-def _removed(c: Column, chars: str) -> Column:
-    return F.length(c) - F.length(F.translate(c, chars, ""))
-
-
 def _json_value_bytes(c: Column, dtype: T.DataType) -> Column:
     """UTF-8 bytes of one non-null value written as compact JSON."""
     if isinstance(dtype, T.StringType):
-        escaped = _removed(c, _SHORT_ESCAPES) + F.lit(5) * _removed(c, _LONG_ESCAPES)
-        return F.octet_length(c) + F.lit(2) + F.when(
-            c.rlike('["\\\\\\x00-\\x1f]'), escaped
-        ).otherwise(F.lit(0))
+        return F.octet_length(F.to_json(F.array(c))) - F.lit(2)  # without its [ and ]
     if isinstance(dtype, INSTANT + (T.DateType,)):
         return F.lit(26)  # "yyyy-MM-ddTHH:mm:ss.SSSZ" with its quotes
     if isinstance(dtype, FRACTIONAL):
@@ -163,8 +153,8 @@ def row_bytes(schema: T.StructType, present: dict[str, Column] | None = None) ->
     """UTF-8 bytes of a row written as one compact JSON object.
 
     NULL is written as ``null``; a column whose ``present`` expression is false
-    is left out. The size is summed from per-field lengths, so no JSON text is
-    built and the expression stays inside whole-stage codegen.
+    is left out. The size is summed from per-field lengths; only text values,
+    whose escapes matter, are written as JSON for it.
     """
     present = present or {}
     total = F.lit(0)
@@ -191,6 +181,4 @@ def row_bytes(schema: T.StructType, present: dict[str, Column] | None = None) ->
 
 def _label_bytes(name: str) -> int:
     """Bytes of ``"name":`` in JSON."""
-    short = sum(ch in _SHORT_ESCAPES for ch in name)
-    longs = sum(ch in _LONG_ESCAPES for ch in name)
-    return len(name.encode()) + 3 + short + 5 * longs
+    return len(json.dumps(name, ensure_ascii=False).encode()) + 1

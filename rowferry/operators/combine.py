@@ -27,7 +27,7 @@ HOT_KEY_SHARE = 0.001
 #: ... and at least this many rows, below which one task copes easily.
 HOT_KEY_MIN_ROWS = 100_000
 _HOT_KEYS_MAX = 1000
-_HOT_KEYS_TRACKED = 20_000
+_HOT_KEYS_TRACKED = 8_000
 
 
 @dataclass(frozen=True)
@@ -59,20 +59,26 @@ def _key(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
 
 
-def hot_keys(right: DataFrame, key: Column) -> list[str]:
-    """Keys holding a large share of ``right``, at most 1000 by construction.
+def hot_keys(sides: dict[int, tuple[DataFrame, Column]]) -> dict[int, list[str]]:
+    """Keys holding a large share of each side, at most 1000 per side by construction.
 
-    One pass over the key column with a bounded sketch per task, no shuffle of
-    keys. The counts are estimates, which only decides how work is spread: every
-    key listed does occur, and the join gives the same rows for any list.
+    One job for all sides: a pass over their key columns with a bounded sketch
+    per task, no shuffle of keys. The counts are estimates, which only decides
+    how work is spread: every key listed does occur, and the join gives the same
+    rows for any list.
     """
-    found = right.select(key.alias("k")).agg(
-        F.expr(f"approx_top_k(k, {_HOT_KEYS_MAX}, {_HOT_KEYS_TRACKED})").alias("top"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    if not sides:
+        return {}
+    top = F.expr(f"approx_top_k(k, {_HOT_KEYS_MAX}, {_HOT_KEYS_TRACKED})")
+    found = [
+        side.select(key.alias("k")).agg(top.alias("top"), F.count(F.lit(1)).alias("n"))
+        .select(F.lit(i).alias("i"), "top", "n")
+        for i, (side, key) in sides.items()
+    ]
     least = F.greatest(F.col("n") * F.lit(HOT_KEY_SHARE), F.lit(float(HOT_KEY_MIN_ROWS)))
-    hot = found.select("n", F.explode("top").alias("t")).filter(F.col("t.count") >= least)
-    return [row["item"] for row in hot.select("t.item").collect()]
+    hot = reduce(DataFrame.unionAll, found).select(
+        "i", F.filter("top", lambda t: t["count"] >= least)["item"].alias("items"))
+    return {row["i"]: list(row["items"]) for row in hot.collect()}
 
 
 def _split_left_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
@@ -110,7 +116,24 @@ def _same_integers(left: DataFrame, right: DataFrame, spec: SourceSpec) -> bool:
     )
 
 
-def _join(state: Combined, spec: SourceSpec, number: int) -> Combined:
+def _splits(spec: SourceSpec) -> int:
+    """Tasks to spread a hot key of this source over; 0 for none.
+
+    Inner joins are left to adaptive execution, which can divide either side.
+    """
+    if spec.join_type == "inner" or spec.split_hot_keys in (0, 1):
+        return 0
+    return spec.split_hot_keys or HOT_KEY_SPLITS
+
+
+def _find_hot_keys(joins: Sequence[SourceSpec]) -> dict[int, list[str]]:
+    return hot_keys({
+        i: (spec.df, _key(spec.df, [b for _, b in spec.on]))
+        for i, spec in enumerate(joins) if _splits(spec)
+    })
+
+
+def _join(state: Combined, spec: SourceSpec, number: int, hot: list[str]) -> Combined:
     left = state.df
     marker = f"__m{number}"
     prefix = f"__j{number}."
@@ -127,10 +150,8 @@ def _join(state: Combined, spec: SourceSpec, number: int) -> Combined:
         usable = [text_of(_c(b), _dtype(right, b)) != "" for b in theirs]
         right = right.filter(reduce(lambda a, b: a & b, usable))
 
-    splits = HOT_KEY_SPLITS if spec.split_hot_keys is None else spec.split_hot_keys
-    hot = hot_keys(right, right_key) if splits > 1 and not inner else []
     if hot:
-        joined = _split_left_join(left, right, left_key, right_key, marker, splits, hot)
+        joined = _split_left_join(left, right, left_key, right_key, marker, _splits(spec), hot)
     else:
         if _same_integers(left, spec.df, spec):
             pairs = [
@@ -241,10 +262,11 @@ def combine(primary: DataFrame, sources: Sequence[SourceSpec] = (),
 
     if joins:
         state = Combined(capped(primary))
+        if row_cap is not None:
+            joins = [replace(spec, df=capped(spec.df)) for spec in joins]
+        hot = _find_hot_keys(joins) if row_cap is None else {}
         for i, spec in enumerate(joins):
-            if row_cap is not None:
-                spec = replace(spec, df=capped(spec.df))
-            state = _join(state, spec, i)
+            state = _join(state, spec, i, hot.get(i, []))
     else:
         state = Combined(capped(_narrow(primary, wanted)))
 

@@ -59,7 +59,8 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 
 def score(s: Column, t: Column) -> Column:
-    """Score of a source column and a target column, as structs of :func:`_described`."""
+    """Score of a source column and a target column, each a struct with
+    its normalised name ``norm`` and type class ``cls``."""
     same = F.when(s["cls"] == t["cls"], F.lit(TYPE_WEIGHT)).otherwise(F.lit(0.0))
     return name_similarity(s["norm"], t["norm"]) * F.lit(NAME_WEIGHT) + same
 
@@ -75,81 +76,80 @@ def type_warning(s_type: Column, t_type: Column) -> Column:
     return F.when(type_class(s_type) != type_class(t_type), text)
 
 
-def _described(columns: DataFrame, side: str) -> DataFrame:
-    one = F.struct(
-        F.col("ordinal").alias("ordinal"), F.col("name").alias("name"),
-        F.col("type").alias("type"), normalized(F.col("name")).alias("norm"),
-        type_class(F.col("type")).alias("cls"),
-    )
-    return columns.select("pair", F.lit(side).alias("side"), one.alias("c"))
+def _by_pair(source: DataFrame, target: DataFrame) -> DataFrame:
+    """One row per pair with both column lists, each in table order and numbered from 0.
 
+    A name listed twice counts once, where it comes first. Normalised names and
+    type classes are worked out after the shuffle, which need not carry them.
+    """
+    def tagged(df: DataFrame, side: str) -> DataFrame:
+        return df.select("pair", F.lit(side).alias("side"), F.struct("ordinal", "name", "type").alias("c"))
 
-def _by_pair(source: DataFrame, target: DataFrame) -> DataFrame:
-    """One row per pair with both column lists, each in table order and numbered from 0."""
-    both = _described(source, "s").unionByName(_described(target, "t"))
+    def described(c: Column, i: Column) -> Column:
+        return F.struct(i.alias("ordinal"), c["name"].alias("name"), c["type"].alias("type"),
+                        normalized(c["name"]).alias("norm"), type_class(c["type"]).alias("cls"))
 
-    def side(name: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.when(F.col("side") == name, F.col("c"))))
-        return F.transform(ordered, lambda c, i: c.withField("ordinal", i))
+    def columns(side: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("c"))))
+        first = _let(ordered, lambda cs: F.filter(
+            cs, lambda c, i: F.array_position(cs["name"], c["name"]) == i + 1))
+        return F.transform(first, described)
 
-    return both.groupBy("pair").agg(side("s").alias("ss"), side("t").alias("ts"))
+    both = tagged(source, "s").unionByName(tagged(target, "t"))
+    return both.groupBy("pair").agg(columns("s").alias("ss"), columns("t").alias("ts"))
 
 
-_STATE = ("struct<used:array<string>,rest:array<struct<ordinal:int,name:string,type:string,"
-          "norm:string,cls:string>>,found:array<struct<s:struct<ordinal:int,name:string,"
-          "type:string,norm:string,cls:string>,t:struct<ordinal:int,name:string,type:string,"
-          "norm:string,cls:string>,score:double>>>")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also inside a lambda."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _start() -> Column:
-    return F.struct(
-        F.array().alias("used"), F.array().alias("rest"), F.array().alias("found")
-    ).cast(_STATE)
+_COLUMN = "struct<ordinal:int,name:string,type:string,norm:string,cls:string>"
+#: What the fold over a pair's source columns carries: targets still free,
+#: sources put off to the fuzzy pass, and matches found.
+_STATE = (f"struct<free:array<{_COLUMN}>,later:array<{_COLUMN}>,"
+          f"found:array<struct<s:{_COLUMN},t:{_COLUMN},score:double>>>")
 
 
-def _free(targets: Column, used: Column) -> Column:
-    return F.filter(targets, lambda t: ~F.array_contains(used, t["name"]))
+def _state(free: Column, later: Column, found: Column) -> Column:
+    return F.struct(free.alias("free"), later.alias("later"), found.alias("found"))
 
 
 def _take(state: Column, s: Column, t: Column, value: Column) -> Column:
     """The state after source ``s`` got target ``t``."""
-    pair = F.struct(s.alias("s"), t.alias("t"), value.alias("score"))
-    return F.struct(
-        F.concat(state["used"], F.array(t["name"])).alias("used"),
-        state["rest"].alias("rest"),
-        F.concat(state["found"], F.array(pair)).alias("found"),
-    ).cast(_STATE)
-
-
-def _skip(state: Column, s: Column) -> Column:
-    return F.struct(
-        state["used"].alias("used"), F.concat(state["rest"], F.array(s)).alias("rest"),
-        state["found"].alias("found"),
-    ).cast(_STATE)
+    match = F.struct(s.alias("s"), t.alias("t"), value.alias("score"))
+    return _state(
+        F.filter(state["free"], lambda f: f["ordinal"] != t["ordinal"]),
+        state["later"], F.concat(state["found"], F.array(match)),
+    )
 
 
-def _exact_step(targets: Column):
+def _exact_step(state: Column, s: Column) -> Column:
     """Same normalised name: the first such target that is free."""
-    def step(state: Column, s: Column) -> Column:
-        hit = F.get(F.filter(_free(targets, state["used"]), lambda t: t["norm"] == s["norm"]), F.lit(0))
+    put_off = _state(state["free"], F.concat(state["later"], F.array(s)), state["found"])
+    first = F.get(F.filter(state["free"], lambda t: t["norm"] == s["norm"]), F.lit(0))
+
+    def settle(hit: Column) -> Column:
         value = F.when(s["cls"] == hit["cls"], F.lit(1.0)).otherwise(F.lit(NAME_WEIGHT))
-        return F.when(hit.isNull(), _skip(state, s)).otherwise(_take(state, s, hit, value))
-    return step
+        return F.when(hit.isNull(), put_off).otherwise(_take(state, s, hit, value))
+
+    return _let(first, settle)
 
 
 def best_target(s: Column, targets: Column) -> Column:
     """Highest score, the first target among equals; NULL without targets."""
-    ranked = F.array_max(F.transform(
+    return F.array_max(F.transform(
         targets, lambda t: F.struct(score(s, t).alias("score"), (-t["ordinal"]).alias("first"),
                                     t.alias("t"))))
-    return ranked
 
 
-def _fuzzy_step(targets: Column, floor: float):
+def _fuzzy_step(floor: float):
     def step(state: Column, s: Column) -> Column:
-        best = best_target(s, _free(targets, state["used"]))
-        good = F.coalesce(best["score"] > F.lit(floor), F.lit(False))
-        return F.when(good, _take(state, s, best["t"], best["score"])).otherwise(state)
+        def settle(best: Column) -> Column:
+            good = F.coalesce(best["score"] > F.lit(floor), F.lit(False))
+            return F.when(good, _take(state, s, best["t"], best["score"])).otherwise(state)
+
+        return _let(best_target(s, state["free"]), settle)
     return step
 
 
@@ -161,11 +161,14 @@ def match_schemas(source: DataFrame, target: DataFrame, floor: float = FLOOR) ->
     score exceeds ``floor``.
     """
     pairs = _by_pair(source, target)
-    ts = F.col("ts")
-    exact = pairs.withColumn("state", F.aggregate("ss", _start(), _exact_step(ts)))
-    settled = exact.withColumn(
-        "state", F.aggregate(F.col("state")["rest"], F.col("state"), _fuzzy_step(ts, floor)))
-    found = settled.select("pair", F.explode(F.col("state")["found"]).alias("m"))
+    start = _state(F.col("ts"), F.array(), F.array()).cast(_STATE)
+    found = _let(
+        F.aggregate("ss", start, _exact_step),
+        lambda state: F.aggregate(state["later"], state, _fuzzy_step(floor))["found"],
+    )
+    # The outer form of explode: the plain one makes the optimizer add a filter
+    # on the array, and with it a second evaluation of the whole fold.
+    found = pairs.select("pair", F.explode_outer(found).alias("m")).filter(F.col("m").isNotNull())
     return found.select(
         "pair",
         F.col("m.s.ordinal").alias("source_ordinal"),
@@ -179,9 +182,9 @@ def match_schemas(source: DataFrame, target: DataFrame, floor: float = FLOOR) ->
 def best_candidates(source: DataFrame, target: DataFrame) -> DataFrame:
     """Best target of every source column regardless of what others take."""
     pairs = _by_pair(source, target)
-    each = pairs.select("pair", "ts", F.explode("ss").alias("s"))
-    best = each.withColumn("b", best_target(F.col("s"), F.col("ts")))
-    return best.filter(F.col("b").isNotNull()).select(
+    each = pairs.select("pair", "ts", F.explode_outer("ss").alias("s")).filter(F.col("s").isNotNull())
+    best = each.filter(F.size("ts") > 0).withColumn("b", best_target(F.col("s"), F.col("ts")))
+    return best.select(
         "pair", F.col("s.name").alias("source_col"), F.col("b.t.name").alias("target_col"),
         F.col("b.score").alias("score"),
     )

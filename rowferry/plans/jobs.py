@@ -23,7 +23,7 @@ from rowferry.plans.run import Loaded, run_sync
 from rowferry.plans.spec import (
     Condition, Connector, DestinationSpec, Mapping, SourceSpec, Target,
 )
-from rowferry.sources.readers import file_columns, is_relational, list_columns, read
+from rowferry.sources.readers import read, table_columns
 from rowferry.sources.writers import rewrite_table
 
 RUN_SCHEMA = ("id string, pipeline_id string, direction string, status string, records bigint, "
@@ -208,11 +208,7 @@ def set_status(store: Store, pipeline_id: str, status: str) -> None:
 
 
 def _catalog(store: Store, connector_id: str, table: str, pair: str) -> DataFrame:
-    connector = store.connector(connector_id)
-    if is_relational(connector):
-        columns = list_columns({table: read(store.spark, connector, table)})
-    else:
-        columns = file_columns(store.spark, connector, table)
+    columns = table_columns(store.spark, store.connector(connector_id), table)
     return columns.select(F.lit(pair).alias("pair"), "ordinal", "name", "type")
 
 

@@ -222,39 +222,75 @@ def preview_table(spark: SparkSession, connector: Connector, table: str, n: int
 
 COLUMN_SCHEMA = "table string, ordinal int, name string, type string, nullable boolean"
 
-# Schema that is not shown as a prefix, per system.
+# Schema that is not shown as a prefix, per system, and the system
+# schemas that are not listed.
 DEFAULT_SCHEMAS = {"mssql": "dbo", "postgresql": "public", "supabase": "public"}
+SYSTEM_SCHEMAS = {"postgresql": ("pg_catalog", "information_schema"),
+                  "supabase": ("pg_catalog", "information_schema")}
 
 
-def list_tables_query(connector: Connector) -> str:
-    """Catalog query listing base tables by schema and name."""
+def _catalog(spark: SparkSession, connector: Connector, what: str, **options: str) -> DataFrame:
+    """A catalog view of the database; filters and columns are pushed to it."""
     if connector.type == "oracle":
-        return "SELECT table_name AS name FROM user_tables ORDER BY table_name"
+        view = {"tables": "user_tables", "columns": "user_tab_columns"}[what]
+    else:
+        view = f"information_schema.{what}"
+    return spark.read.format("jdbc").options(**jdbc_options(connector, **options)).option(
+        "dbtable", view).load()
+
+
+def tables_in(catalog: DataFrame, connector: Connector) -> DataFrame:
+    """Base tables of a catalog by schema and name, the default schema unprefixed."""
+    if connector.type == "oracle":  # its catalog shows the user's own tables only
+        return catalog.select(F.col("table_name").alias("name")).orderBy("name")
+    base = catalog.filter(F.col("table_type") == "BASE TABLE")
     if connector.type == "mysql":
-        return ("SELECT table_name AS name FROM information_schema.tables "
-                "WHERE table_schema = DATABASE() AND table_type = 'BASE TABLE' "
-                "ORDER BY table_name")
-    home = DEFAULT_SCHEMAS[connector.type]
-    shown = f"CASE WHEN table_schema = '{home}' THEN table_name ELSE "
-    if connector.type == "mssql":
-        return ("SELECT TOP 100 PERCENT " + shown + "table_schema + '.' + table_name END AS name "
-                "FROM information_schema.tables WHERE table_type = 'BASE TABLE' "
-                "ORDER BY table_schema, table_name")
-    return ("SELECT " + shown + "table_schema || '.' || table_name END AS name "
-            "FROM information_schema.tables WHERE table_type = 'BASE TABLE' "
-            "AND table_schema NOT IN ('pg_catalog', 'information_schema') "
-            "ORDER BY table_schema, table_name")
+        mine = base.filter(F.col("table_schema") == connector.database)
+        return mine.select(F.col("table_name").alias("name")).orderBy("name")
+    hidden = SYSTEM_SCHEMAS.get(connector.type, ())
+    if hidden:
+        base = base.filter(~F.col("table_schema").isin(*hidden))
+    plain = F.col("table_schema") == DEFAULT_SCHEMAS[connector.type]
+    name = F.when(plain, F.col("table_name")).otherwise(F.concat_ws(".", "table_schema", "table_name"))
+    return base.orderBy("table_schema", "table_name").select(name.alias("name"))
+
+
+def columns_in(catalog: DataFrame, connector: Connector, table: str) -> DataFrame:
+    """Columns of one table with the type names the database uses."""
+    if connector.type == "oracle":
+        name = table.split(".")[-1].upper()
+        rows = catalog.filter(F.col("table_name") == name)
+        place, kind, null = F.col("column_id"), F.col("data_type"), F.col("nullable") == "Y"
+    else:
+        if connector.type == "mysql":
+            schema, name = connector.database, table
+        else:
+            *front, name = table.split(".")
+            schema = front[0] if front else DEFAULT_SCHEMAS[connector.type]
+        rows = catalog.filter((F.col("table_schema") == schema) & (F.col("table_name") == name))
+        place, kind, null = F.col("ordinal_position"), F.col("data_type"), F.col("is_nullable") == "YES"
+    return rows.select(
+        F.lit(table).alias("table"), (place - 1).cast("int").alias("ordinal"),
+        F.col("column_name").alias("name"), kind.alias("type"), null.alias("nullable"),
+    ).orderBy("ordinal")
 
 
 def list_tables(spark: SparkSession, connector: Connector, **options: str) -> DataFrame:
     """Names of the tables, or of the CSV, JSON and Parquet files of a store."""
     require_supported(connector)
     if is_relational(connector):
-        return spark.read.format("jdbc").options(
-            **jdbc_options(connector, query=list_tables_query(connector), **options)).load()
+        return tables_in(_catalog(spark, connector, "tables", **options), connector)
     return list_files(spark, file_uri(connector, ""), {**store_options(connector), **options})
 
 
+def table_columns(spark: SparkSession, connector: Connector, table: str, **options: str) -> DataFrame:
+    """Columns of one table or file."""
+    require_supported(connector)
+    if is_relational(connector):
+        return columns_in(_catalog(spark, connector, "columns", **options), connector, table)
+    return file_columns(spark, connector, table)
+
+
 def list_files(spark: SparkSession, folder: str, options: dict[str, str] | None = None) -> DataFrame:
     """Data files below ``folder`` by name. Only the listing is read, no content."""
     files = (

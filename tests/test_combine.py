@@ -170,7 +170,7 @@ def test_hot_right_keys_are_split_and_whole(spark, monkeypatch, typed):
         F.when(F.col("id") % 6 == 0, -1).otherwise(F.col("id")).alias("v"))
     left = spark.createDataFrame([(i, k) for i, k in enumerate([7, 7, 1, 2, 3, 99999, None])], "i int, k bigint")
     left = left.withColumn("k", F.col("k").cast(kind))
-    assert hot_keys(right, F.col("k2").cast("string")) == ["7"]
+    assert hot_keys({3: (right, F.col("k2").cast("string"))}) == {3: ["7"]}
     split = combine(left, [SourceSpec(right, "join", "left", (("k", "k2"),))])
     plain = combine(left, [SourceSpec(right, "join", "left", (("k", "k2"),), split_hot_keys=0)])
     assert "rand(17)" in split.df._jdf.queryExecution().optimizedPlan().toString()

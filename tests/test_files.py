@@ -105,10 +105,33 @@ def test_database_options(kind, url, table, query):
     o = R.jdbc_options(c, "dbo.t", numPartitions=8)
     assert (o["url"], o["dbtable"], o["user"], o["numPartitions"]) == (url, table, "u", "8")
     assert R.first_rows_query(c, "dbo.t", 5) == query
-    assert "FROM" in R.list_tables_query(c)
     assert "secret" not in repr(c)
 
 
+INFO = "table_schema string, table_name string, table_type string"
+COLS = "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string"
+
+
+@pytest.mark.parametrize("kind,want", [
+    ("mssql", ["a", "z", "pg_catalog.t", "sales.b"]), ("postgresql", ["dbo.a", "dbo.z", "sales.b"]), ("mysql", ["b"])])
+def test_tables_of_a_catalog(spark, kind, want):
+    info = spark.createDataFrame([("sales", "b", "BASE TABLE"), ("dbo", "z", "BASE TABLE"), ("dbo", "a", "BASE TABLE"),
+                                  ("dbo", "v", "VIEW"), ("pg_catalog", "t", "BASE TABLE")], INFO)
+    assert [r.name for r in R.tables_in(info, Connector(kind, "sales")).collect()] == want
+
+
+def test_columns_of_a_catalog(spark):
+    info = spark.createDataFrame([("dbo", "t", "b", 2, "varchar", "YES"), ("dbo", "t", "a", 1, "int", "NO"),
+                                  ("s", "t", "x", 1, "int", "NO")], COLS)
+    want = [(0, "a", "int", False), (1, "b", "varchar", True)]
+    for table in ("t", "dbo.t"):
+        got = R.columns_in(info, Connector("mssql", "d"), table).collect()
+        assert [tuple(r)[1:] for r in got] == want
+    assert [r.name for r in R.columns_in(info, Connector("mysql", "s"), "t").collect()] == ["x"]
+    oracle = spark.createDataFrame([("T", "A", 1, "NUMBER", "N")], "table_name string, column_name string, column_id int, data_type string, nullable string")
+    assert tuple(R.columns_in(oracle, Connector("oracle", "d"), "me.t").first())[1:] == (0, "A", "NUMBER", False)
+
+
 def test_store_uris():
     assert R.file_uri(Connector("s3", "bucket"), "x/y.csv") == "s3a://bucket/x/y.csv"
     assert R.file_uri(Connector("azure_blob", "box", username="acct"), "y.json") == "abfss://box@acct.dfs.core.windows.net/y.json"
