@@ -1,5 +1,8 @@
 """Deletes, updates and replacements over the configuration tables.
 
+Lists of ids are measured first: a small one is broadcast, so that the tables
+and logs it applies to are scanned without a shuffle; a large one is joined.
+
 Each takes frames and returns frames; write the result back with
 :func:`rowferry.sources.writers.rewrite_table`.
 """
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.functions.coerce import key_part
+from rowferry.operators.sizing import broadcast_if_small
 
 # Tables whose rows go with their pipeline, and logs that stay
 # with the reference cleared.
@@ -28,46 +32,56 @@ def delete_pipelines(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str,
     Children go too, conditions through their destination; log entries stay and
     lose the reference. Tables not passed in are ignored.
     """
-    doomed = ids.select(F.col("id").alias("__gone")).distinct()
+    doomed = _gone(ids, "id")
     out = dict(tables)
     if "pipelines" in tables:
-        out["pipelines"] = tables["pipelines"].join(
-            doomed, F.col("id") == F.col("__gone"), "left_anti")
+        out["pipelines"] = _without(tables["pipelines"], doomed, "id")
     for name in CHILD_TABLES:
         if name in tables:
-            out[name] = tables[name].join(
-                doomed, F.col("pipeline_id") == F.col("__gone"), "left_anti")
+            out[name] = _without(tables[name], doomed, "pipeline_id")
     if CONDITIONS in tables and "pipeline_destinations" in tables:
         dead = tables["pipeline_destinations"].join(
             doomed, F.col("pipeline_id") == F.col("__gone"), "left_semi"
-        ).select(F.col("id").alias("id"))
+        ).select("id")
         out[CONDITIONS] = delete_children(tables[CONDITIONS], dead, "destination_id")
     for name in KEPT_LOGS:
         if name in tables:
-            out[name] = clear_reference(tables[name], ids, "pipeline_id")
+            out[name] = _clear(tables[name], doomed, "pipeline_id")
     return out
 
 
+def _gone(ids: DataFrame, column: str) -> DataFrame:
+    """Distinct ids as ``__gone``, broadcast if there are few."""
+    return broadcast_if_small(ids.select(F.col(column).alias("__gone")).distinct())
+
+
+def _without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+
+
+def _clear(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    joined = df.join(gone, F.col(key) == F.col("__gone"), "left")
+    cleared = F.when(F.col("__gone").isNull(), F.col(key))
+    return joined.select(*[cleared.alias(c) if c == key else F.col(c) for c in df.columns])
+
+
 def delete_children(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is not among ``ids``; rows without a key stay."""
-    doomed = ids.select(F.col("id").alias("__gone"))
-    return df.join(doomed, F.col(key) == F.col("__gone"), "left_anti")
+    return _without(df, _gone(ids, "id"), key)
 
 
 def delete_destinations(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Destinations and their conditions without the ones listed in ``ids``."""
     out = dict(tables)
-    out["pipeline_destinations"] = delete_children(tables["pipeline_destinations"], ids, "id")
-    out[CONDITIONS] = delete_children(tables[CONDITIONS], ids, "destination_id")
+    doomed = _gone(ids, "id")
+    out["pipeline_destinations"] = _without(tables["pipeline_destinations"], doomed, "id")
+    out[CONDITIONS] = _without(tables[CONDITIONS], doomed, "destination_id")
     return out
 
 
 def clear_reference(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Keep every row, with ``key`` set to NULL where it is among ``ids``."""
-    gone = ids.select(F.col("id").alias("__gone")).distinct()
-    joined = df.join(gone, F.col(key) == F.col("__gone"), "left")
-    cleared = F.when(F.col("__gone").isNull(), F.col(key))
-    return joined.select(*[cleared.alias(c) if c == key else F.col(c) for c in df.columns])
+    return _clear(df, _gone(ids, "id"), key)
 
 
 def referenced_connectors(tables: dict[str, DataFrame]) -> DataFrame:
@@ -98,8 +112,7 @@ def replace_by_key(df: DataFrame, snapshot: DataFrame, keys: DataFrame, key: str
 
     The keys are listed apart from the snapshot, so an empty snapshot clears.
     """
-    doomed = keys.select(F.col(key).alias("__key")).distinct()
-    kept = df.join(doomed, F.col(key) == F.col("__key"), "left_anti")
+    kept = _without(df, _gone(keys, key), key)
     return kept.unionByName(snapshot.select(*df.columns))
 
 

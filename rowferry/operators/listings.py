@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.functions.coerce import or_default
+from rowferry.operators.sizing import broadcast_if_small
 
 # Lengths of the listings.
 RECENT_RUNS = 50
@@ -195,7 +196,7 @@ def distinct_ids(df: DataFrame, column: str) -> DataFrame:
 
 def unresolved(df: DataFrame, connectors: DataFrame, key: str) -> DataFrame:
     """Rows referring to a connector that does not exist."""
-    return df.join(connectors.select(F.col("id").alias("__cid")),
-                   F.col(key) == F.col("__cid"), "left_anti")
+    known = broadcast_if_small(connectors.select(F.col("id").alias("__cid")))
+    return df.join(known, F.col(key) == F.col("__cid"), "left_anti")
 
 

@@ -199,3 +199,26 @@ def test_conflict_policies(spark, policy, want):
     t = spark.createDataFrame([(1, "b", 5), (3, "s", 1)], "id int, v string, n int")
     rows = I.conflicts(s, t, ["id"], "t", policy).collect()
     assert [(r.column_name, r.source_value, r.target_value, r.resolved_value) for r in rows] == [("v", "a", "b", want)]
+
+
+# -- sizes -------------------------------------------------------------------
+
+def test_broadcast_only_below_the_bounds(spark, monkeypatch):
+    from rowferry.operators import sizing
+
+    log = spark.range(100).selectExpr("id", "concat('k', id % 10) as pipeline_id")
+    ids = spark.createDataFrame([("k1",), ("k2",), ("k2",)], "id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def plan(df):
+            return df._jdf.queryExecution().executedPlan().toString()
+
+        small = C.delete_children(log, ids, "pipeline_id")
+        assert "BroadcastHashJoin" in plan(small) and small.count() == 80
+        for name in ("BROADCAST_ROWS", "BROADCAST_BYTES"):
+            with monkeypatch.context() as m:
+                m.setattr(sizing, name, 1)
+                large = C.delete_children(log, ids, "pipeline_id")
+                assert "SortMergeJoin" in plan(large) and large.count() == 80
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
