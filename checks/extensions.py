@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from rowferry.operators import incremental as I
+from rowferry.operators.metering import usage_throughput as throughput_of_usage
 from rowferry.plans.spec import Condition, DestinationSpec, Mapping
 from rowferry.session import scratch_path
 from rowferry.streaming.live import hourly_by_direction, stream_fanout, write_stream
@@ -67,9 +68,8 @@ def stream_fanout_all(t):
     q = stream_fanout(_event_stream(t), [Mapping("event_id", "id"), Mapping("event_type", "kind")], dests,
                       out, scratch_path(t.spark, "offsets"))
     q.awaitTermination()
-    parts = [t.spark.read.parquet(f"{out}/{d}").select(F.lit(d).alias("destination_id"), "id", "kind")
-             for d in ("primary", "purchases", "valuable")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return t.spark.read.parquet(out).select(
+        F.col("destination_id").cast("string").alias("destination_id"), "id", "kind")
 
 
 @query("""
@@ -92,3 +92,11 @@ def stream_hourly(t):
         "cloud_bound", "on_prem_bound", "bidirectional")
     write_stream(hourly, out, scratch_path(t.spark, "offsets")).awaitTermination()
     return t.spark.read.schema(hourly.schema).parquet(out)
+
+
+@query("""
+    SELECT id, case when compute_ms > 0 then round(records / (compute_ms / 1000.0e0), 8) end AS rows_per_sec,
+      case when compute_ms > 0 then round(bytes / (compute_ms / 1000.0e0), 8) end AS bytes_per_sec FROM metering_events""")
+def usage_throughput(t):
+    rates = throughput_of_usage(t.metering_events)
+    return rates.select("id", *[F.round(c, 8).alias(c) for c in ("rows_per_sec", "bytes_per_sec")])

@@ -11,8 +11,9 @@ from rowferry.operators.combine import combine
 from rowferry.operators.fanout import fanout_summary, run_totals
 from rowferry.operators.predicates import condition, conditions, flag
 from rowferry.operators.remap import cast_failures, remap
-from rowferry.plans.run import result_frame, run_sync
+from rowferry.plans.run import result_frame, run_partitioned, run_sync
 from rowferry.plans.spec import Condition, DestinationSpec, Mapping, SourceSpec, Target
+from rowferry.session import scratch_path
 from rowferry.sources.readers import read
 from rowferry.sources.writers import scratch_target
 
@@ -82,6 +83,21 @@ def run_loads(t):
     return result_frame(t.spark, loaded)
 
 
+@query("""
+    WITH r AS (SELECT * FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)
+    SELECT destination_id, o_orderkey AS order_id, c_name AS customer, n_name AS nation, o_totalprice AS amount,
+      o_orderpriority AS priority FROM (
+      SELECT 'primary' AS destination_id, * FROM r
+      UNION ALL SELECT 'large_building', * FROM r WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 200000
+      UNION ALL SELECT 'final_or_urgent', * FROM r WHERE o_orderstatus = 'F' OR lower(o_orderpriority) LIKE '%urgent%')""")
+def run_partitioned_loads(t):
+    """All destinations loaded in one pass, then read back."""
+    return run_partitioned(
+        t.orders, ORDER_MAPPINGS, scratch_path(t.spark, "partitioned"),
+        [SourceSpec(t.customer, "join", "left", (("o_custkey", "c_custkey"),)),
+         SourceSpec(t.nation, "join", "left", (("c_nationkey", "n_nationkey"),))], ORDER_DESTINATIONS)
+
+
 # -- joins -------------------------------------------------------------------
 
 @query("""

@@ -28,6 +28,21 @@ def destination_rows(combined: Combined, dest: DestinationSpec, mappings: Sequen
     return remap(combined.df.filter(destination_filter(combined, dest, compare)), mappings)
 
 
+def fanout_rows(combined: Combined, mappings: Sequence[Mapping],
+                destinations: Sequence[DestinationSpec] = (), compare: str = "loose",
+                carry: Sequence[Column] = ()) -> DataFrame:
+    """Every mapped row once for the primary target and once per destination it meets.
+
+    ``destination_id`` says for whom. One pass whatever the number of
+    destinations; rows are repeated where they are, nothing is shuffled.
+    """
+    wanted = F.array_compact(F.array(F.lit(PRIMARY), *[
+        F.when(destination_filter(combined, d, compare), F.lit(d.id)) for d in destinations
+    ]))
+    return combined.df.select(F.explode(wanted).alias("destination_id"),
+                              *mapping_columns(combined.df, mappings), *carry)
+
+
 def mapped_with_bytes(combined: Combined, mappings: Sequence[Mapping],
                       carry: Sequence[Column] = ()) -> DataFrame:
     """Mapped rows with ``__bytes``, the serialized size of each, and ``carry``.

@@ -32,6 +32,9 @@ TYPE_CLASSES = [
     ("boolean", "bool"),
 ]
 HIGH_CONFIDENCE = 0.9
+# Fixed value: warning where the type classes differ, around the two type names.
+WARNING = ("Type mismatch: source is ", ", target is ",
+           ". Verify conversion is safe before running.")
 
 
 def normalized(name: Column) -> Column:
@@ -71,8 +74,8 @@ def shown_confidence(value: Column) -> Column:
 
 def type_warning(s_type: Column, t_type: Column) -> Column:
     """Warning text, NULL where the type classes agree."""
-    text = F.concat(F.lit("Type mismatch: source is "), s_type, F.lit(", target is "), t_type,
-                    F.lit(". Verify conversion is safe before running."))
+    before, between, after = (F.lit(part) for part in WARNING)
+    text = F.concat(before, s_type, between, t_type, after)
     return F.when(type_class(s_type) != type_class(t_type), text)
 
 
@@ -95,7 +98,8 @@ def _by_pair(source: DataFrame, target: DataFrame) -> DataFrame:
             cs, lambda c, i: F.array_position(cs["name"], c["name"]) == i + 1))
         return F.transform(first, described)
 
-    both = tagged(source, "s").unionByName(tagged(target, "t"))
+    # Moved before it is collected: there is nothing to combine on the map side.
+    both = tagged(source, "s").unionByName(tagged(target, "t")).repartition("pair")
     return both.groupBy("pair").agg(columns("s").alias("ss"), columns("t").alias("ts"))
 
 

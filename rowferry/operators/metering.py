@@ -92,3 +92,12 @@ def monthly_charges(events: DataFrame, connectors: DataFrame) -> DataFrame:
         "month", "bytes", count.alias("connectors"),
         monthly_charge(count, F.col("bytes")).alias("charge_usd"),
     )
+
+
+def usage_throughput(events: DataFrame) -> DataFrame:
+    """Rows and bytes per second of metered runs; NULL where no time passed. (extension)"""
+    seconds = F.col("compute_ms") / F.lit(1000.0)
+    return events.select("id", *[
+        F.when(seconds > 0, F.col(c) / seconds).alias(name)
+        for c, name in (("records", "rows_per_sec"), ("bytes", "bytes_per_sec"))
+    ])

@@ -33,6 +33,16 @@ METER_SCHEMA = ("id string, pipeline_id string, direction string, records bigint
 AUDIT_SCHEMA = ("id string, action string, actor string, status string, details string, "
                 "pipeline_id string, records_affected bigint, ts timestamp, day string")
 
+# Messages shown to users and kept in the audit log.
+NOT_FOUND = "Pipeline not found"
+NO_TABLES = "Pipeline is missing a source or target table"
+NO_MAPPING = "No schema mapping exists for this pipeline yet. Map the schema before running."
+RUN_FAILED = 'Sync failed for pipeline "{name}": {error}'
+RUN_DONE = 'Synced {rows} rows for pipeline "{name}"'
+RUN_ALSO = " + {rows} rows across {targets} additional destination(s)"
+RUN_CAPPED = " (capped at {cap})"
+MAP_DONE = 'Mapped {columns} columns for pipeline "{name}"'
+
 
 class JobError(Exception):
     """A transfer that cannot start as configured."""
@@ -108,9 +118,9 @@ def now_utc() -> datetime:
 def _pipeline(store: Store, pipeline_id: str) -> Row:
     found = store.rows("pipelines", id=pipeline_id)
     if not found:
-        raise JobError("Pipeline not found")
+        raise JobError(NOT_FOUND)
     if not found[0].source_table or not found[0].target_table:
-        raise JobError("Pipeline is missing a source or target table")
+        raise JobError(NO_TABLES)
     return found[0]
 
 
@@ -157,7 +167,7 @@ def run_job(store: Store, pipeline_id: str, actor: str, reader: Callable = read,
     mappings = [Mapping(m.source_col, m.target_col)
                 for m in store.rows("schema_mappings", pipeline_id=pipeline_id)]
     if not mappings:
-        raise JobError("No schema mapping exists for this pipeline yet. Map the schema before running.")
+        raise JobError(NO_MAPPING)
     started = now_utc()
     loaded: list[Loaded] = []
     error = None
@@ -194,12 +204,11 @@ def run_job(store: Store, pipeline_id: str, actor: str, reader: Callable = read,
 
 def _run_details(name: str, loaded: list[Loaded], error: str | None, row_cap: int | None) -> str:
     if error:
-        return f'Sync failed for pipeline "{name}": {error}'
-    text = f'Synced {loaded[0].records} rows for pipeline "{name}"'
+        return RUN_FAILED.format(name=name, error=error)
+    text = RUN_DONE.format(rows=loaded[0].records, name=name)
     if len(loaded) > 1:
-        text += (f" + {sum(x.records for x in loaded[1:])} rows across "
-                 f"{len(loaded) - 1} additional destination(s)")
-    return text if row_cap is None else f"{text} (capped at {row_cap})"
+        text += RUN_ALSO.format(rows=sum(x.records for x in loaded[1:]), targets=len(loaded) - 1)
+    return text if row_cap is None else text + RUN_CAPPED.format(cap=row_cap)
 
 
 def set_status(store: Store, pipeline_id: str, status: str) -> None:
@@ -236,5 +245,6 @@ def map_job(store: Store, pipeline_id: str, actor: str) -> DataFrame:
         current = new.limit(0)
     kept = rewrite_table(replace_by_key(current, new, keys, "pipeline_id"), store.path("schema_mappings"))
     mine = kept.filter(F.col("pipeline_id") == pipeline_id)
-    store.audit("schema.map", actor, "success", f'Mapped {mine.count()} columns for pipeline "{p.name}"', pipeline_id)
+    store.audit("schema.map", actor, "success",
+                MAP_DONE.format(columns=mine.count(), name=p.name), pipeline_id)
     return mine

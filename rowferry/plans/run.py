@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowferry.operators.combine import Combined, combine
-from rowferry.operators.fanout import PRIMARY, destination_filter, mapped_with_bytes
+from rowferry.operators.fanout import (
+    PRIMARY, destination_filter, fanout_rows, mapped_with_bytes,
+)
 from rowferry.plans.spec import SYNC_MODES, DestinationSpec, Mapping, SourceSpec, Target
 from rowferry.session import stage
 from rowferry.sources.writers import write
@@ -100,6 +102,26 @@ def run_sync(primary: DataFrame, mappings: Sequence[Mapping], target: Target,
     return done
 
 
+def run_partitioned(primary: DataFrame, mappings: Sequence[Mapping], path: str,
+                    sources: Sequence[SourceSpec] = (), destinations: Sequence[DestinationSpec] = (),
+                    mode: str = "append", compare: str = "loose") -> DataFrame:
+    """Load all destinations in one pass into one Parquet folder, partitioned by them.
+
+    For many destinations on the same storage: the sources are read and joined
+    once, nothing is staged, and ``path/destination_id=<id>`` holds the rows of a
+    destination. ``truncate_reload`` replaces the whole folder, which must not be
+    among the sources. Returns a scan of the folder.
+    """
+    if mode not in SYNC_MODES:
+        raise ValueError(f"mode must be one of {SYNC_MODES}")
+    combined = combine(primary, sources, [m.source_col for m in mappings])
+    rows = fanout_rows(combined, mappings, destinations, compare)
+    save_mode = "overwrite" if mode == "truncate_reload" else "append"
+    rows.write.mode(save_mode).partitionBy("destination_id").parquet(path)
+    # With the schema given, an id that looks like a number stays text.
+    return primary.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def result_frame(spark, loaded: Sequence[Loaded]) -> DataFrame:
     """One row per target."""
     return spark.createDataFrame([(x.destination_id, x.records, x.bytes) for x in loaded],

@@ -10,28 +10,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rowferry.operators.analytics import DIRECTIONS
 from rowferry.operators.combine import Combined
-from rowferry.operators.fanout import PRIMARY, destination_rows
-from rowferry.operators.remap import remap
+from rowferry.operators.fanout import fanout_rows
 from rowferry.plans.spec import DestinationSpec, Mapping
 
 
 def stream_fanout(stream: DataFrame, mappings: Sequence[Mapping],
                   destinations: Sequence[DestinationSpec], out: str, checkpoint: str,
                   available_now: bool = True) -> StreamingQuery:
-    """Write each micro-batch to ``out/<destination id>`` as Parquet.
+    """Fan each micro-batch out to ``out/batch=<n>/destination_id=<id>`` as Parquet.
 
-    Each batch owns the folder ``batch=<n>`` of a destination and overwrites it
-    when repeated after a failure, so every row arrives exactly once.
+    One pass and one write per batch. A batch owns its folder and overwrites it
+    when repeated after a failure, so every row arrives exactly once. Reading
+    ``out`` with a filter on ``destination_id`` opens only that destination.
     """
     def load(batch: DataFrame, number: int) -> None:
-        rows = Combined(batch)
-        batch.persist()
-        try:
-            for name, part in [(PRIMARY, remap(batch, mappings)),
-                               *[(d.id, destination_rows(rows, d, mappings)) for d in destinations]]:
-                part.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        finally:
-            batch.unpersist()
+        rows = fanout_rows(Combined(batch), mappings, destinations)
+        rows.write.mode("overwrite").partitionBy("destination_id").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if available_now:

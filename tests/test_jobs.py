@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rowferry.operators.secure import decrypt, encrypt
 from rowferry.plans.jobs import JobError, Store, map_job, run_job
-from rowferry.plans.run import run_sync, stage_combined
+from rowferry.plans.run import run_partitioned, run_sync, stage_combined
 from rowferry.plans.spec import Condition, Connector, DestinationSpec, Mapping, SourceSpec, Target
 from rowferry.operators.combine import combine
 from rowferry.operators.fanout import fanout_summary, run_totals
@@ -127,6 +127,32 @@ def test_written_counts_equal_the_summary(spark, tmp_path):
     assert tuple(run_totals(summary).first()) == (sum(x.records for x in loaded), sum(x.bytes for x in loaded))
 
 
+def test_partitioned_loads_equal_separate_ones(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "id % 5 as k")
+    m = [Mapping("id", "n")]
+    dests = [DestinationSpec("7", None, (Condition("id", ">=", "90"),)),
+             DestinationSpec("none", None, (Condition("id", "<", "0"),))]
+    for mode, times in (("truncate_reload", 1), ("append", 2), ("truncate_reload", 1)):
+        got = run_partitioned(rows, [*m, Mapping("k", "k")], str(tmp_path / "o"), (), dests, mode)
+        counts = {r.destination_id: r["count"] for r in got.groupBy("destination_id").count().collect()}
+        assert counts == {"primary": 100 * times, "7": 10 * times}
+    assert sorted(r.n for r in got.filter("destination_id = '7'").collect()) == list(range(90, 100))
+
+
+def test_scratch_is_the_checkpoint_folder():
+    from rowferry.session import scratch_path
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.checkpoint.dir": "hdfs://shared/ck/"})
+
+    path = scratch_path(Session(), "x")
+    assert path.startswith("hdfs://shared/ck/rowferry/x-")
+
+
 def test_staging_keeps_presence(spark):
     left = spark.createDataFrame([(1,), (2,)], "id int")
     right = spark.createDataFrame([(1, None)], "rid int, v int")
