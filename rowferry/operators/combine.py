@@ -108,12 +108,19 @@ def _split_left_join(left: DataFrame, right: DataFrame, left_key: Column, right_
     return kept.drop("__k", "__s", "__hot", "__rk", "__rs")
 
 
-def _same_integers(left: DataFrame, right: DataFrame, spec: SourceSpec) -> bool:
-    return all(
-        a in left.columns and b in right.columns
-        and isinstance(_dtype(left, a), INTEGRAL) and _dtype(left, a) == _dtype(right, b)
-        for a, b in spec.on
-    )
+def _same_key(left: DataFrame, right: DataFrame, a: str, b: str, nulls: bool) -> Column:
+    """Key columns ``a`` and ``b`` name the same thing.
+
+    Integers have equal text exactly if they are equal, so they are compared as
+    they are; anything else by its text.
+    """
+    known = a in left.columns and b in right.columns
+    if known and isinstance(_dtype(left, a), INTEGRAL) and isinstance(_dtype(right, b), INTEGRAL):
+        x, y = _c(a), _c(b)
+        if _dtype(left, a) != _dtype(right, b):
+            x, y = x.cast("bigint"), y.cast("bigint")
+        return x.eqNullSafe(y) if nulls else x == y
+    return _key(left, [a]) == _key(right, [b])
 
 
 def _splits(spec: SourceSpec) -> int:
@@ -142,7 +149,6 @@ def _join(state: Combined, spec: SourceSpec, number: int, hot: list[str]) -> Com
     )
     own = [a for a, _ in spec.on]
     theirs = [prefix + b for _, b in spec.on]
-    left_key, right_key = _key(left, own), _key(right, theirs)
     inner = spec.join_type == "inner"
 
     if spec.null_keys == "never":
@@ -151,17 +157,12 @@ def _join(state: Combined, spec: SourceSpec, number: int, hot: list[str]) -> Com
         right = right.filter(reduce(lambda a, b: a & b, usable))
 
     if hot:
-        joined = _split_left_join(left, right, left_key, right_key, marker, _splits(spec), hot)
+        joined = _split_left_join(left, right, _key(left, own), _key(right, theirs), marker,
+                                  _splits(spec), hot)
     else:
-        if _same_integers(left, spec.df, spec):
-            pairs = [
-                _c(a) == _c(b) if spec.null_keys == "never" else _c(a).eqNullSafe(_c(b))
-                for a, b in zip(own, theirs)
-            ]
-            on = reduce(lambda a, b: a & b, pairs)
-        else:
-            on = left_key == right_key
-        joined = left.join(right, on, spec.join_type)
+        nulls = spec.null_keys == "match"
+        same = [_same_key(left, right, a, b, nulls) for a, b in zip(own, theirs)]
+        joined = left.join(right, reduce(lambda a, b: a & b, same), spec.join_type)
 
     matched = F.col(marker).isNotNull()
     have = set(left.columns)

@@ -12,24 +12,26 @@ only shuffle is the one by ``pair``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.functions.coerce import round_half_up
 
 # Weights of the score, the score a fuzzy match must exceed, the
-# confidence shown at most, and the patterns of the type classes in the order
-# they are tried.
+# confidence shown at most, the characters a normalised name leaves out, and the
+# words that tell the class of a type, in the order they are tried.
 NAME_WEIGHT = 0.75
 TYPE_WEIGHT = 0.25
 FLOOR = 0.35
 TOP_CONFIDENCE = 0.99
-SEPARATORS = r"[_\s-]+"
+SEPARATORS = "_- \t\n\x0b\f\r\u00a0\u2028\u2029\u3000\ufeff"
 TYPE_CLASSES = [
-    ("numeric", "int|numeric|decimal|float|double|real|number"),
-    ("string", "char|text|string|clob"),
-    ("date", "date|time"),
-    ("boolean", "bool"),
+    ("numeric", ("int", "numeric", "decimal", "float", "double", "real", "number")),
+    ("string", ("char", "text", "string", "clob")),
+    ("date", ("date", "time")),
+    ("boolean", ("bool",)),
 ]
 HIGH_CONFIDENCE = 0.9
 # Fixed value: warning where the type classes differ, around the two type names.
@@ -39,7 +41,7 @@ WARNING = ("Type mismatch: source is ", ", target is ",
 
 def normalized(name: Column) -> Column:
     """Lower case without underscores, blanks and hyphens."""
-    return F.regexp_replace(F.lower(name), SEPARATORS, "")
+    return F.translate(F.lower(name), SEPARATORS, "")
 
 
 def type_class(type_name: Column) -> Column:
@@ -48,9 +50,10 @@ def type_class(type_name: Column) -> Column:
     Nested types are *other*, whatever their element types are called.
     """
     t = F.lower(type_name)
-    chain = F.when(t.rlike("^(struct|array|map)<"), F.lit("other"))
-    for name, pattern in TYPE_CLASSES:
-        chain = chain.when(t.rlike(pattern), F.lit(name))
+    nested = t.startswith("struct<") | t.startswith("array<") | t.startswith("map<")
+    chain = F.when(nested, F.lit("other"))
+    for name, words in TYPE_CLASSES:
+        chain = chain.when(reduce(lambda a, b: a | b, [t.contains(w) for w in words]), F.lit(name))
     return chain.otherwise(F.lit("other"))
 
 
@@ -94,8 +97,8 @@ def _by_pair(source: DataFrame, target: DataFrame) -> DataFrame:
 
     def columns(side: str) -> Column:
         ordered = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("c"))))
-        first = _let(ordered, lambda cs: F.filter(
-            cs, lambda c, i: F.array_position(cs["name"], c["name"]) == i + 1))
+        first = _let(ordered, lambda cs: _let(cs["name"], lambda names: F.filter(
+            cs, lambda c, i: F.array_position(names, c["name"]) == i + 1)))
         return F.transform(first, described)
 
     # Moved before it is collected: there is nothing to combine on the map side.

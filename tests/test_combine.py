@@ -204,3 +204,18 @@ def test_only_needed_columns_are_read(spark, tmp_path):
     c = combine(a, [SourceSpec(b, "join", "left", (("k", "k"),))])
     plan = remap(c.df, [Mapping("id", "id"), Mapping("v", "v")])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint,k:bigint>" in plan and "ReadSchema: struct<k:bigint,v:string>" in plan
+
+
+def test_integers_of_different_widths_join_as_numbers(spark):
+    a = spark.createDataFrame([(1, 5, "x"), (2, None, "y"), (3, 7, None)], "i int, k int, s string")
+    b = spark.createDataFrame([(5, "x", "hit"), (None, "y", "null"), (7, "", "blank")], "k2 bigint, s2 string, v string")
+    c = combine(a, [SourceSpec(b, "join", "inner", (("k", "k2"), ("s", "s2")))])
+    assert rows(c.df.select("i", "v")) == [(1, "hit"), (2, "null"), (3, "blank")]
+    assert "as string" not in c.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_key_column_nobody_has_is_empty_text(spark):
+    a = spark.createDataFrame([(1, 5), (2, None)], "i int, k int")
+    b = spark.createDataFrame([("v",)], "v string")
+    c = combine(a, [SourceSpec(b, "join", "left", (("k", "nope"),))])
+    assert rows(c.df.select("i", "v")) == [(1, None), (2, "v")]
