@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import html_text, mixing, secret_links
+from rowferry.llm import html_text, mixing, secret_links, warc
+from rowferry.llm.ship import ship
 from rowferry.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +17,7 @@ SQL: dict[str, str] = {}
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         return fn(configure(spark), sf_dir)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
@@ -44,3 +46,10 @@ def op8_mix_sources(spark, sf_dir):
     """Words that a mix to target weights takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "rate", F.col("copies").cast("long").alias("copies"))
+
+
+@_query
+def op4_warc_index(spark, sf_dir):
+    """Pages written as WARC records and read back through the capture index."""
+    records = warc.read_all(warc.archive(spark, table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
