@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import html_text, mixing, secret_links, warc
+from rowferry.llm import html_text, mixing, near_duplicates, secret_links, warc
 from rowferry.llm.ship import ship
 from rowferry.session import configure
 
@@ -53,3 +53,9 @@ def op4_warc_index(spark, sf_dir):
     """Pages written as WARC records and read back through the capture index."""
     records = warc.read_all(warc.archive(spark, table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@_query
+def op9_ngram_jaccard_join(spark, sf_dir):
+    """Components of documents whose word shingles are alike."""
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
