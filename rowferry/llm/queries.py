@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import html_text, mixing, near_duplicates, secret_links, warc
+from rowferry.llm import html_text, mixing, near_duplicates, quality, secret_links, toxicity, warc
 from rowferry.llm.ship import ship
 from rowferry.session import configure
 
@@ -59,3 +59,17 @@ def op4_warc_index(spark, sf_dir):
 def op9_ngram_jaccard_join(spark, sf_dir):
     """Components of documents whose word shingles are alike."""
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_toxicity(spark, sf_dir):
+    """Toxicity of every document by a factorization machine fitted on the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op2_quality(spark, sf_dir):
+    """Quality of every document by attention over its passages, fitted on the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))

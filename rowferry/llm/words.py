@@ -123,6 +123,19 @@ def groups(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         i = j
 
 
+def in_parts(texts: list[str]) -> Iterator[pa.Array]:
+    """A list of texts as arrays of about :data:`GROUP_BYTES` characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= GROUP_BYTES // 2:
+            yield pa.array(part, pa.string())
+            part, size = [], 0
+    if part:
+        yield pa.array(part, pa.string())
+
+
 def per_group(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` over slices with a bounded number of bytes in text column ``column``."""
     at = df.columns.index(column)
