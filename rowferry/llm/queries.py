@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import html_text, mixing, near_duplicates, quality, secret_links, toxicity, warc
+from rowferry.llm import html_text, mixing, near_duplicates, quality, repair, secret_links, toxicity, warc
 from rowferry.llm.ship import ship
 from rowferry.session import configure
 
@@ -73,3 +73,11 @@ def op2_quality(spark, sf_dir):
     """Quality of every document by attention over its passages, fitted on the labels."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op3_token_ids(spark, sf_dir):
+    """Token ids of every document, written as grammar-compressed shards and read back."""
+    import public_tokenizers
+
+    return repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
