@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import html_text, mixing, near_duplicates, quality, repair, secret_links, toxicity, warc
+from rowferry.llm import (
+    decontamination, html_text, mixing, near_duplicates, quality, repair, secret_links, toxicity, warc,
+)
 from rowferry.llm.ship import ship
 from rowferry.session import configure
 
@@ -81,3 +83,9 @@ def op3_token_ids(spark, sf_dir):
     import public_tokenizers
 
     return repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op1_decontamination(spark, sf_dir):
+    """Benchmark items that documents hold."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

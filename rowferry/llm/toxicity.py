@@ -11,10 +11,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from rowferry.llm.training import MAX_ROWS, held_out, labelled
-from rowferry.llm.words import buffers, hashes, in_parts, per_group
+from rowferry.llm.words import buffers, hashes, in_parts, per_group, spans
 
 #: Terms are hashed to this many columns, each with this many factors; column 0 is kept for terms without weight.
 COLUMNS, FACTORS = 1 << 18, 4
@@ -30,9 +31,6 @@ START = 0.3
 WINDOW = 40
 
 _U = np.uint64
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(48, 58), *range(128, 256)]] = True
-
 
 class Model(NamedTuple):
     bias: float
@@ -46,16 +44,8 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A word is a run of letters, digits and non-ASCII bytes, so punctuation
     around an insult doesn't hide it.
     """
-    data, offsets = buffers(texts)
-    word = _LETTER[data]
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    first[inner] = word[inner]
-    last[inner - 1] = word[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    data, offsets = buffers(pc.utf8_lower(texts))
+    starts, ends, at = spans(data, offsets, letters=True)
     shift = _U(64 - (COLUMNS.bit_length() - 1))
     columns = np.zeros((len(starts), 1 + len(PREFIXES)), np.int64)
     columns[:, 0] = (hashes(data, starts, ends) >> shift).astype(np.int64)
@@ -63,7 +53,7 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         long = np.flatnonzero(ends - starts > size)
         begun = hashes(data, starts[long], starts[long] + size) ^ _U(0x51ED270B9F1C6A35)
         columns[long, k] = (begun >> shift).astype(np.int64)
-    return columns, np.searchsorted(starts, offsets)
+    return columns, at
 
 
 def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
