@@ -342,3 +342,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         "doc_id", F.col("n").alias("n_shingles"), (F.col("chunk") * (1 << 20) + F.col("idx")).alias("row"))
     return every.join(placed, "row", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one document of each component is kept.
+
+    The document with the smallest id stays; of rows that repeat an id one
+    stays, that with the smallest text. Rows without an id all stay.
+    """
+    found = stage(classes(docs, id_col, text_col, size).where("doc_id is not null"), "classes")
+    key = docs[id_col].cast("long")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(broadcast_if_small(gone), key == gone["doc_id"], "left_anti")
+    again = stage(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_")), "again")
+    if again.limit(1).count() == 0:
+        return kept
+    some = broadcast_if_small(again)
+    one = kept.join(some, kept[id_col].cast("long") == F.col("again_"), "left_semi").groupBy(
+        F.col(id_col).cast("long")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text_col).alias("one"))
+    return kept.join(some, kept[id_col].cast("long") == F.col("again_"), "left_anti").union(
+        one.select(*[F.col(f"one.`{c}`").alias(c) for c in docs.columns]))
