@@ -155,17 +155,21 @@ def _shared_elsewhere(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": both[0], "idx": both[1].astype(np.int32), "more": count.astype(np.int64)})
 
 
-_POSTINGS = "key long, class int, node long, n long, own long, spare long, centre long"
+_POSTINGS = "key long, class int, node long, n long, own long, spare long, centre long, early array<long>"
+#: First keys of a set in a class that are kept beside each of its entries.
+EARLY = 8
 
 
 def _postings(batches):
     """Index entries of each set: tokens of its prefixes for every class of partner sizes.
 
     ``spare`` is how many of its tokens are in other sets too, ``centre`` its
-    rank as the set that others are compared with first.
+    rank as the set that others are compared with first, ``early`` the first of
+    its keys in the class.
     """
     for batch in batches:
         out: list[list] = [[] for _ in range(7)]
+        early: list[list] = []
         lists = batch.column(2)
         each = lists.flatten()
         dfs, tokens = each.field(0).to_numpy(), each.field(1).to_numpy()
@@ -192,15 +196,16 @@ def _postings(batches):
                                            mix(often[i] * _U(3) + mix(often[j])).astype(np.int64)])
                 for column, value in zip(out, (keys, c, node, n, int(c == own), len(token), centre), strict=True):
                     column.append(value if column is out[0] else np.full(len(keys), value))
+                early += [keys[:EARLY].tolist()] * len(keys)
         if out[0]:
             columns = [np.concatenate(c) for c in out]
             columns[1] = columns[1].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(early, pa.list_(pa.int64()))],
                                              [x.split()[0] for x in _POSTINGS.split(", ")])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` of nodes whose sets link."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, both, link`` of pairs ``a, b`` of nodes: how many tokens both sets have, and whether they link."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_TOGETHER).cast("int").alias("lots"))
     many = stage(many, "pair-counts")
     lot = F.pmod(F.xxhash64("b"), F.col("lots")).cast("int")
@@ -224,16 +229,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     heads.append(mine.copy())
                     continue
                 for head in heads:
-                    if min(len(head), len(mine)) * DEN >= NUM * max(len(head), len(mine)):
-                        both = len(np.intersect1d(head, mine, assume_unique=True))
-                        if both >= _overlap(len(head), len(mine)):
-                            links.append((key[0], b[i].as_py()))
+                    both = len(np.intersect1d(head, mine, assume_unique=True))
+                    links.append((key[0], b[i].as_py(), both, int(both >= _overlap(len(head), len(mine)))))
             if links:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+                    [pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b", "both", "link"])
 
     dealt = heads.union(members).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
-    return stage(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
+    return stage(dealt.mapInArrow(run, "a long, b long, both long, link long").groupBy("a", "b").agg(
+        F.max("both").alias("both"), F.max("link").alias("link")), "compared")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
@@ -305,25 +309,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         "entries > 1").drop("entries")
     first = stage(postings.join(lists, ["key", "class"]).where("a <> node").select(
         "a", F.col("node").alias("b")).distinct(), "pairs")
-    links = _linked(first, sets)
+    compared = _compared(first, sets)
+    links = compared.where("link = 1").select("a", "b")
 
     found = components(links)
     marked = postings.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("centre")
     open_lists = marked.groupBy("key", "class").agg(
         F.min("root").alias("x"), F.max("root").alias("y"), F.max("own").alias("owned")).where(
         "x <> y and owned = 1").select("key", "class")
-    left = stage(marked.join(open_lists, ["key", "class"]), "open")
+    # What a set has in common with the one that its list was compared with bounds what two sets can have in common.
+    shared = compared.select("a", F.col("b").alias("node"), "both")
+    left = marked.join(open_lists.join(lists, ["key", "class"]), ["key", "class"]).join(
+        shared, ["a", "node"], "left").withColumn("both", F.coalesce("both", "n")).withColumn(
+        "beside", F.greatest(F.col("spare") - F.col("both"), F.lit(0)))
+    left = stage(left, "open")
     x, y = left.alias("x"), left.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * NUM / (NUM + DEN))
+    soon = F.array_intersect("x.early", "y.early")
     rest = x.join(y, [F.col("x.key") == F.col("y.key"), F.col("x.class") == F.col("y.class"),
                       F.col("x.node") < F.col("y.node"), F.col("x.root") != F.col("y.root"),
                       F.col("x.own") + F.col("y.own") > 0,
                       F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM,
-                      F.least("x.spare", "y.spare") >= need]).select(
+                      F.least("x.spare", "y.spare") >= need,
+                      F.least("x.both", "y.both") + F.least("x.beside", "y.beside") >= need,
+                      # Of the lists in which two sets meet, the first of their early ones is enough.
+                      (F.size(soon) == 0) | (F.get(soon, F.lit(0)) == F.col("x.key"))]).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stage(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_linked(rest, sets))
+    links = links.union(_compared(rest, sets).where("link = 1").select("a", "b"))
 
     # Copies share a node; rows of one id are one document.
     copies = nodes.where("docs > 1").select(
