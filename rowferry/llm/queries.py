@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm import (
-    decontamination, html_text, mixing, near_duplicates, quality, repair, secret_links, toxicity, warc,
+    decontamination, html_text, mixing, near_duplicates, neighbours, quality, repair, secret_links, toxicity,
+    warc,
 )
 from rowferry.llm.ship import ship
 from rowferry.session import configure
@@ -89,3 +90,10 @@ def op3_token_ids(spark, sf_dir):
 def op1_decontamination(spark, sf_dir):
     """Benchmark items that documents hold."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op5_nearest_neighbours(spark, sf_dir):
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.build(vectors), vectors.where("vec_id % 50 = 0"), 5)
