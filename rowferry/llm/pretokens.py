@@ -8,6 +8,7 @@ it whole.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 
 import numpy as np
@@ -17,8 +18,8 @@ from rowferry.llm.words import buffers, mix
 
 #: Texts with code points from here on are left to the library.
 COMMON = 0x250
-#: Pieces kept between calls, at most.
-KEPT = 300_000
+#: Pieces kept between calls, at most, some 30 bytes each; and new ones that are gathered before they are sorted in.
+KEPT, GATHERED = 2_000_000, 60_000
 #: Text of special tokens, which the library treats in its own way.
 SPECIAL = b"<|"
 
@@ -63,17 +64,60 @@ def _pieces(code: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Pieces:
+    """Ids of pieces by hash: sorted keys, and for each the place of its ids."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.width = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of keys, -1 where unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, width: np.ndarray, flat: np.ndarray) -> None:
+        at = len(self.flat) + np.cumsum(width) - width
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys = all_keys[order]
+        self.at = np.concatenate([self.at, at])[order]
+        self.width = np.concatenate([self.width, width])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+    def merge(self, other: _Pieces) -> None:
+        at = np.concatenate([self.at, other.at + len(self.flat)])
+        keys = np.concatenate([self.keys, other.keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
+        self.width = np.concatenate([self.width, other.width])[order]
+        self.flat = np.concatenate([self.flat, other.flat])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The process's encoder of a tokenizer file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Encoder:
-    """Encodes batches of texts; one per process."""
+    """Encodes batches of texts and remembers their pieces."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, tuple[int, ...]] = {}
+        [self.line_break] = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known, self.recent = _Pieces(), _Pieces()
         self.powers: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
@@ -93,6 +137,34 @@ class Encoder:
         np.cumsum(_TABLE[code] * self.powers[0][:n], out=total[1:])
         return mix((total[ends] - total[starts]) * self.powers[1][starts] + (ends - starts).astype(np.uint64))
 
+    def _pieces(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all ids. Pieces with a line break between them stay as they are."""
+        space = np.r_[0, np.cumsum(_CLASS[code] == _SPACE)]
+        alone = (space[ends] > space[starts + 1]) | ((ends - starts == 1) & (space[ends] > space[starts]))
+        width, out = np.zeros(len(starts), np.int64), [None] * 2
+        plain = np.flatnonzero(~alone)
+        size = ends[plain] - starts[plain] + 1
+        begin = np.cumsum(size) - size
+        joined = np.full(int(size.sum()), 10, "<u4")
+        row = np.repeat(np.arange(len(plain)), size - 1)
+        nth = np.arange(len(row)) - np.repeat(begin - np.arange(len(plain)), size - 1)
+        joined[begin[row] + nth] = code[starts[plain][row] + nth]
+        text = joined.tobytes().decode("utf-32-le")
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        ids = np.array(encode([text], add_special_tokens=False)[0].ids, np.int32)
+        breaks = np.flatnonzero(ids == self.line_break)
+        width[plain] = np.diff(np.r_[-1, breaks]) - 1
+        out[0] = np.delete(ids, breaks)
+        rest = np.flatnonzero(alone)
+        lists = [self.tokenizer.encode(code[starts[i]:ends[i]].tobytes().decode("utf-32-le"), add_special_tokens=False).ids
+                 for i in rest]
+        width[rest] = [len(x) for x in lists]
+        out[1] = np.array([x for some in lists for x in some], np.int32)
+        flat = np.empty(int(width.sum()), np.int32)
+        mine = np.repeat(~alone, width)
+        flat[mine], flat[~mine] = out
+        return width, flat
+
     def _fast(self, code: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
         begin = np.r_[0, np.cumsum(sizes)]
@@ -102,20 +174,25 @@ class Encoder:
         ends = np.r_[starts[1:], len(code)]
         key = self._hash(code, starts, ends)
         unique, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known, keys = self.known, unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            texts = [code[a:b].astype("<u4").tobytes().decode("utf-32-le")
-                     for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for i, e in zip(new, encode(texts, add_special_tokens=False), strict=True):
-                known[keys[i]] = tuple(e.ids)
-        lists = [known[k] for k in keys]
-        width = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.int64, int(width.sum()))
-        at = (np.cumsum(width) - width)[back]
+        if len(self.recent.keys) > GATHERED:
+            if len(self.known.keys) > KEPT:
+                self.known = _Pieces()
+            self.known.merge(self.recent)
+            self.recent = _Pieces()
+        old = self.known.find(unique)
+        new = np.flatnonzero((old < 0) & (self.recent.find(unique) < 0))
+        if len(new):
+            self.recent.add(unique[new], *self._pieces(code, starts[first[new]], ends[first[new]]))
+        young = self.recent.find(unique)
+        is_old = old >= 0
+        width = np.empty(len(unique), np.int64)
+        at = np.empty(len(unique), np.int64)
+        flat = np.concatenate([self.known.flat, self.recent.flat])
+        for mine, pieces, where, shift in ((is_old, self.known, old, 0),
+                                           (~is_old, self.recent, young, len(self.known.flat))):
+            width[mine] = pieces.width[where[mine]]
+            at[mine] = pieces.at[where[mine]] + shift
+        at = at[back]
         width = width[back]
         out = flat[np.repeat(at - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))]
         total = np.r_[0, np.cumsum(width)]

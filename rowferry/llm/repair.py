@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.files import create, open_input
-from rowferry.llm.pretokens import Encoder
+from rowferry.llm.pretokens import encoder_for
 from rowferry.llm.words import groups
 from rowferry.operators.sizing import broadcast_if_small
 from rowferry.session import scratch_path
@@ -73,11 +73,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUND
         slot = (chosen.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(44)).astype(np.int64)
         rank_of = np.full(_SLOTS, -1, np.int32)
         rank_of[slot[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-        rank = rank_of[(key.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(44)).astype(np.int64)].astype(np.int64)
+        rank = rank_of[(key.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(44)).astype(np.int64)]
         hit = (rank >= 0) & (key >= 0)
         hit[hit] = chosen[rank[hit]] == key[hit]
         # Where pairs overlap the more frequent one is replaced, and every other one in a run of the same.
-        order = np.where(hit, rank * 2 + (np.arange(len(rank)) & 1), np.iinfo(np.int64).max)
+        order = np.where(hit, rank * 2 + (np.arange(len(rank), dtype=np.int32) & 1), np.iinfo(np.int32).max)
         take = hit.copy()
         take[1:] &= order[1:] < order[:-1]
         take[:-1] &= (order[:-1] < order[1:]) | ~hit[1:]
@@ -178,7 +178,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches):
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_for(tokenizer), TaskContext.get().partitionId()
         base = max(encoder.size, END + 1)
         name = f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.rpg"
         out, offset, seq, done, held, ids, total = None, 0, 0, 0, [], [], 0
