@@ -32,7 +32,7 @@ _PER = f"""per AS (SELECT pipeline_id, count(*) AS n, cast(coalesce(sum(records)
 @query(f"""
     SELECT count(*) AS total_syncs, cast(sum(coalesce(records, 0)) AS bigint) AS total_records,
       coalesce(cast(floor(avg({_LAT}) FILTER (WHERE status = 'completed') + 0.5) AS bigint), 0) AS avg_latency_ms,
-      floor(count(*) FILTER (WHERE status = 'completed') * 1000.0e0 / count(*) + 0.5e0) / 10.0e0 AS success_rate,
+      floor(count(*) FILTER (WHERE status = 'completed') / cast(count(*) AS double) * 1000.0e0 + 0.5e0) / 10.0e0 AS success_rate,
       (SELECT count(*) FROM pipelines WHERE status = 'active') AS active_pipelines,
       (SELECT count(*) FROM pipelines) AS total_pipelines FROM sync_runs""")
 def overview(t):
@@ -86,14 +86,14 @@ def direction_split(t):
 
 @query(f"""
     WITH {_PER} SELECT p.id AS pipeline_id, p.name, n AS total_syncs, recs AS records, lat AS avg_latency_ms,
-      floor(ok * 1000.0e0 / n + 0.5e0) / 10.0e0 AS success_rate
+      floor(ok / cast(n AS double) * 1000.0e0 + 0.5e0) / 10.0e0 AS success_rate
     FROM per JOIN pipelines p ON pipeline_id = p.id""")
 def leaderboard(t):
     return A.pipeline_leaderboard(t.sync_runs, t.pipelines)
 
 
 @query(f"""
-    WITH {_PER}, b AS (SELECT floor(ok * 1000.0e0 / n + 0.5e0) / 10.0e0 AS rate FROM per JOIN pipelines p ON pipeline_id = p.id)
+    WITH {_PER}, b AS (SELECT floor(ok / cast(n AS double) * 1000.0e0 + 0.5e0) / 10.0e0 AS rate FROM per JOIN pipelines p ON pipeline_id = p.id)
     SELECT rate >= 98 AS reliable, count(*) AS pipelines FROM b GROUP BY 1""")
 def reliability(t):
     board = A.pipeline_leaderboard(t.sync_runs, t.pipelines)

@@ -14,8 +14,8 @@ from rowferry.operators.remap import cast_failures, remap
 from rowferry.plans.run import result_frame, run_partitioned, run_sync
 from rowferry.plans.spec import Condition, DestinationSpec, Mapping, SourceSpec, Target
 from rowferry.session import scratch_path
-from rowferry.sources.readers import read
-from rowferry.sources.writers import scratch_target
+from rowferry.sources.readers import file_uri, read
+from rowferry.sources.writers import scratch_target, write
 
 ORDER_MAPPINGS = [
     Mapping("o_orderkey", "order_id"), Mapping("c_name", "customer"), Mapping("n_name", "nation"),
@@ -408,3 +408,75 @@ def append_and_reload(t):
             F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("rows_after"))
         out = n if out is None else out.unionByName(n)
     return out
+
+
+@query("""
+    WITH r AS (SELECT case when l_linenumber = 1 then NULL else l_orderkey end AS k, l_linenumber AS n FROM lineitem),
+      l AS (SELECT o_orderkey AS id, case when o_orderkey % 5 = 0 then NULL else o_orderkey end AS k FROM orders)
+    SELECT id, count(n) AS lines, count(*) AS rows_out FROM l LEFT JOIN r ON l.k = r.k GROUP BY id""")
+def join_left_never_hot(t):
+    """Empty keys hold a quarter of the right rows, above the size from which a key is hot; no left row is lost."""
+    right = t.lineitem.select(F.when(F.col("l_linenumber") > 1, F.col("l_orderkey")).alias("rk"),
+                              F.col("l_linenumber").alias("n"))
+    left = t.orders.select(F.col("o_orderkey").alias("id"),
+                           F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("k"))
+    spec = SourceSpec(right, "join", "left", (("k", "rk"),), null_keys="never")
+    joined = combine(left, [spec], hot_key_min_rows=100).df
+    return joined.groupBy("id").agg(F.count("n").alias("lines"), F.count(F.lit(1)).alias("rows_out"))
+
+
+@query("""
+    SELECT o_orderkey, cast(NULL AS VARCHAR) AS o_orderstatus, cast(o_custkey AS BIGINT) AS o_custkey FROM orders
+    UNION ALL SELECT o_orderkey, o_orderstatus, cast(o_custkey AS BIGINT) FROM orders""")
+def append_missing_column(t):
+    """A load without one of the target's columns, then one with all."""
+    target = scratch_target(t.spark, "orders.parquet")
+    df = t.orders.select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("bigint").alias("o_custkey"))
+    write(df, target)
+    write(df.drop("o_orderstatus"), target)
+    return read(t.spark, target.connector, target.table)
+
+
+@query("SELECT c_name AS name, cast(c_nationkey AS VARCHAR) AS nation FROM customer UNION ALL SELECT n_name, cast(n_nationkey AS VARCHAR) FROM nation")
+def append_single_object(t):
+    """Customers appended to one CSV object that holds the nations."""
+    import uuid
+
+    target = scratch_target(t.spark, "names.csv")
+    parts = scratch_target(t.spark, f"parts-{uuid.uuid4().hex}.csv")
+    write(t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nation")).coalesce(1), parts)
+    hadoop = t.spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(file_uri(parts.connector, parts.table))
+    fs = folder.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    [part] = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    single = hadoop.Path(file_uri(target.connector, target.table))
+    fs.mkdirs(single.getParent())
+    fs.rename(part, single)
+    write(t.customer.select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")), target)
+    return read(t.spark, target.connector, target.table)
+
+
+@query(r"SELECT cast(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(text, '^[\x00-\x20]+', ''), '[\x00-\x20]+$', '') AS text, lang, source FROM documents")
+def csv_text_roundtrip(t):
+    """Whole texts with line breaks, quotes and commas; cells come back trimmed."""
+    target = scratch_target(t.spark, "documents.csv")
+    cols = ["doc_id", "text", "lang", "source"]
+    run_sync(t.documents, [Mapping(c, c) for c in cols], target)
+    return read(t.spark, target.connector, target.table, cols)
+
+
+@query("SELECT doc_id, text, lang FROM documents UNION ALL SELECT doc_id, text, lang FROM documents")
+def json_array_roundtrip(t):
+    """One array file beside JSON Lines parts in a folder; both are read whole."""
+    target = scratch_target(t.spark, "documents.json")
+    cols = ["doc_id", "text", "lang"]
+    run_sync(t.documents, [Mapping(c, c) for c in cols], target)
+    rows = t.documents.select(F.to_json(F.struct(*cols)).alias("j"), F.col("doc_id").alias("i")).coalesce(1)
+    # An array over many lines: what stands before each record opens it or parts it from the one before.
+    first = t.documents.agg(F.min("doc_id")).scalar()
+    text = rows.sortWithinPartitions("i").select(
+        F.concat(F.when(F.col("i") == first, "[\n").otherwise(",\n"), "j").alias("value"))
+    end = t.spark.createDataFrame([("]",)], "value string")
+    path = file_uri(target.connector, target.table)
+    text.union(end).coalesce(1).write.mode("append").text(path)
+    return read(t.spark, target.connector, target.table, cols)

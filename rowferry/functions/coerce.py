@@ -22,7 +22,8 @@ INSTANT = (T.TimestampType, T.TimestampNTZType)
 
 # The text accepted as a decimal number, and trimmed blanks.
 NUMBER_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-BLANKS = " \t\n\r\f\x0b"
+BLANKS = (" \t\n\r\f\x0b\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 _NUMBER_RE = re.compile(NUMBER_TEXT)
 

@@ -40,7 +40,7 @@ def _latency(only_completed: bool) -> Column:
 
 
 def _success_pct(completed: Column, total: Column) -> Column:
-    return F.when(total > 0, F.floor(completed * F.lit(1000.0) / total + F.lit(0.5)) / F.lit(10.0))
+    return F.when(total > 0, F.floor(completed / total * F.lit(1000.0) + F.lit(0.5)) / F.lit(10.0))
 
 
 def overview(runs: DataFrame, pipelines: DataFrame) -> DataFrame:

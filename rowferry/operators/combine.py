@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.coerce import INTEGRAL, text_of, text_or_null
+from rowferry.operators.sizing import broadcast_by_size
 from rowferry.plans.spec import SourceSpec
+from rowferry.session import stage
 
 #: Tasks that share the rows of one hot key of a left-joined source.
 HOT_KEY_SPLITS = 32
@@ -59,13 +61,12 @@ def _key(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
 
 
-def hot_keys(sides: dict[int, tuple[DataFrame, Column]]) -> dict[int, list[str]]:
+def hot_keys(sides: dict[int, tuple[DataFrame, Column]], min_rows: int | None = None) -> dict[int, list[str]]:
     """Keys holding a large share of each side, at most 1000 per side by construction.
 
     One job for all sides: a pass over their key columns with a bounded sketch
     per task, no shuffle of keys. The counts are estimates, which only decides
-    how work is spread: every key listed does occur, and the join gives the same
-    rows for any list.
+    how work is spread.
     """
     if not sides:
         return {}
@@ -75,7 +76,7 @@ def hot_keys(sides: dict[int, tuple[DataFrame, Column]]) -> dict[int, list[str]]
         .select(F.lit(i).alias("i"), "top", "n")
         for i, (side, key) in sides.items()
     ]
-    least = F.greatest(F.col("n") * F.lit(HOT_KEY_SHARE), F.lit(float(HOT_KEY_MIN_ROWS)))
+    least = F.greatest(F.col("n") * F.lit(HOT_KEY_SHARE), F.lit(float(HOT_KEY_MIN_ROWS if min_rows is None else min_rows)))
     hot = reduce(DataFrame.unionAll, found).select(
         "i", F.filter("top", lambda t: t["count"] >= least)["item"].alias("items"))
     return {row["i"]: list(row["items"]) for row in hot.collect()}
@@ -87,12 +88,12 @@ def _split_left_join(left: DataFrame, right: DataFrame, left_key: Column, right_
 
     Adaptive execution can divide a large *left* partition of a left join, but
     not a large right one. So right rows of a hot key get one of ``splits``
-    numbers and left rows of such a key are repeated for each number. A hot key
-    occurs on the right, hence unmatched repeats are surplus and dropped.
+    numbers and left rows of such a key are repeated for each number. Every key
+    of ``hot`` must occur in ``right``, hence unmatched repeats are surplus and
+    dropped; :func:`_fixed` sees to that.
 
     The numbers are drawn per row, not hashed from it, so that copies of one row
-    spread too. They repeat on recomputation as long as the source delivers rows
-    in a repeatable order, as scans do; stage a source that does not.
+    spread too. ``right`` is a staged table, whose scan draws them alike each time.
     """
     spread = F.array(*[F.lit(i) for i in range(splits)])
     lhs = left.withColumn("__k", left_key).withColumn("__hot", F.col("__k").isin(hot))
@@ -133,11 +134,40 @@ def _splits(spec: SourceSpec) -> int:
     return spec.split_hot_keys or HOT_KEY_SPLITS
 
 
-def _find_hot_keys(joins: Sequence[SourceSpec]) -> dict[int, list[str]]:
-    return hot_keys({
-        i: (spec.df, _key(spec.df, [b for _, b in spec.on]))
-        for i, spec in enumerate(joins) if _splits(spec)
-    })
+def _usable(df: DataFrame, spec: SourceSpec, prefix: str = "") -> DataFrame:
+    """The rows of a joined source that can match: under ``'never'`` those with no empty key."""
+    if spec.null_keys != "never":
+        return df
+    parts = [text_of(_c(prefix + b), _dtype(df, prefix + b)) != "" if prefix + b in df.columns else F.lit(False)
+             for _, b in spec.on]
+    return df.filter(reduce(lambda a, b: a & b, parts))
+
+
+def _find_hot_keys(joins: Sequence[SourceSpec], min_rows: int | None) -> dict[int, list[str]]:
+    """Hot keys of the sources to split, sought among the rows that can match.
+
+    Sources that the optimizer will broadcast, and knows to be too small to hold
+    a hot key, are left out.
+    """
+    sides = {}
+    small = 12 * (HOT_KEY_MIN_ROWS if min_rows is None else min_rows)
+    for i, spec in enumerate(joins):
+        if _splits(spec) and not broadcast_by_size(spec.df, small):
+            usable = _usable(spec.df, spec)
+            sides[i] = (usable, _key(usable, [b for _, b in spec.on]))
+    return hot_keys(sides, min_rows)
+
+
+def _fixed(spec: SourceSpec, hot: list[str]) -> tuple[SourceSpec, list[str]]:
+    """The source as a staged table, and those of its hot keys that are in it.
+
+    The list came from an earlier read. Once the rows are written down, a key of
+    the list is either among them or is not hot, also where the source changed.
+    """
+    df = stage(_usable(spec.df, spec), "hot-side")
+    key = _key(df, [b for _, b in spec.on])
+    there = df.select(key.alias("k")).filter(F.col("k").isin(hot)).distinct().collect()  # at most as many as listed
+    return replace(spec, df=df), [r.k for r in there]
 
 
 def _join(state: Combined, spec: SourceSpec, number: int, hot: list[str]) -> Combined:
@@ -151,10 +181,8 @@ def _join(state: Combined, spec: SourceSpec, number: int, hot: list[str]) -> Com
     theirs = [prefix + b for _, b in spec.on]
     inner = spec.join_type == "inner"
 
-    if spec.null_keys == "never":
-        # Rows without a key match nothing: they need not meet the shuffle's key.
-        usable = [text_of(_c(b), _dtype(right, b)) != "" for b in theirs]
-        right = right.filter(reduce(lambda a, b: a & b, usable))
+    # Rows without a key match nothing under 'never': they need not meet the shuffle's key.
+    right = _usable(right, spec, prefix)
 
     if hot:
         joined = _split_left_join(left, right, _key(left, own), _key(right, theirs), marker,
@@ -245,13 +273,14 @@ def _branch(df: DataFrame, present: dict[str, Column], columns: Sequence[str]):
 
 def combine(primary: DataFrame, sources: Sequence[SourceSpec] = (),
             mapped_cols: Sequence[str] | None = None, row_cap: int | None = None,
-            cap_order: Sequence[str] | None = None) -> Combined:
+            cap_order: Sequence[str] | None = None, hot_key_min_rows: int | None = None) -> Combined:
     """All joins in the order given, then all unions, then the optional cap.
 
     ``mapped_cols`` are the source columns of the mapping. Union sources, and
     the primary when nothing is joined, are narrowed to them; a filter on any
     other column then finds it absent. ``row_cap`` (off by default) limits each
     source and the result; it orders first, so the choice is repeatable.
+    ``hot_key_min_rows`` (:data:`HOT_KEY_MIN_ROWS`) is the least number of rows that make a key hot.
     """
     joins = [s for s in sources if s.mode == "join"]
     unions = [s for s in sources if s.mode == "union"]
@@ -265,9 +294,12 @@ def combine(primary: DataFrame, sources: Sequence[SourceSpec] = (),
         state = Combined(capped(primary))
         if row_cap is not None:
             joins = [replace(spec, df=capped(spec.df)) for spec in joins]
-        hot = _find_hot_keys(joins) if row_cap is None else {}
+        hot = _find_hot_keys(joins, hot_key_min_rows) if row_cap is None else {}
         for i, spec in enumerate(joins):
-            state = _join(state, spec, i, hot.get(i, []))
+            keys = hot.get(i, [])
+            if keys:
+                spec, keys = _fixed(spec, keys)
+            state = _join(state, spec, i, keys)
     else:
         state = Combined(capped(_narrow(primary, wanted)))
 

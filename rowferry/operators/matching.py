@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.functions.coerce import round_half_up
+from rowferry.functions.coerce import BLANKS, round_half_up
 
 # Weights of the score, the score a fuzzy match must exceed, the
 # confidence shown at most, the characters a normalised name leaves out, and the
@@ -26,7 +26,7 @@ NAME_WEIGHT = 0.75
 TYPE_WEIGHT = 0.25
 FLOOR = 0.35
 TOP_CONFIDENCE = 0.99
-SEPARATORS = "_- \t\n\x0b\f\r\u00a0\u2028\u2029\u3000\ufeff"
+SEPARATORS = "_-" + BLANKS
 TYPE_CLASSES = [
     ("numeric", ("int", "numeric", "decimal", "float", "double", "real", "number")),
     ("string", ("char", "text", "string", "clob")),

@@ -10,6 +10,13 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def broadcast_by_size(df: DataFrame, most: int) -> bool:
+    """Whether the optimizer estimates ``df`` at no more than ``most`` bytes and at what makes a join broadcast it."""
+    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 <= size <= min(limit, most)
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if measuring it shows that it is small.
 

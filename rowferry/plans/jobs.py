@@ -64,8 +64,8 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def rows(self, name: str, **equal: str) -> list[Row]:
-        """The rows of one transfer; none where the table does not exist yet."""
+    def rows(self, name: str, **equal: str | list[str]) -> list[Row]:
+        """The rows of one transfer; none where the table does not exist yet. A list means any of its values."""
         try:
             df = self.table(name)
         except AnalysisException as e:
@@ -73,7 +73,7 @@ class Store:
                 return []
             raise
         for column, value in equal.items():
-            df = df.filter(F.col(column) == value)
+            df = df.filter(F.col(column).isin(value) if isinstance(value, list) else F.col(column) == value)
         return df.collect()
 
     def append(self, name: str, df: DataFrame, by: str | None = None) -> None:
@@ -132,11 +132,17 @@ def _value(row: Row, name: str, default: str) -> str:
     return (row[name] if name in row else None) or default
 
 
+def _options(row: Row) -> dict[str, str]:
+    """Read options of a stored source, such as a partition column with its bounds."""
+    given = row["read_options"] if "read_options" in row else None
+    return {k: str(v) for k, v in (given.asDict() if isinstance(given, Row) else given or {}).items() if v is not None}
+
+
 def load_sources(store: Store, pipeline_id: str, reader: Callable) -> list[SourceSpec]:
     """Extra sources in the order they were added."""
     out = []
     for s in _in_order(store.rows("pipeline_sources", pipeline_id=pipeline_id)):
-        df = reader(store.spark, store.connector(s.source_id), s.source_table)
+        df = reader(store.spark, store.connector(s.source_id), s.source_table, **_options(s))
         if _value(s, "combine_mode", "union") == "join":
             out.append(SourceSpec(df, "join", _value(s, "join_type", "inner"),
                                   ((s.primary_join_column, s.join_column),)))
@@ -148,8 +154,12 @@ def load_sources(store: Store, pipeline_id: str, reader: Callable) -> list[Sourc
 def load_destinations(store: Store, pipeline_id: str) -> list[DestinationSpec]:
     """Destinations, each with its own condition first and then the added ones."""
     out = []
-    for d in _in_order(store.rows("pipeline_destinations", pipeline_id=pipeline_id)):
-        extra = _in_order(store.rows("pipeline_destination_conditions", destination_id=d.id))
+    found = _in_order(store.rows("pipeline_destinations", pipeline_id=pipeline_id))
+    added: dict[str, list[Row]] = {}
+    for c in _in_order(store.rows("pipeline_destination_conditions", destination_id=[d.id for d in found]) if found else []):
+        added.setdefault(c.destination_id, []).append(c)
+    for d in found:
+        extra = added.get(d.id, [])
         conds = tuple(Condition(c.filter_column, c.filter_operator, c.filter_value) for c in [d, *extra])
         out.append(DestinationSpec(d.id, Target(store.connector(d.target_id), d.target_table),
                                    conds, _value(d, "match_mode", "all")))
@@ -172,7 +182,7 @@ def run_job(store: Store, pipeline_id: str, actor: str, reader: Callable = read,
     loaded: list[Loaded] = []
     error = None
     try:
-        primary = reader(store.spark, store.connector(p.source_id), p.source_table)
+        primary = reader(store.spark, store.connector(p.source_id), p.source_table, **_options(p))
         loaded = run_sync(
             primary, mappings, Target(store.connector(p.target_id), p.target_table),
             _value(p, "sync_mode", "append"), load_sources(store, pipeline_id, reader),
@@ -195,7 +205,8 @@ def run_job(store: Store, pipeline_id: str, actor: str, reader: Callable = read,
             [(run_id, pipeline_id, p.direction, sum(x.records for x in loaded),
               sum(x.bytes for x in loaded), ms, completed)], METER_SCHEMA)
         cost = run_cost(F.col("direction"), F.col("records"), F.col("compute_ms"))
-        store.append("metering_events", meter.withColumn("cost_usd", cost))
+        meter = meter.withColumn("day", F.lit(completed.date().isoformat()))
+        store.append("metering_events", meter.withColumn("cost_usd", cost), "day")
     store.audit("pipeline.run", actor, "error" if error else "success",
                 _run_details(p.name, loaded, error, row_cap), pipeline_id,
                 None if error else records, completed)

@@ -14,7 +14,7 @@ from rowferry.operators.fanout import (
     PRIMARY, destination_filter, fanout_rows, mapped_with_bytes,
 )
 from rowferry.plans.spec import SYNC_MODES, DestinationSpec, Mapping, SourceSpec, Target
-from rowferry.session import stage
+from rowferry.session import discard, scratch_path, stage
 from rowferry.sources.writers import write
 
 RESULT_SCHEMA = "destination_id string, records bigint, bytes bigint"
@@ -36,13 +36,19 @@ def needed_columns(mappings: Sequence[Mapping], destinations: Sequence[Destinati
     return list(dict.fromkeys(names))
 
 
-def stage_combined(combined: Combined, needed: Sequence[str]) -> Combined:
+def can_change(df: DataFrame) -> bool:
+    """Whether reading ``df`` twice may give different rows: anything but a scan of files."""
+    return not df.inputFiles()
+
+
+def stage_combined(combined: Combined, needed: Sequence[str], path: str | None = None) -> Combined:
     """Materialise just the needed columns once, in files every target then scans."""
     keep = [c for c in needed if c in combined.df.columns]
     flags = {c: p for c, p in combined.present.items() if c in keep}
-    df = combined.df.select(*[F.col(f"`{c}`") for c in keep],
-                            *[p.alias(f"__has.{c}") for c, p in flags.items()])
-    return Combined(stage(df, "combined"), {c: F.col(f"`__has.{c}`") for c in flags})
+    columns = [*[F.col(f"`{c}`") for c in keep], *[p.alias(f"__has.{c}") for c, p in flags.items()]]
+    # Files need a column, and rows count also where no column of theirs is wanted.
+    df = combined.df.select(*columns or [F.lit(True).alias("__row")])
+    return Combined(stage(df, "combined", path), {c: F.col(f"`__has.{c}`") for c in flags})
 
 
 def _load(combined: Combined, where, mappings, target: Target, mode: str, name: str,
@@ -70,9 +76,11 @@ def run_sync(primary: DataFrame, mappings: Sequence[Mapping], target: Target,
     ``truncate_reload`` empties the primary target only, and only once all input
     has been read; the other destinations are always appended to. Staging writes
     the combined rows (needed columns only) to the scratch folder. ``auto`` does
-    that where it pays or is required: before emptying a target, and when joins
-    would otherwise run again for each destination. Without it every target
-    scans the sources itself, its own filter pushed down.
+    that where it pays or is required: before emptying a target, when joins
+    would otherwise run again for each destination, and when several targets
+    are to get the same rows of a source that can change. Without it every
+    target scans the sources itself, its own filter pushed down. The staged rows
+    are removed when the run ends.
 
     ``parallel`` loads that many destinations at the same time.
     """
@@ -85,9 +93,20 @@ def run_sync(primary: DataFrame, mappings: Sequence[Mapping], target: Target,
     combined = combine(primary, sources, [m.source_col for m in mappings], row_cap)
     joined = any(s.mode == "join" for s in sources) or row_cap is not None
     required = mode == "truncate_reload"
-    if required or staging == "always" or (staging == "auto" and joined and destinations):
-        combined = stage_combined(combined, needed_columns(mappings, destinations))
-
+    pays = destinations and (joined or any(map(can_change, [primary, *(s.df for s in sources)])))
+    staged = None
+    if required or staging == "always" or (staging == "auto" and pays):
+        staged = scratch_path(primary.sparkSession, "combined")
+    try:
+        if staged:
+            combined = stage_combined(combined, needed_columns(mappings, destinations), staged)
+        return _load_all(combined, mappings, target, mode, destinations, compare, align_policy, parallel)
+    finally:
+        if staged:
+            discard(primary.sparkSession, staged)
+
+
+def _load_all(combined, mappings, target, mode, destinations, compare, align_policy, parallel) -> list[Loaded]:
     done = [_load(combined, None, mappings, target, mode, PRIMARY, align_policy)]
 
     def load(dest: DestinationSpec) -> Loaded:

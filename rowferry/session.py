@@ -30,17 +30,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, hence see one disk."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for staged tables, reachable from every executor.
 
-    It is the folder the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in local tests, is a temporary folder chosen, and then
-    remembered on the session so that later calls agree.
+    It is the folder the cluster names in ``spark.checkpoint.dir``. Only on a
+    local master, as in tests, may that be unset: a temporary folder is chosen
+    then and remembered on the session, so that later calls agree. Anywhere else
+    each executor would write to a disk of its own, so that raises.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         root = spark.conf.get("rowferry.scratch", None)
     if not root:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="rowferry-")
         spark.conf.set("rowferry.scratch", root)
     return root.rstrip("/")
@@ -51,13 +59,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/rowferry/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df, label: str = "stage"):
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more; only below the scratch folder."""
+    if not path.startswith(f"{scratch_root(spark)}/rowferry/"):
+        raise ValueError(f"{path} is not a staged table")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stage(df, label: str = "stage", path: str | None = None):
     """Write ``df`` to the scratch folder and return a scan of what was written.
 
     This cuts the lineage with files that outlive any executor, and fixes the
-    rows before a target that is also a source gets overwritten.
+    rows before a target that is also a source gets overwritten. A caller that
+    wants to :func:`discard` the table passes its ``path``.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,10 @@ caller reach the database or the file footer through Catalyst, so there is one
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +45,21 @@ STORE_URIS = {
     "file": "{database}",
 }
 # Preview length, default and largest length of an extract,
-# seconds allowed for a data request.
+# seconds allowed for making a connection.
 PREVIEW_ROWS = 25
 EXTRACT_DEFAULT = 100
 EXTRACT_MAX = 10_000
-QUERY_TIMEOUT_S = 15
+CONNECT_TIMEOUT_S = 15
+#: The drivers' names of that setting, and how many of their units are a second; MySQL
+#: hands rows over in steps only where it is told to use a cursor.
+CONNECT_OPTIONS = {
+    "mssql": {"loginTimeout": 1},
+    "postgresql": {"connectTimeout": 1, "loginTimeout": 1},
+    "supabase": {"connectTimeout": 1, "loginTimeout": 1},
+    "mysql": {"connectTimeout": 1000},
+    "oracle": {"oracle.net.CONNECT_TIMEOUT": 1000},
+}
+DRIVER_OPTIONS = {"mysql": {"useCursorFetch": "true"}}
 
 
 def is_relational(connector: Connector) -> bool:
@@ -66,15 +78,19 @@ def quoted_table(connector: Connector, table: str) -> str:
 
 def jdbc_options(connector: Connector, table: str | None = None, query: str | None = None,
                  **extra: str) -> dict[str, str]:
-    """Options for ``format('jdbc')``; ``extra`` may add partitioning or a driver."""
+    """Options for ``format('jdbc')``; ``extra`` may add partitioning, a driver or a ``queryTimeout``.
+
+    Connecting must succeed within 15 seconds; a statement may take as long as it needs.
+    """
     url, port = JDBC_URLS[connector.type]
     options = {
         "url": url.format(host=connector.host, port=connector.port or port,
                           database=connector.database),
         "user": connector.username,
         "password": connector.password,
-        "queryTimeout": str(QUERY_TIMEOUT_S),
         "fetchsize": "10000",
+        **{k: str(CONNECT_TIMEOUT_S * unit) for k, unit in CONNECT_OPTIONS[connector.type].items()},
+        **DRIVER_OPTIONS.get(connector.type, {}),
     }
     if query is not None:
         options["query"] = query
@@ -123,71 +139,108 @@ def file_format(table: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, quoting: str = "standard",
-             options: dict[str, str] | None = None) -> DataFrame:
+             options: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; all columns text, cells and header trimmed.
 
-    ``quoting='none'`` treats quotes as ordinary characters and splits at every
-    comma. Blank lines are skipped, absent cells are NULL, surplus cells dropped.
+    Quoted cells may hold line breaks, so a file is read by one task; where none
+    do, ``multi_line=False`` divides files between tasks. The files of a folder
+    must have the same header, other ones raise. ``quoting='none'`` treats
+    quotes as ordinary characters and splits at every comma and line break.
+    Blank lines are skipped, absent cells are NULL, surplus cells dropped.
     """
     reader = spark.read.options(**(options or {})).options(
-        header="true", inferSchema="false",
-        ignoreLeadingWhiteSpace="true", ignoreTrailingWhiteSpace="true",
-        enforceSchema="true",
+        header="true", inferSchema="false", ignoreLeadingWhiteSpace="true", ignoreTrailingWhiteSpace="true",
+        enforceSchema="false",
     )
     if quoting == "none":
-        reader = reader.option("quote", "")
+        reader = reader.option("quote", "").option("enforceSchema", "true")
     else:
-        reader = reader.option("escape", '"').option("multiLine", "false")
+        reader = reader.option("escape", '"').option("multiLine", str(multi_line).lower())
     df = reader.csv(path)
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def has_json_lines(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> bool:
-    """Whether the first line that is not blank holds one complete object."""
+def json_layouts(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """Files below ``path`` by layout: ``lines`` if each line that is not blank is an object, else ``document``.
+
+    One pass over the lines, so pass the layout of large data instead.
+    """
     text = F.trim(F.col("value"))
-    first = (
+    files = (
         spark.read.options(**(options or {})).text(path).filter(text != "")
-        .select((text.startswith("{") & text.endswith("}")).alias("whole")).first()
+        .select(F.col("_metadata.file_path").alias("file"),
+                (text.startswith("{") & text.endswith("}")).alias("whole"))
+        .groupBy("file").agg(F.min("whole").alias("whole")).collect()  # one row per file
     )
-    return first is not None and first["whole"]
+    return {"lines": sorted(r.file for r in files if r.whole), "document": sorted(r.file for r in files if not r.whole)}
+
+
+def json_names(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> list[str]:
+    """Column names of a JSON table: those of its first record.
+
+    Where a record is a line, no more than that line is read.
+    """
+    first = spark.read.options(**(options or {})).text(path).filter(F.trim("value") != "").limit(1).collect()
+    if not first:
+        return []
+    try:
+        record = json.loads(first[0].value.strip())
+    except ValueError:
+        return read_json(spark, path, options=options).columns
+    if isinstance(record, list):
+        record = record[0] if record else {}
+    return list(record)
 
 
 def read_json(spark: SparkSession, path: str, lines: bool | None = None,
-              options: dict[str, str] | None = None) -> DataFrame:
-    """An array of objects, one object, or JSON Lines; ``None`` looks at the first line.
+              options: dict[str, str] | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """An array of objects, one object, or JSON Lines.
 
-    JSON Lines files are split between tasks; use them for large data. A blank
-    file has no rows and no columns.
+    ``lines`` gives the layout; ``None`` finds that of each file, so a folder may
+    hold both. JSON Lines files are divided between tasks; use them for large
+    data. A ``schema`` saves the pass that infers it. Broken records raise. A
+    blank file has no rows and no columns.
     """
-    if lines is None:
-        lines = has_json_lines(spark, path, options)
-    reader = spark.read.options(**(options or {}))
-    return reader.option("multiLine", str(not lines).lower()).json(path)
+    reader = spark.read.options(**(options or {})).option("mode", "FAILFAST")
+    if schema is not None:
+        reader = reader.schema(schema)
+
+    def part(where, multi_line: bool) -> DataFrame:
+        return reader.option("multiLine", str(multi_line).lower()).json(where)
+
+    if lines is not None:
+        return part(path, not lines)
+    found = [part(files, layout == "document")
+             for layout, files in json_layouts(spark, path, options).items() if files]
+    if not found:
+        return part(path, False)
+    # Types that differ between the two layouts are brought together as in any union.
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
 def read(spark: SparkSession, connector: Connector, table: str,
          columns: Sequence[str] | None = None, quoting: str = "standard",
+         multi_line: bool = True, lines: bool | None = None, schema: T.StructType | str | None = None,
          **options: str) -> DataFrame:
     """Scan ``table`` of ``connector``; ``columns`` narrows and orders the result.
 
     A requested column that a *file* lacks comes back as NULL. A database
-    raises, as it does for any query naming an unknown column.
+    raises, as it does for any query naming an unknown column. ``quoting`` and
+    ``multi_line`` are of CSV, ``lines`` and ``schema`` of JSON files.
     """
     require_supported(connector)
     if is_relational(connector):
         df = spark.read.format("jdbc").options(**jdbc_options(connector, table, **options)).load()
         return df.select(*columns) if columns is not None else df
-    df = _read_file(spark, file_uri(connector, table), file_format(table), quoting,
-                    {**store_options(connector), **options})
-    return project(df, columns) if columns is not None else df
-
-
-def _read_file(spark, path, fmt, quoting="standard", options=None) -> DataFrame:
+    path, fmt = file_uri(connector, table), file_format(table)
+    settings = {**store_options(connector), **options}
     if fmt == "csv":
-        return read_csv(spark, path, quoting, options)
-    if fmt in ("json", "jsonl"):
-        return read_json(spark, path, True if fmt == "jsonl" else None, options)
-    return spark.read.options(**(options or {})).parquet(path)
+        df = read_csv(spark, path, quoting, settings, multi_line)
+    elif fmt in ("json", "jsonl"):
+        df = read_json(spark, path, True if fmt == "jsonl" else lines, settings, schema)
+    else:
+        df = spark.read.options(**settings).parquet(path)
+    return project(df, columns) if columns is not None else df
 
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -292,12 +345,23 @@ def table_columns(spark: SparkSession, connector: Connector, table: str, **optio
 
 
 def list_files(spark: SparkSession, folder: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Data files below ``folder`` by name. Only the listing is read, no content."""
+    """``name, length`` of the data files below ``folder``; only the listing is read, no content.
+
+    Names are relative to ``folder``, as :func:`read` takes them. A folder named
+    like a data file, which holds the parts of one table, is one name.
+    """
     files = (
         spark.read.format("binaryFile").options(**(options or {}))
-        .option("recursiveFileLookup", "true").load(folder).select("path", "length")
+        .option("recursiveFileLookup", "true").load(folder)
     )
-    return files.filter(F.col("path").rlike(r"(?i)\.(csv|json|jsonl|parquet)$")).orderBy("path")
+    # Paths come with a scheme whether or not the folder has one: what follows the folder's own path counts.
+    inner = folder.split("://", 1)[-1] if "://" in folder else folder.removeprefix("file:")
+    inner = "/" + inner.strip("/") + "/"
+    path = F.col("path")
+    name = F.substring(path, F.locate(inner, path) + F.lit(len(inner)), F.length(path))
+    table = F.regexp_extract(name, r"(?i)^(.*?\.(?:csv|json|jsonl|parquet))(?:/|$)", 1)
+    return files.select(table.alias("name"), "length").filter("name <> ''").groupBy("name").agg(
+        F.sum("length").alias("length")).orderBy("name")
 
 
 def list_columns(frames: dict[str, DataFrame]) -> DataFrame:
@@ -319,7 +383,7 @@ def file_columns(spark: SparkSession, connector: Connector, table: str) -> DataF
     """
     empty = spark.createDataFrame([], COLUMN_SCHEMA)
     try:
-        schema = read(spark, connector, table).schema
+        schema = read(spark, connector, table, multi_line=False).schema
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return empty

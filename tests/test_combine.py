@@ -219,3 +219,28 @@ def test_a_key_column_nobody_has_is_empty_text(spark):
     b = spark.createDataFrame([("v",)], "v string")
     c = combine(a, [SourceSpec(b, "join", "left", (("k", "nope"),))])
     assert rows(c.df.select("i", "v")) == [(1, None), (2, "v")]
+
+
+@pytest.mark.parametrize("keys", [(("k", "k2"),), (("k", "k2"), ("g", "g2"))])
+@pytest.mark.parametrize("nulls", ["never", "match"])
+def test_split_hot_keys_lose_no_row(spark, keys, nulls):
+    left = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a", 1), (4, "b", None), (5, "zz", 1)],
+                                 "i int, k string, g int")
+    right = spark.createDataFrame([(None, 1, "n")] * 40 + [("", 1, "e")] * 40 + [("a", 1, "v")] * 40 + [("b", None, "w")] * 40,
+                                  "k2 string, g2 int, v string")
+    spec = SourceSpec(right, "join", "left", keys, null_keys=nulls)
+    plain = combine(left, [SourceSpec(right, "join", "left", keys, null_keys=nulls, split_hot_keys=0)])
+    split = combine(left, [spec], hot_key_min_rows=10)
+    assert rows(split.df.select("i", "v")) == rows(plain.df.select("i", "v"))
+    assert {r.i for r in split.df.collect()} == {1, 2, 3, 4, 5}
+
+
+def test_a_hot_key_that_left_the_source_loses_no_row(spark):
+    from rowferry.operators import combine as module
+
+    left = spark.createDataFrame([(1, "a"), (2, "gone")], "i int, k string")
+    right = spark.createDataFrame([("a", "v")] * 5, "k2 string, v string")
+    spec, keys = module._fixed(SourceSpec(right, "join", "left", (("k", "k2"),)), ["a", "gone"])
+    assert keys == ["a"]
+    state = module._join(module.Combined(left), spec, 0, keys)
+    assert rows(state.df.select("i", "v")) == [(1, "v")] * 5 + [(2, None)]

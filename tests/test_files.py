@@ -68,7 +68,7 @@ def test_projection_of_a_missing_column(spark, folder, tmp_path):
 def test_listing(spark, folder, tmp_path):
     for name in ("b.CSV", "a.json", "c.txt"):
         put(tmp_path, name, "x\n")
-    got = [r.path.rsplit("/", 1)[1] for r in R.list_tables(spark, folder).collect()]
+    got = [r.name for r in R.list_tables(spark, folder).collect()]
     assert got == ["a.json", "b.CSV"]
 
 
@@ -204,3 +204,114 @@ def test_rewrite_in_place(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(4).write.parquet(path)
     assert rewrite_table(spark.read.parquet(path).filter("id < 2"), path).count() == 2
+
+
+def test_append_without_a_typed_column_keeps_parquet_readable(spark, folder):
+    target = Target(folder, "t.parquet")
+    write(spark.sql("select 1 as i, 'x' as s, cast(2 as bigint) as n"), target)
+    write(spark.sql("select 'y' as s, 3 as n"), target)  # no i, and a narrower n
+    assert sorted(rows(R.read(spark, folder, "t.parquet")), key=repr) == [(1, "x", 2), (None, "y", 3)]
+    with pytest.raises(ValueError, match="column i is string"):
+        write(spark.sql("select 'oops' as i, 's' as s, cast(1 as bigint) as n"), target)
+    assert R.read(spark, folder, "t.parquet").count() == 2
+
+
+@pytest.mark.parametrize("name, text, want", [
+    ("one.csv", "a,b\n1,x\n", [("1", "x"), ("2", "y")]),
+    ("one.jsonl", '{"a": "1", "b": "x"}\n', [("1", "x"), ("2", "y")]),
+    ("one.json", '[{"a": "1", "b": "x"}]', [("1", "x"), ("2", "y")]),
+])
+def test_append_to_a_single_object(spark, folder, tmp_path, name, text, want):
+    put(tmp_path, name, text)
+    write(spark.sql("select '2' as a, 'y' as b"), Target(folder, name))
+    assert sorted(rows(R.read(spark, folder, name, ["a", "b"]))) == want
+
+
+def test_csv_with_line_breaks_comes_back(spark, folder):
+    texts = ["a\nb", 'quote " and\r\nbreak', "comma, x", "é\n\né"]
+    write(spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1), Target(folder, "t.csv"))
+    assert sorted(rows(R.read(spark, folder, "t.csv"))) == [(str(i), t) for i, t in enumerate(texts)]
+
+
+def test_csv_files_with_swapped_headers_raise(spark, folder, tmp_path):
+    (tmp_path / "d.csv").mkdir()
+    put(tmp_path, "d.csv/1.csv", "a,b\n1,2\n")
+    put(tmp_path, "d.csv/2.csv", "b,a\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        R.read(spark, folder, "d.csv").collect()
+
+
+def test_json_folder_with_both_layouts_is_complete(spark, folder, tmp_path):
+    (tmp_path / "d.json").mkdir()
+    put(tmp_path, "d.json/1.json", '{"k": 1}\n{"k": 2}\n')
+    put(tmp_path, "d.json/2.json", '[\n{"k": 3},\n{"k": 4}]')
+    put(tmp_path, "d.json/3.json", '{\n "k": 5, "o": {"x": 1}}')
+    assert sorted(r.k for r in R.read(spark, folder, "d.json").collect()) == [1, 2, 3, 4, 5]
+    assert R.read(spark, folder, "d.json", schema="k int").columns == ["k"]
+
+
+def test_broken_json_raises(spark, folder, tmp_path):
+    put(tmp_path, "b.jsonl", '{"k": 1}\n{"k": \n')
+    with pytest.raises(Exception):
+        R.read(spark, folder, "b.jsonl").collect()
+
+
+def test_json_append_reads_one_record(spark, folder, tmp_path, monkeypatch):
+    from rowferry.sources import writers
+
+    write(spark.sql("select 1 as a, 'x' as b"), Target(folder, "t.jsonl"))
+    monkeypatch.setattr(writers, "read", lambda *a, **k: pytest.fail("the target was read"))
+    write(spark.sql("select 'y' as b"), Target(folder, "t.jsonl"))
+    assert sorted(rows(R.read(spark, folder, "t.jsonl", ["a", "b"])), key=repr) == [(1, "x"), (None, "y")]
+
+
+def test_listed_names_can_be_read(spark, folder, tmp_path):
+    (tmp_path / "sub").mkdir()
+    put(tmp_path, "sub/a b.csv", "a\n1\n")
+    write(spark.sql("select 1 as i"), Target(folder, "t.parquet"))
+    names = [r.name for r in R.list_tables(spark, folder).collect()]
+    assert names == ["sub/a b.csv", "t.parquet"]
+    assert [R.read(spark, folder, n).count() for n in names] == [1, 1]
+
+
+@pytest.mark.parametrize("kind, option, value", [
+    ("postgresql", "connectTimeout", "15"), ("mysql", "connectTimeout", "15000"), ("mssql", "loginTimeout", "15"),
+    ("oracle", "oracle.net.CONNECT_TIMEOUT", "15000"), ("mysql", "useCursorFetch", "true")])
+def test_only_connecting_is_timed(kind, option, value):
+    options = R.jdbc_options(Connector(kind, "d", "h"), "t")
+    assert options[option] == value and "queryTimeout" not in options
+    assert R.jdbc_options(Connector(kind, "d", "h"), "t", queryTimeout=60)["queryTimeout"] == "60"
+
+
+def test_several_targets_get_one_read_of_a_changing_source(spark, folder):
+    from pyspark.sql import functions as F
+    from rowferry.plans.spec import DestinationSpec
+
+    changing = spark.range(20).select("id", F.rand().alias("r"))
+    ends = [DestinationSpec(n, Target(folder, f"{n}.parquet")) for n in ("b", "c")]
+    run_sync(changing, [Mapping("id", "id"), Mapping("r", "r")], Target(folder, "a.parquet"), destinations=ends)
+    a, b, c = (sorted(rows(R.read(spark, folder, f"{n}.parquet"))) for n in "abc")
+    assert a == b == c
+
+
+def test_staged_rows_go_and_unknown_columns_load(spark, folder):
+    import os
+    from rowferry.session import scratch_root
+
+    def staged():
+        top = f"{scratch_root(spark)}/rowferry"
+        return {x for x in os.listdir(top) if x.startswith("combined")} if os.path.isdir(top) else set()
+
+    before = staged()
+    run_sync(spark.range(3), [Mapping("nope", "x")], Target(folder, "t.parquet"), "truncate_reload")
+    assert rows(R.read(spark, folder, "t.parquet")) == [(None,)] * 3 and staged() == before
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+    from rowferry.session import scratch_root
+
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]"))
+    with pytest.raises(ValueError, match="share"):
+        scratch_root(cluster)
