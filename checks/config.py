@@ -61,7 +61,7 @@ _MATCH = f"""
 
 
 def _matched(t):
-    return S.match_schemas(S.candidate_columns(t.source_columns), S.candidate_columns(t.target_columns))
+    return S.match_schemas(S.listed_columns(t.source_columns), S.listed_columns(t.target_columns))
 
 
 @query(f"{_MATCH} SELECT * FROM m")
@@ -84,7 +84,7 @@ def mapping_quality(t):
       FROM s JOIN t ON s.pair = t.pair)
     SELECT pair, source_col, target_col, round(score, 8) AS score FROM sc WHERE k = 1""")
 def best_candidates(t):
-    best = S.best_candidates(S.candidate_columns(t.source_columns), S.candidate_columns(t.target_columns))
+    best = S.best_candidates(S.listed_columns(t.source_columns), S.listed_columns(t.target_columns))
     return best.withColumn("score", F.round("score", 8))
 
 

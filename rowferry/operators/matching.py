@@ -112,35 +112,21 @@ def _let(value: Column, body) -> Column:
 
 
 _COLUMN = "struct<ordinal:int,name:string,type:string,norm:string,cls:string>"
-#: What the fold over a pair's source columns carries: targets still free,
-#: sources put off to the fuzzy pass, and matches found.
-_STATE = (f"struct<free:array<{_COLUMN}>,later:array<{_COLUMN}>,"
-          f"found:array<struct<s:{_COLUMN},t:{_COLUMN},score:double>>>")
+#: What the fold over the source columns left by the exact pass carries: ordinals of free targets, and matches found.
+_STATE = "struct<free:array<int>,found:array<struct<s:int,t:int,score:double>>>"
 
 
-def _state(free: Column, later: Column, found: Column) -> Column:
-    return F.struct(free.alias("free"), later.alias("later"), found.alias("found"))
+def _exact(ss: Column, ts: Column) -> Column:
+    """Pairs (s, t, score) of ordinals with the same normalised name: the first such source gets the first such target,
+    the second the second, and so on. ``t`` is NULL where there is none left."""
+    def settle(s: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(ss["norm"], F.lit(1), i), lambda n: n == s["norm"]))
+        hit = F.get(F.filter(ts, lambda t: t["norm"] == s["norm"]), before)
+        return _let(hit, lambda t: F.struct(
+            s["ordinal"].alias("s"), t["ordinal"].alias("t"),
+            F.when(s["cls"] == t["cls"], F.lit(1.0)).otherwise(F.lit(NAME_WEIGHT)).alias("score")))
 
-
-def _take(state: Column, s: Column, t: Column, value: Column) -> Column:
-    """The state after source ``s`` got target ``t``."""
-    match = F.struct(s.alias("s"), t.alias("t"), value.alias("score"))
-    return _state(
-        F.filter(state["free"], lambda f: f["ordinal"] != t["ordinal"]),
-        state["later"], F.concat(state["found"], F.array(match)),
-    )
-
-
-def _exact_step(state: Column, s: Column) -> Column:
-    """Same normalised name: the first such target that is free."""
-    put_off = _state(state["free"], F.concat(state["later"], F.array(s)), state["found"])
-    first = F.get(F.filter(state["free"], lambda t: t["norm"] == s["norm"]), F.lit(0))
-
-    def settle(hit: Column) -> Column:
-        value = F.when(s["cls"] == hit["cls"], F.lit(1.0)).otherwise(F.lit(NAME_WEIGHT))
-        return F.when(hit.isNull(), put_off).otherwise(_take(state, s, hit, value))
-
-    return _let(first, settle)
+    return F.transform(ss, settle)
 
 
 def best_target(s: Column, targets: Column) -> Column:
@@ -150,13 +136,19 @@ def best_target(s: Column, targets: Column) -> Column:
                                     t.alias("t"))))
 
 
-def _fuzzy_step(floor: float):
-    def step(state: Column, s: Column) -> Column:
-        def settle(best: Column) -> Column:
-            good = F.coalesce(best["score"] > F.lit(floor), F.lit(False))
-            return F.when(good, _take(state, s, best["t"], best["score"])).otherwise(state)
+def _fuzzy_step(ss: Column, ts: Column, floor: float):
+    def step(state: Column, s_no: Column) -> Column:
+        s = F.get(ss, s_no)
 
-        return _let(best_target(s, state["free"]), settle)
+        def settle(best: Column) -> Column:
+            match = F.struct(s_no.alias("s"), best["t"].alias("t"), best["score"].alias("score"))
+            taken = F.struct(F.array_remove(state["free"], best["t"]).alias("free"),
+                             F.concat(state["found"], F.array(match)).alias("found"))
+            return F.when(F.coalesce(best["score"] > F.lit(floor), F.lit(False)), taken).otherwise(state)
+
+        best = F.array_max(F.transform(state["free"], lambda t: F.struct(
+            score(s, F.get(ts, t)).alias("score"), (-t).alias("first"), t.alias("t"))))
+        return _let(best, settle)
     return step
 
 
@@ -165,14 +157,22 @@ def match_schemas(source: DataFrame, target: DataFrame, floor: float = FLOOR) ->
 
     Equal normalised names are settled first, over all source columns. Each
     remaining source column, in order, then gets the best free target, if the
-    score exceeds ``floor``.
+    score exceeds ``floor``. Names may repeat within a pair; the first counts.
+    The only shuffle is the one by pair, and lists of ordinals stand for columns
+    while they are matched.
     """
     pairs = _by_pair(source, target)
-    start = _state(F.col("ts"), F.array(), F.array()).cast(_STATE)
-    found = _let(
-        F.aggregate("ss", start, _exact_step),
-        lambda state: F.aggregate(state["later"], state, _fuzzy_step(floor))["found"],
-    )
+
+    def settled(exact: Column) -> Column:
+        hits = F.filter(exact, lambda m: m["t"].isNotNull())
+        later = F.filter(exact, lambda m: m["t"].isNull())["s"]
+        free = F.array_except(F.col("ts")["ordinal"], hits["t"])
+        start = F.struct(free.alias("free"), F.array().alias("found")).cast(_STATE)
+        step = _fuzzy_step(F.col("ss"), F.col("ts"), floor)
+        return F.concat(hits, F.aggregate(later, start, step)["found"])
+
+    found = F.transform(_let(_exact(F.col("ss"), F.col("ts")), settled), lambda m: F.struct(
+        F.get("ss", m["s"]).alias("s"), F.get("ts", m["t"]).alias("t"), m["score"].alias("score")))
     # The outer form of explode: the plain one makes the optimizer add a filter
     # on the array, and with it a second evaluation of the whole fold.
     found = pairs.select("pair", F.explode_outer(found).alias("m")).filter(F.col("m").isNotNull())
@@ -188,13 +188,10 @@ def match_schemas(source: DataFrame, target: DataFrame, floor: float = FLOOR) ->
 
 def best_candidates(source: DataFrame, target: DataFrame) -> DataFrame:
     """Best target of every source column regardless of what others take."""
-    pairs = _by_pair(source, target)
-    each = pairs.select("pair", "ts", F.explode_outer("ss").alias("s")).filter(F.col("s").isNotNull())
-    best = each.filter(F.size("ts") > 0).withColumn("b", best_target(F.col("s"), F.col("ts")))
-    return best.select(
-        "pair", F.col("s.name").alias("source_col"), F.col("b.t.name").alias("target_col"),
-        F.col("b.score").alias("score"),
-    )
+    pairs = _by_pair(source, target).filter(F.size("ts") > 0)
+    best = F.transform("ss", lambda s: _let(best_target(s, F.col("ts")), lambda b: F.struct(
+        s["name"].alias("source_col"), b["t"]["name"].alias("target_col"), b["score"].alias("score"))))
+    return pairs.select("pair", F.explode_outer(best).alias("m")).filter(F.col("m").isNotNull()).select("pair", "m.*")
 
 
 # -- candidate columns -------------------------------------------------------
@@ -205,19 +202,18 @@ def candidate_columns(primary: DataFrame, joined: DataFrame | None = None) -> Da
     ``joined`` has a further column ``source_no``. Of equal names within a pair
     the first is kept; an aggregate, so repeated names are dropped map-side.
     """
-    def ranked(df: DataFrame, no: Column) -> DataFrame:
-        return df.select("pair", "name", F.struct(no.alias("no"), F.col("ordinal").alias("o")).alias("r"), "type")
+    first = listed_columns(primary, joined).groupBy("pair", "name").agg(F.min(F.struct("ordinal", "type")).alias("m"))
+    return first.select("pair", F.col("m.ordinal").alias("ordinal"), "name", F.col("m.type").alias("type"))
 
-    all_columns = ranked(primary, F.lit(0))
-    if joined is not None:
-        all_columns = all_columns.unionByName(ranked(joined, F.col("source_no").cast("int")))
-    first = all_columns.groupBy("pair", "name").agg(
-        F.min(F.struct("r", "type")).alias("m"))
+
+def listed_columns(primary: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    """As :func:`candidate_columns`, repeated names included, which matching drops itself behind its own shuffle."""
     # Position among all candidates of a pair, in (source, ordinal) order.
-    return first.select(
-        "pair", (F.col("m.r.no") * F.lit(1_000_000) + F.col("m.r.o")).alias("ordinal"), "name",
-        F.col("m.type").alias("type"),
-    )
+    def ranked(df: DataFrame, no: Column) -> DataFrame:
+        return df.select("pair", (no * F.lit(1_000_000) + F.col("ordinal")).alias("ordinal"), "name", "type")
+
+    columns = ranked(primary, F.lit(0))
+    return columns if joined is None else columns.unionByName(ranked(joined, F.col("source_no").cast("int")))
 
 
 def targets_or_sources(target: DataFrame, primary: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rowferry.functions.pricing import run_cost
 from rowferry.operators.lifecycle import apply_updates, replace_by_key
-from rowferry.operators.matching import candidate_columns, match_schemas, targets_or_sources
+from rowferry.operators.matching import listed_columns, match_schemas, targets_or_sources
 from rowferry.operators.secure import decrypt
 from rowferry.plans.run import Loaded, run_sync
 from rowferry.plans.spec import (
@@ -243,7 +243,7 @@ def map_job(store: Store, pipeline_id: str, actor: str) -> DataFrame:
     for no, s in enumerate(joins, 1):
         part = _catalog(store, s.source_id, s.source_table, pipeline_id).withColumn("source_no", F.lit(no))
         joined = part if joined is None else joined.unionByName(part)
-    found = match_schemas(candidate_columns(primary, joined), targets_or_sources(target, primary))
+    found = match_schemas(listed_columns(primary, joined), targets_or_sources(target, primary))
     new = found.select(
         F.col("pair").alias("pipeline_id"), "source_col", "target_col", "source_type",
         "target_type", "confidence", "warning")
