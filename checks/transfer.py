@@ -11,6 +11,7 @@ from rowferry.operators.combine import combine
 from rowferry.operators.fanout import fanout_summary, run_totals
 from rowferry.operators.predicates import condition, conditions, flag
 from rowferry.operators.remap import cast_failures, remap
+from rowferry.plans.jobs import Store, map_job, run_job
 from rowferry.plans.run import result_frame, run_partitioned, run_sync
 from rowferry.plans.spec import Condition, DestinationSpec, Mapping, SourceSpec, Target
 from rowferry.session import scratch_path
@@ -480,3 +481,32 @@ def json_array_roundtrip(t):
     path = file_uri(target.connector, target.table)
     text.union(end).coalesce(1).write.mode("append").text(path)
     return read(t.spark, target.connector, target.table, cols)
+
+
+@query("""
+    SELECT 'sync_runs' AS ledger, 'completed' AS status, 2 AS entries, cast(2 * count(*) AS BIGINT) AS records FROM orders
+    UNION ALL SELECT 'audit_logs', 'success', 3, cast(2 * count(*) AS BIGINT) FROM orders
+    UNION ALL SELECT 'metering_events', NULL, 2, cast(2 * count(*) AS BIGINT) FROM orders""")
+def stored_job_ledger(t):
+    """What a stored transfer of all orders, mapped once and run twice, leaves in the ledgers."""
+    store = Store(t.spark, scratch_path(t.spark, "store"))
+    place = scratch_target(t.spark, "orders.parquet").connector
+    write(t.orders, Target(place, "orders.parquet"))
+    store.append("connectors", t.spark.sql(f"select 'c1' id, 'file' type, named_struct('database', '{place.database}', "
+                                           "'host', '', 'port', cast(null as int), 'username', '', 'password', '') config"))
+    store.append("pipelines", t.spark.sql(
+        "select 'p1' id, 'All orders' name, 'c1' source_id, 'c1' target_id, 'orders.parquet' source_table, "
+        "'copy.parquet' target_table, 'cloud_bound' direction, 'draft' status, 'append' sync_mode, '2024' created_at"))
+    map_job(store, "p1", "check")
+    for _ in range(2):
+        report = run_job(store, "p1", "check")
+        if report.error:
+            raise ValueError(report.error)
+
+    def ledger(name, records, status="status"):
+        return store.table(name).groupBy(F.expr(status).alias("status")).agg(
+            F.count(F.lit(1)).cast("int").alias("entries"), F.sum(records).alias("records")).select(
+            F.lit(name).alias("ledger"), "status", "entries", "records")
+
+    return ledger("sync_runs", "records").union(ledger("audit_logs", "records_affected")).union(
+        ledger("metering_events", "records", "cast(null as string)"))

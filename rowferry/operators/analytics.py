@@ -12,11 +12,13 @@ connectors (id, name, type).
 from __future__ import annotations
 
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.functions.coerce import day_key, elapsed_ms, epoch_ms, round_half_up
+from rowferry.session import stage
 
 # The three directions a transfer can have.
 DIRECTIONS = ("cloud_bound", "on_prem_bound", "bidirectional")
@@ -239,3 +241,25 @@ def throughput(runs: DataFrame) -> DataFrame:
         "id", "pipeline_id", "records",
         F.when(seconds > 0, _records() / seconds).alias("rows_per_sec"),
     )
+
+
+class Analytics(NamedTuple):
+    """All reports over one copy of the run log."""
+
+    overview: DataFrame
+    daily: DataFrame
+    connectors: DataFrame
+    directions: DataFrame
+    leaderboard: DataFrame
+    hourly: DataFrame
+
+
+def analytics(runs: DataFrame, pipelines: DataFrame, connectors: DataFrame, now: datetime) -> Analytics:
+    """Every report of the analytics page as of ``now``.
+
+    The log is scanned once: the columns that reports use are staged, and all of them read that.
+    """
+    log = stage(runs.select("id", "pipeline_id", "direction", "status", "records", "started_at", "completed_at"), "run-log")
+    return Analytics(
+        overview(log, pipelines), last_days(daily_stats(log)), connector_usage(log, pipelines, connectors),
+        direction_split(log), pipeline_leaderboard(log, pipelines), hourly_throughput(log, now))

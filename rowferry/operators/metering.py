@@ -6,12 +6,15 @@ compute_ms, cost_usd, ts), pipelines (id, name, direction).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.functions.coerce import day_key, elapsed_ms, or_default
 from rowferry.functions.pricing import monthly_charge, run_cost, usage_gb
 from rowferry.operators.analytics import DIRECTIONS
+from rowferry.session import stage
 
 
 def _total(c) -> Column:
@@ -101,3 +104,17 @@ def usage_throughput(events: DataFrame) -> DataFrame:
         F.when(seconds > 0, F.col(c) / seconds).alias(name)
         for c, name in (("records", "rows_per_sec"), ("bytes", "bytes_per_sec"))
     ])
+
+
+class Metering(NamedTuple):
+    """All reports over one copy of the usage log."""
+
+    summary: DataFrame
+    daily: DataFrame
+    pipelines: DataFrame
+
+
+def metering(events: DataFrame, pipelines: DataFrame) -> Metering:
+    """Every report of the usage page; the columns they use are staged and read from there."""
+    log = stage(events.select("pipeline_id", "direction", "records", "bytes", "compute_ms", "cost_usd", "ts"), "usage-log")
+    return Metering(metering_summary(log), daily_costs(log), pipeline_costs(log, pipelines))

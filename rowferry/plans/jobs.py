@@ -33,6 +33,8 @@ METER_SCHEMA = ("id string, pipeline_id string, direction string, records bigint
 AUDIT_SCHEMA = ("id string, action string, actor string, status string, details string, "
                 "pipeline_id string, records_affected bigint, ts timestamp, day string")
 
+STATUS_SCHEMA = "id string, status string, at timestamp, entry string, day string"
+
 # Messages shown to users and kept in the audit log.
 NOT_FOUND = "Pipeline not found"
 NO_TABLES = "Pipeline is missing a source or target table"
@@ -62,7 +64,20 @@ class Store:
         return f"{self.root}/{name}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """A table as it stands; transfers with the last status that was logged for each."""
+        df = self.spark.read.parquet(self.path(name))
+        return self._with_status(df) if name == "pipelines" else df
+
+    def _with_status(self, pipelines: DataFrame) -> DataFrame:
+        try:
+            log = self.spark.read.schema(STATUS_SCHEMA).parquet(self.path("pipeline_status"))
+            log.inputFiles()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return pipelines
+            raise
+        last = log.groupBy("id").agg(F.max_by("status", F.struct("at", "entry")).alias("status"))
+        return apply_updates(pipelines, last, "id", ["status"])
 
     def rows(self, name: str, **equal: str | list[str]) -> list[Row]:
         """The rows of one transfer; none where the table does not exist yet. A list means any of its values."""
@@ -124,6 +139,12 @@ def _pipeline(store: Store, pipeline_id: str) -> Row:
     return found[0]
 
 
+def _place(mapping: Row) -> tuple:
+    """Mappings follow their source columns; those stored without a place come last, by name."""
+    no = mapping["source_ordinal"] if "source_ordinal" in mapping else None
+    return no is None, no or 0, mapping.source_col, mapping.target_col
+
+
 def _in_order(rows: list[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: (r.created_at or "", r.id))
 
@@ -175,7 +196,7 @@ def run_job(store: Store, pipeline_id: str, actor: str, reader: Callable = read,
     """
     p = _pipeline(store, pipeline_id)
     mappings = [Mapping(m.source_col, m.target_col)
-                for m in store.rows("schema_mappings", pipeline_id=pipeline_id)]
+                for m in sorted(store.rows("schema_mappings", pipeline_id=pipeline_id), key=_place)]
     if not mappings:
         raise JobError(NO_MAPPING)
     started = now_utc()
@@ -223,8 +244,10 @@ def _run_details(name: str, loaded: list[Loaded], error: str | None, row_cap: in
 
 
 def set_status(store: Store, pipeline_id: str, status: str) -> None:
-    new = store.spark.createDataFrame([(pipeline_id, status)], "id string, status string")
-    rewrite_table(apply_updates(store.table("pipelines"), new, "id", ["status"]), store.path("pipelines"))
+    """Log a new status. The table of transfers is not rewritten, so runs at the same time lose no update."""
+    at = now_utc()
+    row = (pipeline_id, status, at, uuid.uuid4().hex, at.date().isoformat())
+    store.append("pipeline_status", store.spark.createDataFrame([row], STATUS_SCHEMA), "day")
 
 
 def _catalog(store: Store, connector_id: str, table: str, pair: str) -> DataFrame:
@@ -245,11 +268,13 @@ def map_job(store: Store, pipeline_id: str, actor: str) -> DataFrame:
         joined = part if joined is None else joined.unionByName(part)
     found = match_schemas(listed_columns(primary, joined), targets_or_sources(target, primary))
     new = found.select(
-        F.col("pair").alias("pipeline_id"), "source_col", "target_col", "source_type",
+        F.col("pair").alias("pipeline_id"), "source_ordinal", "source_col", "target_col", "source_type",
         "target_type", "confidence", "warning")
     keys = store.spark.createDataFrame([(pipeline_id,)], "pipeline_id string")
     try:
         current = store.table("schema_mappings")
+        if "source_ordinal" not in current.columns:
+            current = current.withColumn("source_ordinal", F.lit(None).cast("int"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.plans.spec import SYNC_MODES, Target
-from rowferry.session import scratch_path, stage
+from rowferry.session import discard, scratch_path, stage
 from rowferry.sources.readers import (
     file_format, file_uri, is_relational, jdbc_options, json_names, read, require_supported, store_options,
 )
@@ -154,8 +154,10 @@ def rewrite_table(df: DataFrame, path: str) -> DataFrame:
     The new rows are complete in the scratch folder before the old files go, so
     a failure while computing them leaves the table as it was.
     """
-    staged = stage(df, "rewrite")
-    staged.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    place = scratch_path(spark, "rewrite")
+    stage(df, "rewrite", place).write.mode("overwrite").parquet(path)
+    discard(spark, place)
     return df.sparkSession.read.parquet(path)
 
 

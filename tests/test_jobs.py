@@ -168,3 +168,41 @@ def test_source_spec_checks(spark):
         SourceSpec(spark.range(1), "cross")
     with pytest.raises(ValueError):
         run_sync(spark.range(1), [], None)
+
+
+def test_interleaved_status_updates_both_survive(spark, store):
+    from rowferry.plans.jobs import set_status
+
+    before = spark.read.parquet(store.path("pipelines")).count()
+    stale = store.table("pipelines")  # another run's view, taken before
+    set_status(store, "p1", "active")
+    stale.count()
+    set_status(store, "p2", "error")
+    set_status(store, "p1", "paused")
+    got = {r.id: r.status for r in store.table("pipelines").collect()}
+    assert (got["p1"], got["p2"], got["p3"]) == ("paused", "error", "draft") and len(got) == before
+
+
+def test_read_options_of_a_stored_source_reach_the_reader(spark, store):
+    seen = {}
+
+    def reader(spark, connector, table, **options):
+        seen[table] = options
+        return read(spark, connector, table)
+
+    pipelines = spark.read.parquet(store.path("pipelines")).withColumn(
+        "read_options", F.create_map(F.lit("partitionColumn"), F.lit("id"), F.lit("numPartitions"), F.lit("8")))
+    pipelines.write.mode("overwrite").parquet(store.path("pipelines-new"))
+    s = type(store)(spark, store.root)
+    s.path = lambda name: f"{store.root}/{'pipelines-new' if name == 'pipelines' else name}"
+    map_job(s, "p1", "me")
+    report = run_job(s, "p1", "me", reader)
+    assert report.error is None, report.error
+    assert seen["orders.csv"] == {"partitionColumn": "id", "numPartitions": "8"} and seen["customers.csv"] == {}
+
+
+def test_mappings_come_back_in_order(spark, store):
+    mapped = map_job(store, "p1", "me")
+    from rowferry.plans.jobs import _place
+
+    assert [m.source_col for m in sorted(mapped.collect(), key=_place)] == ["id", "customer_id", "amount"]

@@ -131,3 +131,19 @@ def test_sources_without_targets_match_nothing(spark):
 def test_quality(spark):
     df = spark.createDataFrame([("p", 0.99, None), ("p", 0.6, "w")], "pair string, confidence double, warning string")
     assert tuple(S.mapping_quality(df).first()) == ("p", 2, 80, 1, 1)
+
+
+def test_matching_shuffles_once_and_takes_wide_tables(spark):
+    n = 2000
+    side = lambda prefix: spark.range(n).selectExpr("'p' pair", "cast(id as int) ordinal", f"concat('{prefix}', id) name", "'int' type")
+    found = S.match_schemas(side("Col_"), side("col-"))
+    assert found.count() == n and found.filter("confidence < 0.99").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_normalised_names_leave_out_every_blank(spark):
+    blanks = "".join(chr(c) for c in (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                                      0x205F, 0x3000, 0xFEFF))
+    df = spark.createDataFrame([("A" + blanks + "_-b",)], "n string")
+    assert df.select(S.normalized(F.col("n")).alias("n")).first().n == "ab"

@@ -222,3 +222,26 @@ def test_broadcast_only_below_the_bounds(spark, monkeypatch):
                 assert "SortMergeJoin" in plan(large) and large.count() == 80
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_all_reports_at_once(spark, runs, pipelines, connectors):
+    from rowferry.operators import metering as M
+
+    now = datetime(2024, 1, 2, 12)
+    every = A.analytics(runs, pipelines, connectors, now)
+    alone = (A.overview(runs, pipelines), A.last_days(A.daily_stats(runs)), A.connector_usage(runs, pipelines, connectors),
+             A.direction_split(runs), A.pipeline_leaderboard(runs, pipelines), A.hourly_throughput(runs, now))
+    for a, b in zip(every, alone, strict=True):
+        assert a.columns == b.columns and a.collect() == b.collect()
+    assert set(every.overview.inputFiles()) == set(every.daily.inputFiles()) | set(every.overview.inputFiles())
+    events = spark.sql("""select 'p1' pipeline_id, 'cloud_bound' direction, 10L records, 20L bytes, 30L compute_ms,
+        0.5d cost_usd, timestamp'2024-01-01 10:00:00' ts""")
+    both = M.metering(events, pipelines)
+    for a, b in zip(both, (M.metering_summary(events), M.daily_costs(events), M.pipeline_costs(events, pipelines)),
+                    strict=True):
+        assert a.collect() == b.collect()
+
+
+def test_success_is_rounded_in_the_order_of_division(spark):
+    total = spark.range(1).select(A._success_pct(F.lit(201), F.lit(400)).alias("pct"))
+    assert total.first().pct == 50.2
