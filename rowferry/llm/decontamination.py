@@ -31,6 +31,9 @@ COVERED, RUN = 0.5, 3
 #: Items are in blocks of this many pieces; words of all items in one shard of the index.
 BLOCK, SHARD_WORDS = 64, 2_000_000
 
+#: Bytes of text that are queried at once; lists of all their passages are held together.
+GROUP = 1 << 19
+
 _U = np.uint64
 
 
@@ -239,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 [batch.column(0).take(pa.array(i)), pa.array(item, pa.int64()),
                  *(pa.array(x, pa.float64()) for x in rest)], names)
 
-        out = out.union(per_group(picked, "text", run, schema))
+        out = out.union(per_group(picked, "text", run, schema, GROUP))
     return out
 
 
@@ -254,5 +257,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **items
             keep[[row[0] for row in leaks_of(shared.value, batch.column(at))]] = False
             return batch.filter(pa.array(keep))
 
-        docs = per_group(docs, text_col, run, schema)
+        docs = per_group(docs, text_col, run, schema, GROUP)
     return docs

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowferry.operators.sizing import broadcast_if_small
+from rowferry.operators.sizing import BROADCAST_ROWS, broadcast_if_small
 from rowferry.session import stage
 
 #: Weights given to the sources in code point order, repeating.
@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this, so no target is above this many times its source's size.
 LIMIT = 3
 #: A source is solved when its words are within this share of the target.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-7
 MAX_STEPS = 200
 #: So often one document of each source is rounded the other way to come nearer to the target.
 SETTLING = 3
@@ -85,6 +85,7 @@ def solve(sizes: DataFrame, goals: DataFrame, limit: int = LIMIT) -> DataFrame:
         F.least(F.lit(0.0), end).alias("low"), F.greatest(F.lit(0.0), end).alias("high"),
         (full | flat).alias("done"))
     state = stage(state, "mix-step")
+    few = F.broadcast if goals.count() <= BROADCAST_ROWS else (lambda df: df)
     for _ in range(MAX_STEPS):
         if state.where(~F.col("done")).limit(1).count() == 0:
             break
@@ -92,7 +93,7 @@ def solve(sizes: DataFrame, goals: DataFrame, limit: int = LIMIT) -> DataFrame:
         mass = F.col("n") * F.col("size")
         exact = "decimal(38,9)"
         step = (
-            sizes.where(known).join(broadcast_if_small(state.where(~F.col("done"))), "source_no")
+            sizes.where(known).join(few(state.where(~F.col("done"))), "source_no")
             .groupBy("source_no").agg(
                 F.sum((mass * F.least(F.lit(float(limit)), tilted)).cast(exact)).cast("double").alias("words"),
                 F.sum(F.when(tilted < limit, mass * F.col("size") * tilted).otherwise(0.0).cast(exact))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rowferry.llm.training import MAX_ROWS, held_out, labelled
-from rowferry.llm.words import buffers, hashes, in_parts, mix, per_group, spans
+from rowferry.llm.words import buffers, hashes, mix, per_group, spans
 
 #: Words of a passage; the last passage of a text may be shorter.
 PASSAGE = 100
@@ -103,12 +103,9 @@ def _attend(x, begin, v, u, w):
     return a, b, e / np.repeat(np.add.reduceat(e, begin[:-1]), np.diff(begin))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Gradient descent (Adam) on the documents' labels."""
+def fit(x: np.ndarray, begin: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Gradient descent (Adam) on the documents' labels, from the vectors of :func:`encode`."""
     rng = np.random.default_rng(seed)
-    parts = [encode(part) for part in in_parts(texts)]
-    x = np.concatenate([np.zeros((0, STATISTICS + SHAPES), np.float32), *(part[0] for part in parts)])
-    begin = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(part[1]) for part in parts)]))]
     prior = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
     some = np.flatnonzero(np.diff(begin) > 0)
     d = STATISTICS + SHAPES
@@ -162,10 +159,24 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **columns) -> Model:
-    """Fit on at most ``max_rows`` labelled rows (see :func:`labelled`), on the driver."""
-    rows = labelled(docs, labels, "quality", max_rows, **columns).select("doc_id", "text", "label").toPandas()
-    rows = rows.sort_values(["doc_id", "label", "text"])
-    return fit(rows["text"].tolist(), rows["label"].to_numpy())
+    """Fit on at most ``max_rows`` labelled rows (see :func:`labelled`).
+
+    Their passages are encoded where the texts are; the driver gets the vectors.
+    """
+    rows = labelled(docs, labels, "quality", max_rows, **columns).select("doc_id", "label", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, begin = encode(batch.column(2))
+        each = [x[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(each, pa.binary())], ["doc_id", "label", "vectors"])
+
+    kept = per_group(rows, "text", run, "doc_id long, label int, vectors binary").collect()
+    kept.sort(key=lambda r: (r.doc_id, r.label, r.vectors))
+    width = STATISTICS + SHAPES
+    sizes = [len(r.vectors) // (4 * width) for r in kept]
+    x = np.frombuffer(b"".join(r.vectors for r in kept), np.float32).reshape(-1, width)
+    return fit(x, np.r_[0, np.cumsum(sizes)].astype(np.int64), np.array([r.label for r in kept], np.int64))
 
 
 def _appended(docs: DataFrame, model: Model, text_col: str, only: bool, schema: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Texts are handled in groups of about this many bytes; a longer text is a group of its own.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Words whose hashes are taken at once span at most about this many bytes.
 SPAN = 1 << 20
 
@@ -118,12 +118,12 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     return total
 
 
-def groups(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold about :data:`GROUP_BYTES`."""
+def groups(batch: pa.RecordBatch, column: int, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about ``size`` bytes (:data:`GROUP_BYTES`)."""
     _, offsets = buffers(batch.column(column))
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + GROUP_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (size or GROUP_BYTES), "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
 
@@ -141,13 +141,14 @@ def in_parts(texts: list[str]) -> Iterator[pa.Array]:
         yield pa.array(part, pa.string())
 
 
-def per_group(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def per_group(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+              size: int | None = None) -> DataFrame:
     """``mapInArrow`` over slices with a bounded number of bytes in text column ``column``."""
     at = df.columns.index(column)
 
     def run(batches):
         for batch in batches:
-            for part in groups(batch, at):
+            for part in groups(batch, at, size):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
