@@ -29,6 +29,8 @@ ERRORS = 1.5
 START = 0.3
 #: A document is scored by windows of this many words; it is as toxic as its most toxic window.
 WINDOW = 40
+#: Windows with about this many terms are scored at once.
+TERMS = 200_000
 
 _U = np.uint64
 
@@ -76,15 +78,18 @@ def weighty(columns: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def raw_scores(model: Model, word: np.ndarray, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Log odds of each window of words from running sums over its terms."""
-    if not len(start):
-        return np.zeros(0)
-    v = model.factors[term].astype(np.float64)
-    each = np.concatenate([v, (v * v).sum(1)[:, None], model.linear[term].astype(np.float64)[:, None]], 1)
-    sums = np.zeros((len(term) + 1, FACTORS + 2))
-    np.cumsum(each, axis=0, out=sums[1:])
-    start, end = np.searchsorted(word, start), np.searchsorted(word, end)
-    d = sums[end] - sums[start]
-    return model.bias + d[:, FACTORS + 1] + 0.5 * ((d[:, :FACTORS] ** 2).sum(1) - d[:, FACTORS])
+    low, high, out, i = np.searchsorted(word, start), np.searchsorted(word, end), np.empty(len(start)), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(high, low[i] + TERMS, "right")))
+        a, b = low[i], high[j - 1]
+        v = model.factors[term[a:b]].astype(np.float64)
+        each = np.concatenate([v, (v * v).sum(1)[:, None], model.linear[term[a:b]].astype(np.float64)[:, None]], 1)
+        sums = np.zeros((b - a + 1, FACTORS + 2))
+        np.cumsum(each, axis=0, out=sums[1:])
+        d = sums[high[i:j] - a] - sums[low[i:j] - a]
+        out[i:j] = model.bias + d[:, FACTORS + 1] + 0.5 * ((d[:, :FACTORS] ** 2).sum(1) - d[:, FACTORS])
+        i = j
+    return out
 
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -164,9 +169,9 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **columns) -> Model:
     """Fit on at most ``max_rows`` labelled rows (see :func:`labelled`), on the driver."""
-    rows = labelled(docs, labels, "toxic", max_rows, **columns).select("doc_id", "text", "label").toPandas()
-    rows = rows.sort_values(["doc_id", "label", "text"])
-    return fit(rows["text"].tolist(), rows["label"].to_numpy())
+    rows = labelled(docs, labels, "toxic", max_rows, **columns).select("doc_id", "label", "text").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.label, r.text))
+    return fit([r.text for r in rows], np.array([r.label for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
