@@ -284,7 +284,7 @@ def encrypt_roundtrip(t):
     SELECT c_custkey, 16 AS iv_chars, 24 AS tag_chars, cast(4 * ceil(strlen(c_name) / 3.0) AS integer) AS data_chars FROM customer""")
 def encrypt_layout(t):
     parts = F.split(encrypt(F.col("c_name"), TRIAL_KEY), "[.]")
-    # Staged so that the three lengths come from one drawing of the IV.
+    # One array of lengths, so that all three come from one drawing of the IV.
     shaped = t.customer.select("c_custkey", F.transform(parts, lambda p: F.length(p)).alias("n"))
     return shaped.select("c_custkey", F.col("n")[0].alias("iv_chars"), F.col("n")[1].alias("tag_chars"),
                          F.col("n")[2].alias("data_chars"))

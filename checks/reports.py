@@ -164,7 +164,7 @@ def run_throughput(t):
 # -- shares ------------------------------------------------------------------
 
 @query(f"""
-    WITH u AS ({_USAGE.strip().replace('WITH per', 'WITH per', 1)})
+    WITH u AS ({_USAGE})
     SELECT connector_id, total_records, floor(total_records * 100.0e0 / (SELECT sum(total_records) FROM u) + 0.5e0) AS share_pct FROM u""")
 def connector_shares(t):
     usage = A.connector_usage(t.sync_runs, t.pipelines, t.connectors)
@@ -341,9 +341,10 @@ def distinct_targets(t):
     return L.distinct_ids(t.destinations, "target_id")
 
 
-@query("SELECT s.id, s.source_id FROM extra_sources s WHERE s.source_id NOT IN (SELECT id FROM connectors)")
+@query("SELECT s.id, s.source_id FROM extra_sources s WHERE s.source_id NOT IN (SELECT id FROM connectors WHERE category = 'cloud')")
 def unresolved_sources(t):
-    return L.unresolved(t.extra_sources, t.connectors, "source_id").select("id", "source_id")
+    """Extra sources that the cloud connectors don't cover."""
+    return L.unresolved(t.extra_sources, t.connectors.filter(F.col("category") == "cloud"), "source_id").select("id", "source_id")
 
 
 @query("""

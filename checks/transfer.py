@@ -65,7 +65,7 @@ def run_fanout_summary(t):
 
 
 @query(f"""
-    WITH s AS ({_FANOUT_SQL.replace('WITH r AS', 'WITH r AS')})
+    WITH s AS ({_FANOUT_SQL})
     SELECT cast(sum(records) AS bigint) AS total_records, cast(sum(bytes) AS bigint) AS total_bytes FROM s""")
 def run_totals_all(t):
     return run_totals(run_fanout_summary(t))
