@@ -8,7 +8,6 @@ and only parts found together with their complements are reported.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
