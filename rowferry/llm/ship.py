@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 import rowferry
+from rowferry.llm.files import create
+from rowferry.session import scratch_path
 
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the running application, once."""
+    """Add the package's sources, as a file in the shared folder, to the running application, once."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     top = os.path.dirname(os.path.abspath(rowferry.__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="rowferry-src-"), "rowferry.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(top):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     out.write(full, os.path.join("rowferry", os.path.relpath(full, top)))
+    target = f"{scratch_path(spark, 'sources')}/rowferry.zip"
+    with create(target) as f:
+        f.write(held.getvalue())
     context.addPyFile(target)
     _SHIPPED.add(context.applicationId)
