@@ -49,6 +49,21 @@ def conflicts(t):
     return I.conflicts(a, b, ["c_custkey"], "customer", "merge")
 
 
+@query("""
+    WITH a AS (SELECT c_custkey, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 0),
+      b AS (SELECT c_custkey, case when c_custkey % 5 = 0 then lower(c_mktsegment) else c_mktsegment end AS seg FROM customer WHERE c_custkey % 4 <> 0)
+    SELECT 'customer' AS table_name, coalesce(a.c_custkey, b.c_custkey) AS c_custkey, 'seg' AS column_name, a.seg AS source_value,
+      b.seg AS target_value, coalesce(a.seg, b.seg) AS resolved_value, 'merge' AS resolution
+    FROM a FULL JOIN b ON a.c_custkey = b.c_custkey WHERE a.seg IS DISTINCT FROM b.seg""")
+def conflicts_one_sided(t):
+    """Rows of either side alone are conflicts too."""
+    seg = F.col("c_mktsegment")
+    a = t.customer.filter("c_custkey % 3 <> 0").select("c_custkey", seg.alias("seg"))
+    b = t.customer.filter("c_custkey % 4 <> 0").select(
+        "c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.lower(seg)).otherwise(seg).alias("seg"))
+    return I.conflicts(a, b, ["c_custkey"], "customer", "merge", one_sided=True)
+
+
 def _event_stream(t):
     # A pattern, because the table may be one file or a folder of files.
     return t.spark.readStream.schema(t.events.schema).parquet(t.path("events") + "*")

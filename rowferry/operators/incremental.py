@@ -45,10 +45,11 @@ def upsert_latest(current: DataFrame, changes: DataFrame, keys: Sequence[str],
 
 
 def conflicts(source: DataFrame, target: DataFrame, keys: Sequence[str], table: str,
-              policy: str = "keep_source") -> DataFrame:
+              policy: str = "keep_source", one_sided: bool = False) -> DataFrame:
     """Values that differ between rows present on both sides, with their resolution.
 
-    ``merge`` takes the source value where there is one; ``skip`` resolves
+    With ``one_sided`` rows that only one side has count too, each of their
+    values against NULL. ``merge`` takes the source value where there is one; ``skip`` resolves
     nothing. Keys must be unique on either side.
     """
     if policy not in POLICIES:
@@ -56,7 +57,8 @@ def conflicts(source: DataFrame, target: DataFrame, keys: Sequence[str], table:
     values = [c for c in source.columns if c not in keys and c in target.columns]
     other = target.select(*[F.col(c).alias(f"__t_{c}") for c in [*keys, *values]])
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__t_{k}") for k in keys])
-    joined = source.join(other, on, "inner")
+    joined = source.join(other, on, "full" if one_sided else "inner")
+    names = [F.coalesce(F.col(k), F.col(f"__t_{k}")).alias(k) if one_sided else F.col(k) for k in keys]
 
     def entry(c: str) -> Column:
         s = text_or_null(F.col(c), source.schema[c].dataType)
@@ -68,5 +70,5 @@ def conflicts(source: DataFrame, target: DataFrame, keys: Sequence[str], table:
             resolved.alias("resolved_value")))
 
     found = F.array_compact(F.array(*[entry(c) for c in values]))
-    return joined.select(F.lit(table).alias("table_name"), *keys, F.inline(found)).withColumn(
+    return joined.select(F.lit(table).alias("table_name"), *names, F.inline(found)).withColumn(
         "resolution", F.lit(policy))

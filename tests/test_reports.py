@@ -201,6 +201,14 @@ def test_conflict_policies(spark, policy, want):
     assert [(r.column_name, r.source_value, r.target_value, r.resolved_value) for r in rows] == [("v", "a", "b", want)]
 
 
+def test_conflicts_of_one_sided_rows(spark):
+    s = spark.createDataFrame([(1, "a"), (2, "s"), (4, None)], "id int, v string")
+    t = spark.createDataFrame([(1, "a"), (3, "t")], "id int, v string")
+    rows = I.conflicts(s, t, ["id"], "t", "merge", one_sided=True).collect()
+    assert sorted((r.id, r.source_value, r.target_value, r.resolved_value) for r in rows) == [
+        (2, "s", None, "s"), (3, None, "t", "t")]
+
+
 # -- sizes -------------------------------------------------------------------
 
 def test_broadcast_only_below_the_bounds(spark, monkeypatch):
