@@ -13,10 +13,17 @@ from rowferry.llm.files import create
 from rowferry.session import scratch_path
 
 _SHIPPED: set[str] = set()
+#: Rows that go to a Python worker, or come from it, at once. A batch is held several times over on its way, and rows here
+#: are whole texts.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources, as a file in the shared folder, to the running application, once."""
+    """Add the package's sources, as a file in the shared folder, to the running application, once.
+
+    Also bounds the batches exchanged with Python workers.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
