@@ -22,8 +22,12 @@ COLUMNS, FACTORS = 1 << 18, 4
 #: A word gives a term for itself and one for each of its beginnings of these many bytes, so inflected and compound
 #: forms share what they have in common.
 PREFIXES = (4, 5, 6, 7, 8)
-EPOCHS, RATE, SHRINK, SEED, MIN_TEXTS = 6, 0.05, 1e-4, 7, 5
-#: Terms whose log odds are within this many standard errors of 0 get no weight.
+EPOCHS, RATE, SHRINK, SEED, MIN_TEXTS = 10, 0.05, 1e-4, 7, 5
+#: Factors are spread by this at first and shrunk, and learned at the lower rate; so are the linear weights that start
+#: from 0, with their own shrinkage.
+SPREAD, LOW_RATE, SHRINK_FACTORS, SHRINK_NEUTRAL = 0.01, 0.02, 0.03, 0.1
+#: The linear weights of terms whose log odds are within this many standard errors of 0 start from 0. Such terms are
+#: learned like all others: what is neutral alone may not be beside another term.
 ERRORS = 1.5
 #: Share of the log odds that linear weights start from; beginnings of a word repeat its evidence.
 START = 0.3
@@ -71,15 +75,22 @@ def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def weighty(columns: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The terms that have weights, with the number of the word that each is of."""
+    """The terms that have weights, and how many of them each word has."""
     mask = known[columns]
-    return np.nonzero(mask)[0], columns[mask]
+    return columns[mask].astype(np.int32), mask.sum(1, dtype=np.int8)
 
 
-def raw_scores(model: Model, word: np.ndarray, term: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def bounds(count: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the terms of each window begin and end, by how many each word has."""
+    edge = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(count, out=edge[1:])
+    return edge[start], edge[end]
+
+
+def raw_scores(model: Model, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Log odds of each window of words from running sums over its terms."""
-    low, high, out, i = np.searchsorted(word, start), np.searchsorted(word, end), np.empty(len(start)), 0
-    while i < len(start):
+    out, i = np.empty(len(low)), 0
+    while i < len(low):
         j = max(i + 1, int(np.searchsorted(high, low[i] + TERMS, "right")))
         a, b = low[i], high[j - 1]
         v = model.factors[term[a:b]].astype(np.float64)
@@ -96,8 +107,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     """Stochastic gradients (AdaGrad) on the most toxic window of each text.
 
     Linear weights start from smoothed log odds of the terms, so that the first
-    windows chosen are plausible. Terms in fewer than ``MIN_TEXTS`` texts keep
-    no weight: they would only be learned by heart.
+    windows chosen are plausible. All terms in at least ``MIN_TEXTS`` texts have
+    weights and factors; rarer ones would only be learned by heart.
     """
     rng = np.random.default_rng(seed)
     p, n, lengths, i = np.zeros(COLUMNS), np.zeros(COLUMNS), [np.zeros(0, np.int64)], 0
@@ -114,23 +125,24 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     first = np.searchsorted(text, np.arange(len(texts) + 1))
     n_pos, n_neg = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     linear = np.log((p + 1) / (n_pos + 2)) - np.log((n + 1) / (n_neg + 2))
-    known = (p + n >= MIN_TEXTS) & (np.abs(linear) > ERRORS * np.sqrt(1 / (p + 1) + 1 / (n + 1)))
+    known = p + n >= MIN_TEXTS
     known[0] = False
-    linear *= known * START
-    words, used, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    telling = known & (np.abs(linear) > ERRORS * np.sqrt(1 / (p + 1) + 1 / (n + 1)))
+    linear *= telling * START
+    shrink, rate = np.where(telling, SHRINK, SHRINK_NEUTRAL), np.where(telling, RATE, LOW_RATE)
+    used, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int8)]
     for part in in_parts(texts):
-        columns, _ = terms(part)
-        word, term = weighty(columns, known)
-        words.append(word + i)
+        term, count = weighty(terms(part)[0], known)
         used.append(term)
-        i += len(columns)
-    word, term = np.concatenate(words), np.concatenate(used)
-    low, high = np.searchsorted(word, start), np.searchsorted(word, end)
-    factors, bias = rng.normal(0, 0.02, (COLUMNS, FACTORS)) * known[:, None], -2.0
+        counts.append(count)
+    term = np.concatenate(used)
+    del used
+    low, high = bounds(np.concatenate(counts), start, end)
+    factors, bias = rng.normal(0, SPREAD, (COLUMNS, FACTORS)) * known[:, None], -2.0
     g_linear, g_factors, g_bias = np.full(COLUMNS, 1.0), np.full((COLUMNS, FACTORS), 1.0), 1.0
     weight = np.where(labels == 1, min(4.0, max(1.0, n_neg / n_pos)), 1.0)
     for _ in range(epochs):
-        scores = raw_scores(Model(bias, linear, factors), word, term, start, end)
+        scores = raw_scores(Model(bias, linear, factors), term, low, high)
         for i in rng.permutation(len(texts)):
             a, b = first[i], first[i + 1]
             if a == b:
@@ -147,12 +159,12 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
                 continue
             unique, back = np.unique(c, return_inverse=True)
             count = np.bincount(back).astype(float)
-            gl = g * count + SHRINK * linear[unique]
-            gv = g * count[:, None] * (total - factors[unique]) + SHRINK * factors[unique]
+            gl = g * count + shrink[unique] * linear[unique]
+            gv = g * count[:, None] * (total - factors[unique]) + SHRINK_FACTORS * factors[unique]
             g_linear[unique] += gl * gl
             g_factors[unique] += gv * gv
-            linear[unique] -= RATE * gl / np.sqrt(g_linear[unique])
-            factors[unique] -= RATE * gv / np.sqrt(g_factors[unique])
+            linear[unique] -= rate[unique] * gl / np.sqrt(g_linear[unique])
+            factors[unique] -= LOW_RATE * gv / np.sqrt(g_factors[unique])
     return Model(bias, linear.astype(np.float32), factors.astype(np.float32))
 
 
@@ -161,8 +173,8 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     columns, at = terms(texts)
     start, end, text = windows(at)
     best = np.full(len(texts), -np.inf)
-    word, term = weighty(columns, model.linear != 0)
-    np.maximum.at(best, text, raw_scores(model, word, term, start, end))
+    term, count = weighty(columns, (model.linear != 0) | model.factors.any(1))
+    np.maximum.at(best, text, raw_scores(model, term, *bounds(count, start, end)))
     best[np.isneginf(best)] = model.bias
     return 1 / (1 + np.exp(-np.clip(best, -60, 60)))
 

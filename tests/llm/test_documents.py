@@ -225,6 +225,24 @@ def test_held_out_accuracy(spark, operator, label, least):
     assert sum(right) >= least * len(right)
 
 
+def test_terms_neutral_alone_are_toxic_together():
+    rng = np.random.default_rng(3)
+
+    def text(*beside):
+        found = [f"filler{i}" if i % 2 else f"w{i}ord" for i in rng.integers(0, 200, 20)]
+        for word in beside:
+            found.insert(int(rng.integers(0, len(found) + 1)), word)
+        return " ".join(found)
+
+    # zorb and quix are each in a quarter of the toxic and of the clean texts, but together in toxic ones only.
+    kinds = [(120, ("zorb", "quix"), 1), (360, ("vile",), 1), (600, ("zorb",), 0), (600, ("quix",), 0), (1200, (), 0)]
+    model = toxicity.fit([text(*k) for n, k, _ in kinds for _ in range(n)],
+                         np.repeat([y for _, _, y in kinds], [n for n, _, _ in kinds]))
+    both, *alone = (toxicity.score_texts(model, pa.array([text(*k) for _ in range(100)])).mean()
+                    for k in (("zorb", "quix"), ("zorb",), ("quix",)))
+    assert both > 0.4 and max(alone) < 0.2
+
+
 def test_training_rows_are_bounded_and_not_held_out(odd, labels):
     from rowferry.llm.training import labelled
 
