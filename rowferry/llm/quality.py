@@ -103,10 +103,15 @@ def _attend(x, begin, v, u, w):
     return a, b, e / np.repeat(np.add.reduceat(e, begin[:-1]), np.diff(begin))
 
 
-def fit(x: np.ndarray, begin: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Gradient descent (Adam) on the documents' labels, from the vectors of :func:`encode`."""
+def fit(x: np.ndarray, begin: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED,
+        weights: np.ndarray | None = None) -> Model:
+    """Gradient descent (Adam) on the documents' labels, from the vectors of :func:`encode`.
+
+    ``weights`` says how many documents each stands for.
+    """
     rng = np.random.default_rng(seed)
-    prior = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
+    weights = np.ones(len(labels)) if weights is None or not len(labels) else weights / weights.mean()
+    prior = float(np.clip((labels * weights).mean() if len(labels) else 0.5, 0.01, 0.99))
     some = np.flatnonzero(np.diff(begin) > 0)
     d = STATISTICS + SHAPES
     mean = x.mean(0) if len(x) else np.zeros(d)
@@ -126,7 +131,7 @@ def fit(x: np.ndarray, begin: np.ndarray, labels: np.ndarray, epochs: int = EPOC
             t, g, a = _attend(h, b, p["v"], p["u"], p["w"])
             z = np.add.reduceat(h * a[:, None], b[:-1], axis=0)
             dz = 1 / (1 + np.exp(-np.clip(z @ p["out"] + p["bias"][0], -30, 30))) - labels[docs]
-            dz /= len(docs)
+            dz *= weights[docs] / len(docs)
             each = (h @ p["out"]) * np.repeat(dz, n)  # slope by each attention
             de = a * (each - np.repeat(np.add.reduceat(a * each, b[:-1]), n))
             inner = de[:, None] * p["w"]
@@ -138,10 +143,10 @@ def fit(x: np.ndarray, begin: np.ndarray, labels: np.ndarray, epochs: int = EPOC
                 m1[k] = 0.9 * m1[k] + 0.1 * gradient
                 m2[k] = 0.999 * m2[k] + 0.001 * gradient * gradient
                 p[k] = p[k] - RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-    empty = labels[np.diff(begin) == 0] if len(labels) else np.zeros(0)
     # Texts without words: as those among the labelled, leaning to poor quality.
+    without = np.diff(begin) == 0 if len(labels) else np.zeros(0, bool)
     return Model(mean, scale, p["v"], p["u"], p["w"], p["out"], float(p["bias"][0]),
-                 float((empty.sum() + 0.1) / (len(empty) + 1)))
+                 float(((labels * weights)[without].sum() + 0.1) / (weights[without].sum() + 1)))
 
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
@@ -163,20 +168,23 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **column
 
     Their passages are encoded where the texts are; the driver gets the vectors.
     """
-    rows = labelled(docs, labels, "quality", max_rows, **columns).select("doc_id", "label", "text")
+    rows = labelled(docs, labels, "quality", max_rows, **columns).select(
+        "doc_id", "label", "text", "weight")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, begin = encode(batch.column(2))
         each = [x[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(each, pa.binary())], ["doc_id", "label", "vectors"])
+            [batch.column(0), batch.column(1), pa.array(each, pa.binary()), batch.column(3)],
+            ["doc_id", "label", "vectors", "weight"])
 
-    kept = per_group(rows, "text", run, "doc_id long, label int, vectors binary").collect()
+    kept = per_group(rows, "text", run, "doc_id long, label int, vectors binary, weight double").collect()
     kept.sort(key=lambda r: (r.doc_id, r.label, r.vectors))
     width = STATISTICS + SHAPES
     sizes = [len(r.vectors) // (4 * width) for r in kept]
     x = np.frombuffer(b"".join(r.vectors for r in kept), np.float32).reshape(-1, width)
-    return fit(x, np.r_[0, np.cumsum(sizes)].astype(np.int64), np.array([r.label for r in kept], np.int64))
+    return fit(x, np.r_[0, np.cumsum(sizes)].astype(np.int64), np.array([r.label for r in kept], np.int64),
+               weights=np.array([r.weight for r in kept], float))
 
 
 def _appended(docs: DataFrame, model: Model, text_col: str, only: bool, schema: str) -> DataFrame:

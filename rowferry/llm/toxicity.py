@@ -103,12 +103,14 @@ def raw_scores(model: Model, term: np.ndarray, low: np.ndarray, high: np.ndarray
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED,
+        weights: np.ndarray | None = None) -> Model:
     """Stochastic gradients (AdaGrad) on the most toxic window of each text.
 
     Linear weights start from smoothed log odds of the terms, so that the first
     windows chosen are plausible. All terms in at least ``MIN_TEXTS`` texts have
-    weights and factors; rarer ones would only be learned by heart.
+    weights and factors; rarer ones would only be learned by heart. ``weights``
+    says how many texts each stands for.
     """
     rng = np.random.default_rng(seed)
     p, n, lengths, i = np.zeros(COLUMNS), np.zeros(COLUMNS), [np.zeros(0, np.int64)], 0
@@ -140,7 +142,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     low, high = bounds(np.concatenate(counts), start, end)
     factors, bias = rng.normal(0, SPREAD, (COLUMNS, FACTORS)) * known[:, None], -2.0
     g_linear, g_factors, g_bias = np.full(COLUMNS, 1.0), np.full((COLUMNS, FACTORS), 1.0), 1.0
-    weight = np.where(labels == 1, min(4.0, max(1.0, n_neg / n_pos)), 1.0)
+    weight = np.ones(len(texts)) if weights is None else weights / weights.mean()
+    odds = weight[labels == 0].sum() / max(1e-9, weight[labels == 1].sum())
+    weight = weight * np.where(labels == 1, min(4.0, max(1.0, odds)), 1.0)
     for _ in range(epochs):
         scores = raw_scores(Model(bias, linear, factors), term, low, high)
         for i in rng.permutation(len(texts)):
@@ -181,9 +185,11 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **columns) -> Model:
     """Fit on at most ``max_rows`` labelled rows (see :func:`labelled`), on the driver."""
-    rows = labelled(docs, labels, "toxic", max_rows, **columns).select("doc_id", "label", "text").collect()
+    rows = labelled(docs, labels, "toxic", max_rows, **columns).select(
+        "doc_id", "label", "text", "weight").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.text))
-    return fit([r.text for r in rows], np.array([r.label for r in rows], np.int64))
+    return fit([r.text for r in rows], np.array([r.label for r in rows], np.int64),
+               weights=np.array([r.weight for r in rows], float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

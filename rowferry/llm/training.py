@@ -20,18 +20,23 @@ def held_out(doc_id):
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``doc_id, text, label`` of at most ``max_rows`` labelled rows that may be learned from.
+    """``doc_id, text, label, weight`` of at most ``max_rows`` labelled rows that may be learned from.
 
     The rows are those with the smallest hashes of their ids, half of the bound
-    for each label, so that the rarer label is well represented. Only the labels are ranked;
-    their texts are picked afterwards. Null labels, ids and texts are left out,
-    and so are labels other than 0 and 1.
+    for each label, so that the rarer label is well represented. ``weight`` is
+    how many labels of its kind each row stands for: all that may be learned
+    from are counted, so a model fitted with it doesn't lean to the rarer label
+    as tables grow. Only the labels are ranked; their texts are picked
+    afterwards. Null labels, ids and texts are left out, and so are labels other
+    than 0 and 1.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).where(~held_out(F.col("doc_id"))).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     half = max_rows // 2
+    weights = marks.groupBy("label").agg(F.greatest(F.lit(1.0), F.count(F.lit(1)) / half).alias("weight"))
     picked = marks.where("label = 1").orderBy(*order).limit(half).union(
-        marks.where("label = 0").orderBy(*order).limit(half))
+        marks.where("label = 0").orderBy(*order).limit(half)).join(F.broadcast(weights), "label")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return texts.where("text is not null").join(broadcast_if_small(picked), "doc_id")
+    return texts.where("text is not null").join(broadcast_if_small(picked), "doc_id").select(
+        "doc_id", "text", "label", "weight")

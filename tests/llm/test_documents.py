@@ -225,6 +225,21 @@ def test_held_out_accuracy(spark, operator, label, least):
     assert sum(right) >= least * len(right)
 
 
+@pytest.mark.parametrize("operator, most", [(quality, 0.06), (toxicity, 0.1)])
+def test_scores_do_not_depend_on_the_bound_of_training_rows(spark, operator, most):
+    rng = np.random.default_rng(8)
+    made = []
+    for i in range(6000):  # one in 25 is bad, and of texts with a mark half are
+        bad, marked = rng.random() < 0.04, rng.random() < 0.04
+        bad = bad if not marked else rng.random() < 0.5
+        line = " ".join(f"w{k}" for k in rng.integers(0, 40, 30)) + (" VILE !!! $$$" * 3 if marked else "")
+        made.append((i, line, int(not bad), int(bad)))
+    df = spark.createDataFrame(made, "doc_id long, text string, quality int, toxic int")
+    few, all_ = (np.array([r["score"] for r in rows(operator.score(df, operator.train(df, df, n)).orderBy("doc_id"))])
+                 for n in (400, 10_000))
+    assert abs(few.mean() - all_.mean()) < most
+
+
 def test_terms_neutral_alone_are_toxic_together():
     rng = np.random.default_rng(3)
 
