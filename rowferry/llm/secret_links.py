@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rowferry.llm.words import buffers, per_group
 from rowferry.session import stage
 
-#: Parts at most this many code points apart are in one scope.
+#: Parts at most this many code points apart are in one scope; weak secrets between them, of any length, don't count.
 SCOPE = 300
 
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
@@ -29,7 +29,7 @@ _HEX = re.compile(rb"[0-9a-f]{32,}")  # maximal runs, the shorter ones dropped
 _WEAK_ID = re.compile(
     rb"\b(?:A[BCGINPRS][A-Z]A[A-Z0-9]{12,}|"
     rb"(?i:client_?id|access_?key_?id|account_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,})")
-_WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])")
+_WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(
     rb"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|"
     rb"(?i:host(?:name)?|server|endpoint|url)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+(?::\d+)?")
@@ -112,13 +112,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     # The interval join: parts sorted along the text, and for each role the nearest end before and start after a part.
     ahead = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(1, Window.unboundedFollowing)
+    # Places along the text without its weak secrets, so that a long one doesn't part what stands around it.
+    weak = F.col("kind") == KINDS.index("weak_secret")
+    skipped = F.coalesce(F.sum(F.when(weak, F.col("end") - F.col("start"))).over(ahead), F.lit(0))
+    parts = parts.withColumn("from", F.col("start") - skipped).withColumn(
+        "to", F.when(weak, F.col("from")).otherwise(F.col("end") - skipped))
 
     def near(kinds):
         mine = F.col("kind").isin([KINDS.index(k) for k in kinds])
-        before = F.max(F.when(mine, F.col("end"))).over(ahead)
-        after = F.min(F.when(mine, F.col("start"))).over(behind)
-        return F.coalesce(F.col("start") - before <= scope, F.lit(False)) | F.coalesce(
-            after - F.col("end") <= scope, F.lit(False))
+        before = F.max(F.when(mine, F.col("to"))).over(ahead)
+        after = F.min(F.when(mine, F.col("from"))).over(behind)
+        return F.coalesce(F.col("from") - before <= scope, F.lit(False)) | F.coalesce(
+            after - F.col("to") <= scope, F.lit(False))
 
     marked = parts.select(
         "*", near(["access", "weak_id"]).alias("ids"), near(["assign", "hex", "weak_secret"]).alias("secrets"),

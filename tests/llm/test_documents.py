@@ -122,6 +122,15 @@ def test_weak_parts_need_their_complements(spark):
     assert got == {0: ["weak_id", "weak_endpoint", "weak_secret"], 1: [], 2: [], 3: [], 4: [], 5: [], 6: ["weak_secret"]}
 
 
+def test_secrets_of_any_length_count(spark):
+    token = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7xC0" * 10
+    texts = [f"ASIA1234567890ABCDEF {t} https://sts.example.org" for t in (token, token[:128], token + "==", token * 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rows(secret_links.digest(secret_links.scan(df))):
+        text = texts[r["doc_id"]]
+        assert f"weak_secret:21:{text.index(' https')}" in r["spans"].split(",") and r["spans"].count("weak") == 3
+
+
 # mixing (op8)
 
 
