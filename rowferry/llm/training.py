@@ -27,7 +27,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX
     how many labels of its kind each row stands for: all that may be learned
     from are counted, so a model fitted with it doesn't lean to the rarer label
     as tables grow. Only the labels are ranked; their texts are picked
-    afterwards. Null labels, ids and texts are left out, and so are labels other
+    afterwards, one text of each id however often it is repeated. Null labels, ids and texts are left out, and so are labels other
     than 0 and 1.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where(
@@ -38,5 +38,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX
     picked = marks.where("label = 1").orderBy(*order).limit(half).union(
         marks.where("label = 0").orderBy(*order).limit(half)).join(F.broadcast(weights), "label")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return texts.where("text is not null").join(broadcast_if_small(picked), "doc_id").select(
+    return texts.where("text is not null").join(broadcast_if_small(picked), "doc_id").groupBy("doc_id", "label").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.max("weight").alias("weight")).select(
         "doc_id", "text", "label", "weight")

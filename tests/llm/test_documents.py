@@ -274,6 +274,16 @@ def test_training_rows_are_bounded_and_not_held_out(odd, labels):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows(labelled(odd, labels, "toxic")))
 
 
+def test_one_training_text_of_each_id(spark):
+    from rowferry.llm.training import labelled
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None), (4, "x")],
+                                 "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, toxic int")
+    got = [r["doc_id"] for r in rows(labelled(docs, marks, "toxic"))]
+    assert len(got) == len(set(got)) and 1 in got
+
+
 # token ids (op3)
 
 
