@@ -27,10 +27,12 @@ from rowferry.session import stage
 NEIGHBOURS, BACKWARD = 24, 48
 #: Passes over random leaves, leaves of each node in one, nodes of a leaf at most, neighbours taken from it.
 LEAVES, PROBES, LEAF, FROM_LEAF = 4, 2, 512, 16
-#: NN-descent: iterations, list entries that take part forward, and backward in one comparison, and improvements sent.
-ITERATIONS, FORWARD, TOGETHER, IMPROVE = 2, 16, 32, 4
-#: Search: nodes expanded in a step, at most; steps; nodes kept; scored again at the end.
-EXPAND, STEPS, POOL, FINAL = 256, 4, 512, 24
+#: A leaf that is too large is split by at most this many directions at once.
+SPLIT = 64
+#: NN-descent: share of changed list entries at which it ends, list entries that take part forward, and backward in one comparison, and improvements sent.
+CHANGED, FORWARD, TOGETHER, IMPROVE = 0.002, 16, 32, 4
+#: Search: nodes expanded in a step, at most, and all expanded at the end; nodes kept; scored again at the end.
+EXPAND, POOL, FINAL = 256, 512, 24
 #: Vectors that lie together when queries are scored against them.
 TOGETHER_VECTORS = 16_384
 SEED = 5
@@ -119,6 +121,77 @@ def _merged(lists: DataFrame, k: int, spread: bool = False) -> DataFrame:
     return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, _LISTS)
 
 
+def _split(placed: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """``leaf, lot, node`` of leaves with at most ``LEAF`` nodes.
+
+    A larger leaf is split by random directions from its middle, where vectors
+    that are alike differ, again and again. Only what directions cannot part
+    any more, equal vectors in float32, is cut by hash.
+    """
+    done, last, turn = [], None, 0
+    while True:
+        sizes = stage(placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaf-sizes")
+        hot = stage(sizes.where(F.col("n") > LEAF), "hot-leaves")
+        total = hot.agg(F.count(F.lit(1)), F.sum("n")).first()
+        done.append(placed.join(broadcast_if_small(hot.select("leaf")), "leaf", "left_anti").select(
+            "leaf", F.lit(0).cast("long").alias("lot"), "node"))
+        if not total[0]:
+            break
+        inside = placed.join(broadcast_if_small(hot), "leaf").join(vectors, "node").select("leaf", "n", "node", "vec")
+        if last == tuple(total):  # nothing was parted
+            done.append(inside.select("leaf", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LEAF)).alias("lot"), "node"))
+            break
+        last, turn = tuple(total), turn + 1
+
+        def sums(batches):
+            held = {}
+            for batch in batches:
+                leaf, x = batch.column(0).to_numpy(), _matrix(batch.column(3), np.float32, width)
+                ids, at = np.unique(leaf, return_inverse=True)
+                part = np.zeros((len(ids), width))
+                np.add.at(part, at, x)
+                for i, p in zip(ids.tolist(), part, strict=True):
+                    held[i] = held[i] + p if i in held else p
+                if len(held) > 4096:
+                    yield from out(held)
+                    held = {}
+            yield from out(held)
+
+        def out(held):
+            if held:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(held), pa.int64()), pa.array([p.tobytes() for p in held.values()], pa.binary())],
+                    ["leaf", "total"])
+
+        def added(batches):
+            for g in _groups(batches, 1):
+                yield from out({g.column(0)[0].as_py(): _matrix(g.column(1), np.float64, width).sum(0)})
+
+        kind = "leaf long, total binary"
+        inside = stage(inside, "inside")
+        middles = stage(inside.mapInArrow(sums, kind).repartition("leaf").sortWithinPartitions("leaf").mapInArrow(
+            added, kind), "middles")
+
+        def part(batches, turn=turn):
+            ways = np.random.default_rng(SEED + turn).normal(size=(width, SPLIT))
+            for batch in batches:
+                n = batch.column(1).to_numpy()
+                x = _matrix(batch.column(3), np.float32, width) - _matrix(batch.column(4), np.float64, width) / n[:, None]
+                s = x @ ways
+                s[np.arange(SPLIT) >= np.minimum(SPLIT, np.maximum(2, -(-2 * n // LEAF)))[:, None]] = -np.inf
+                # A new name of the leaf, from its own and the direction.
+                name = mix(batch.column(0).to_numpy().astype(np.uint64) * np.uint64(SPLIT) + np.argmax(s, 1).astype(
+                    np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(2)], ["leaf", "node"])
+
+        placed = stage(inside.join(broadcast_if_small(middles), "leaf").select("leaf", "n", "node", "vec", "total").mapInArrow(
+            part, "leaf long, node long"), "leaves")
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.union(d)
+    return whole
+
+
 def _leaves(nodes: DataFrame, size: int, width: int) -> DataFrame:
     """``node, ids, sims`` from exact comparison within leaves of nodes nearest to the same random directions."""
     wanted = max(1, 2 * PROBES * size // LEAF)
@@ -140,9 +213,7 @@ def _leaves(nodes: DataFrame, size: int, width: int) -> DataFrame:
                         [pa.array(near[:, p] * LEAVES + r), pa.array(node)], ["leaf", "node"])
 
     placed = stage(nodes.select("node", "vec").mapInArrow(assign, "leaf long, node long"), "leaves")
-    lots = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("lots"))
-    placed = placed.join(broadcast_if_small(stage(lots, "leaf-lots")), "leaf").select(
-        "leaf", F.pmod(F.xxhash64("node"), F.col("lots")).alias("lot"), "node")
+    placed = _split(placed, nodes.select("node", "vec"), width)
 
     def run(batches):
         def rows():
@@ -180,7 +251,23 @@ def _each(lists: DataFrame, first: int | None = None) -> DataFrame:
     return lists.mapInArrow(run, "node long, other long, sim float")
 
 
-def _improvements(graph: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def _changed(old: DataFrame, new: DataFrame) -> float:
+    """Share of the entries of new lists that the old ones don't have."""
+    def run(batches):
+        for batch in batches:
+            fresh, count = 0, 0
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = np.frombuffer(b, np.int64)
+                fresh += len(np.setdiff1d(b, np.frombuffer(a or b"", np.int64)))
+                count += len(b)
+            yield pa.RecordBatch.from_arrays([pa.array([fresh]), pa.array([count])], ["fresh", "count"])
+
+    both = old.select("node", F.col("ids").alias("was")).join(new.select("node", "ids"), "node", "right")
+    row = both.select("was", "ids").mapInArrow(run, "fresh long, count long").agg(F.sum("fresh"), F.sum("count")).first()
+    return (row[0] or 0) / (row[1] or 1)
+
+
+def _improvements(graph: DataFrame, nodes: DataFrame, width: int, turn: int = 0) -> DataFrame:
     """Lists of better neighbours from comparing the neighbours of each node with each other."""
     def weakest(batches):
         for batch in batches:
@@ -200,7 +287,7 @@ def _improvements(graph: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         "node", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1)).alias("lot"),
         F.col("other").alias("member"))
     backward = near.select(F.col("other").alias("node"), F.col("node").alias("member")).join(hubs, "node", "left").select(
-        "node", F.pmod(F.xxhash64("member"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"), "member")
+        "node", F.pmod(F.xxhash64("member", F.lit(turn)), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"), "member")
 
     def run(batches):
         def rows():
@@ -226,12 +313,13 @@ def _improvements(graph: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         "node", "lot").sortWithinPartitions("node", "lot").mapInArrow(run, _LISTS)
 
 
-def build(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", iterations: int = ITERATIONS) -> Graph:
+def build(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", iterations: int | None = None) -> Graph:
     """The neighbour graph of all vectors of a table.
 
     Rows whose id or vector is null, whose vector is empty, zero or holds a null or non-finite
     component take no part; neither do those of another length than most.
-    Equal vectors are one node, named by their smallest id.
+    Equal vectors are one node, named by their smallest id. NN-descent goes on
+    until few entries change, or for so many ``iterations``.
     """
     given = table.select(table[id_col].cast("long").alias("vec_id"), table[vector_col].cast("array<double>").alias("v"))
     sound = given.where("vec_id is not null and v is not null").where(
@@ -258,9 +346,12 @@ def build(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     twice = nodes.where("n > 1").select("v", "node")
     rows = sound.join(twice, "v", "left").select("vec_id", F.coalesce("node", "vec_id").alias("node"))
     graph = stage(_merged(_leaves(nodes, size, width), NEIGHBOURS), "graph")
-    for _ in range(iterations):
-        better = _improvements(graph, nodes, width)
-        graph = stage(_merged(graph.union(better), NEIGHBOURS), "graph")
+    turn = 0
+    while iterations is None or turn < iterations:
+        old, turn = graph, turn + 1
+        graph = stage(_merged(old.union(_improvements(old, nodes, width, turn)), NEIGHBOURS), "graph")
+        if iterations is None and _changed(old, graph) <= CHANGED:
+            break
 
     def turned(batches):
         for batch in batches:
@@ -387,10 +478,11 @@ def _walk(graph: Graph, state: DataFrame) -> DataFrame:
 _STATE_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def search(graph: Graph, queries: DataFrame, k: int, steps: int = STEPS) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int, steps: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each row of ``queries`` (column ``vec_id``), itself left out.
 
-    Queries are rows of the table and start from their own node.
+    Queries are rows of the table and start from their own node. Each walk goes
+    on until its best nodes are all expanded, or for so many ``steps`` after the first.
     """
     names = [x.split()[0] for x in _STATE.split(", ")]
     asked = queries.select("vec_id").distinct().join(graph.rows, "vec_id")
@@ -405,8 +497,17 @@ def search(graph: Graph, queries: DataFrame, k: int, steps: int = STEPS) -> Data
 
     starts = graph.nodes.join(broadcast_if_small(asked.select("node").distinct()), "node", "left_semi")
     state = stage(starts.select("node", "vec").mapInArrow(begin, _STATE), "walk")
-    for _ in range(steps + 1):
-        state = _walk(graph, state)
+
+    def open_(batches):
+        for batch in batches:
+            left = sum(not np.frombuffer(d, bool)[:EXPAND].all() for d in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([left])], ["left"])
+
+    step = 0
+    while steps is None or step <= steps:
+        state, step = _walk(graph, state), step + 1
+        if steps is None and not state.select("done").mapInArrow(open_, "left long").agg(F.sum("left")).first()[0]:
+            break
     found = stage(_each(state.select(F.col("query").alias("node"), "ids", "sims"), FINAL).select(
         F.col("node").alias("query"), F.col("other").alias("node")), "found")
 

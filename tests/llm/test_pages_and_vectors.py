@@ -195,6 +195,44 @@ def test_recall(spark):
     assert len(got) == 40 and hits >= 0.9 * 5 * len(got)
 
 
+def _dense(spark, size=3000, width=8):
+    """A third of the rows lie close together without being equal."""
+    rng = np.random.default_rng(4)
+    center = rng.normal(size=width)
+    vectors = [center + rng.normal(size=width) * 0.02 if i % 3 == 0 else rng.normal(size=width) for i in range(size)]
+    return vectors, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)],
+                                          "vec_id long, embedding array<double>")
+
+
+def test_leaves_of_a_dense_group_hold_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 32)
+    vectors, table = _dense(spark)
+    links = neighbours.build(table, iterations=0).links
+    lists = {r["node"]: set(np.frombuffer(r["ids"], np.int64).tolist()) for r in rows(links)}
+    want = _exact(list(range(len(vectors))), vectors, list(range(0, 3000, 90)), 5)
+    hits = sum(v in lists[q] for q, found in want.items() for v, _ in found)
+    assert hits >= 0.6 * 5 * len(want), hits / (5 * len(want))
+
+
+def test_recall_in_a_dense_group(spark, monkeypatch):
+    for name, value in (("LEAF", 32), ("EXPAND", 8), ("POOL", 24)):  # a walk can't visit everything
+        monkeypatch.setattr(neighbours, name, value)
+    vectors, table = _dense(spark)
+    got = {}
+    for r in rows(neighbours.search(neighbours.build(table), table.where("vec_id % 90 = 0"), 5)):
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = _exact(list(range(len(vectors))), vectors, sorted(got), 5)
+    hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in got)
+    assert len(got) == 34 and hits >= 0.9 * 5 * len(got), hits / (5 * len(got))
+
+
+def test_equal_vectors_in_single_precision_fit_in_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 32)
+    table = spark.createDataFrame([(i, [1.0, 2.0, 3.0 + i * 1e-12]) for i in range(100)],
+                                  "vec_id long, embedding array<double>")
+    assert neighbours.search(neighbours.build(table), table.where("vec_id = 0"), 5).count() == 5
+
+
 # components
 
 
