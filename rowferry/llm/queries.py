@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm import (
-    decontamination, html_text, mixing, near_duplicates, neighbours, quality, repair, secret_links, toxicity,
-    warc,
+    decontamination, fingerprints, html_text, mixing, near_duplicates, neighbours, quality, repair, secret_links,
+    toxicity, warc,
 )
 from rowferry.llm.ship import ship
 from rowferry.session import configure
@@ -97,3 +97,9 @@ def op5_nearest_neighbours(spark, sf_dir):
     """The five nearest vectors of every fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(neighbours.build(vectors), vectors.where("vec_id % 50 = 0"), 5)
+
+
+@_query
+def op11_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
