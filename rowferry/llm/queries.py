@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm import (
-    decontamination, fingerprints, html_text, mixing, near_duplicates, neighbours, quality, repair, secret_links,
+    decontamination, fingerprints, html_text, mixing, near_duplicates, neighbours, quality, repair, runs, secret_links,
     toxicity, warc,
 )
 from rowferry.llm.ship import ship
@@ -103,3 +103,9 @@ def op5_nearest_neighbours(spark, sf_dir):
 def op11_fingerprints(spark, sf_dir):
     """Fingerprints of every document and of its edited text, and how alike they are."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of words of every document, repetition brought into some of them by their ids."""
+    return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), alter=runs.altered))
