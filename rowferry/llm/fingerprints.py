@@ -82,16 +82,34 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[first], term[first], np.diff(np.r_[first, len(doc)])
 
 
+_ODD = [_U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+def _units(bits: np.ndarray) -> np.ndarray:
+    """Two numbers within (0, 1) of 23 bits from each 64."""
+    out = (bits.view(np.uint32) >> np.uint32(9)).view(np.int32).astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-23)
+    return out
+
+
 def variates(terms: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each term in one sample: a Gamma(2, 1) step, the logarithm of another such variate, and a uniform shift."""
-    a = mix(terms + _U((0x9E3779B97F4A7C15 * (2 * sample + 1)) & (2**64 - 1)))
-    b = mix(a ^ _U(0xD6E8FEB86659FD93))
-    low, fine = _U((1 << 21) - 1), 2.0**-21
-    step = -np.log((((a & low) + 0.5) * fine) * ((((a >> _U(21)) & low) + 0.5) * fine))
-    shift = ((a >> _U(43)) + 0.5) * fine
-    half = _U((1 << 32) - 1)
-    other = np.log(-np.log((((b & half) + 0.5) * 2.0**-32) * (((b >> _U(32)) + 0.5) * 2.0**-32)))
-    return step, other, shift
+    """Of each term in one sample: a Gamma(2, 1) step, the logarithm of another such variate, and a uniform shift.
+
+    Such a variate is minus the logarithm of a product of two uniform ones. Single precision decides between all but
+    a few terms in a million; the rest go by their order.
+    """
+    a = (terms ^ mix(np.array([sample], np.uint64))) * _ODD[0]
+    a ^= a >> _U(32)
+    a *= _ODD[1]
+    a ^= a >> _U(29)
+    b = a * _ODD[2]
+    b ^= b >> _U(32)
+    u = _units(a)
+    step = -np.log(u[0::2] * u[1::2])
+    u = _units(b)
+    other = np.log(-np.log(u[0::2] * u[1::2]))
+    return step, other, _units(b * _ODD[3])[1::2]
 
 
 def signatures(texts: pa.Array, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
@@ -100,22 +118,20 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> tuple[np.ndarray, np.
     out, some = np.zeros((len(texts), samples), np.uint16), np.zeros(len(texts), bool)
     if not len(doc):
         return out, some
-    # Variates depend on the term, values on term and weight: each distinct pair is worked out once.
+    # Values depend on term and weight alone: each distinct pair is worked out once.
     order = np.lexsort((count, term))
     t, c = term[order], count[order]
-    new_term = np.r_[True, t[1:] != t[:-1]]
-    new = new_term | np.r_[True, c[1:] != c[:-1]]
+    new = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]
     pair = np.empty(len(doc), np.int32)
     pair[order] = np.cumsum(new) - 1
-    only, which = t[new_term], (np.cumsum(new_term) - 1)[new]
-    pair_term, weight = t[new], np.log(c[new].astype(np.float64))
+    pair_term, weight = t[new], np.log(c[new].astype(np.float32))
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     width, mine = np.diff(np.r_[first, len(doc)]), doc[first]
     some[mine] = True
     for k in range(samples):
-        step, other, shift = (v[which] for v in variates(only, k))
+        step, other, shift = variates(pair_term, k)
         grid = np.floor(weight / step + shift)
-        value = (other - step * (grid - shift + 1.0))[pair]
+        value = (other - step * (grid - shift + np.float32(1)))[pair]
         hit = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, first), width))
         hit = hit[np.r_[True, doc[hit[1:]] != doc[hit[:-1]]]]  # of equal values that of the smallest hash
         best = pair[hit]
@@ -146,20 +162,18 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.floa
 FIRST, LAST = 1, 2
 
 
-def _finished(ids: list, texts: list[str], following: list[str], known: tuple | None = None) -> pa.RecordBatch:
-    """Rows whose following texts are at hand; ``known`` are the signatures of texts and following ones, if there."""
-    changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
-    if known is None:
-        known = (*signatures(pa.array(texts, pa.large_string())), *signatures(pa.array(following, pa.large_string())))
-    codes, some, next_codes, next_some = known
-    edited_codes, edited_some = signatures(pa.array(changed, pa.large_string()))
+def _signed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return signatures(pa.array(texts, pa.large_string()))
+
+
+def _finished(ids: list, texts: list[str], changed: list[str], own: tuple, after: tuple, edits: tuple) -> pa.RecordBatch:
+    """Rows of texts and edited texts, from the signatures of the texts, of the following ones and of the edited ones."""
     blank = [None] * len(texts)
     return pa.RecordBatch.from_arrays([
         pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-        _binary(codes, some), _binary(edited_codes, edited_some),
-        pa.array(likeness(codes, edited_codes, some, edited_some)),
-        pa.array(likeness(codes, next_codes, some, next_some)), *(pa.array(blank, t) for t in _TYPES[7:])], _NAMES)
+        _binary(*own), _binary(*edits), pa.array(likeness(own[0], edits[0], own[1], edits[1])),
+        pa.array(likeness(own[0], after[0], own[1], after[1])), *(pa.array(blank, t) for t in _TYPES[7:])], _NAMES)
 
 
 def _edge(doc_id, text: str, which: int) -> pa.RecordBatch:
@@ -173,17 +187,19 @@ def _streamed(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in groups(batch, 1):
             ids, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-            codes, some = signatures(piece.column(1))
             if before is None:
                 yield _edge(ids[0], texts[0], FIRST)
-                earlier, start = texts[:-1], 1
-                known = (codes[1:], some[1:], codes[:-1], some[:-1])
             else:
-                earlier, start = [before[1], *texts[:-1]], 0
-                known = (codes, some, np.concatenate([before[2], codes[:-1]]), np.r_[before[3], some[:-1]])
-            if len(texts) > start:
-                yield _finished(ids[start:], texts[start:], earlier, known)
-            before = ids[-1], texts[-1], codes[-1:], some[-1:]
+                ids, texts = [before[0], *ids], [before[1], *texts]
+            changed = [edited(t, f) for f, t in zip(texts[:-1], texts[1:], strict=True)]
+            n = len(changed)
+            codes, some = _signed((texts[1:] if before else texts) + changed)
+            if before:
+                codes, some = np.concatenate([before[2], codes]), np.r_[before[3], some]
+            own, edits = (codes[1:n + 1], some[1:n + 1]), (codes[n + 1:], some[n + 1:])
+            if n:
+                yield _finished(ids[1:], texts[1:], changed, own, (codes[:n], some[:n]), edits)
+            before = ids[-1], texts[-1], codes[n:n + 1], some[n:n + 1]
     if before is not None:
         yield _edge(before[0], before[1], LAST)
 
@@ -191,7 +207,9 @@ def _streamed(batches) -> Iterator[pa.RecordBatch]:
 def _joined(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in groups(batch, 1):
-            yield _finished(*(piece.column(i).to_pylist() for i in range(3)))
+            ids, texts, following = (piece.column(i).to_pylist() for i in range(3))
+            changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
+            yield _finished(ids, texts, changed, _signed(texts), _signed(following), _signed(changed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
