@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm import (
-    decontamination, fingerprints, html_text, mixing, near_duplicates, neighbours, quality, repair, runs, secret_links,
-    toxicity, warc,
+    collocations, decontamination, fingerprints, html_text, mixing, near_duplicates, neighbours, quality, repair, runs,
+    secret_links, toxicity, warc,
 )
 from rowferry.llm.ship import ship
 from rowferry.session import configure
@@ -109,3 +109,9 @@ def op11_fingerprints(spark, sf_dir):
 def op12_periodic_runs(spark, sf_dir):
     """Periodic runs of words of every document, repetition brought into some of them by their ids."""
     return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), alter=runs.altered))
+
+
+@_query
+def op13_collocations(spark, sf_dir):
+    """The first 2000 phrases of each language."""
+    return collocations.phrases(table(spark, sf_dir, "documents"))

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.words import buffers, groups, mix, spans
+from rowferry.llm.words import buffers, cut_out, groups, mix, spans
 
 #: A run has at least this many words, and at least this many periods.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -46,13 +46,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All words, an exact number for each (equal words, equal numbers), and where each text's words begin."""
     data, offsets = buffers(texts)
     starts, ends, at = spans(data, offsets)
-    inside = np.zeros(len(data) + 1, np.int32)
-    inside[starts] += 1
-    inside[ends] -= 1
-    kept = data[np.cumsum(inside)[:-1] > 0]
-    cuts = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(ends - starts, out=cuts[1:])
-    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(kept)])
+    words = cut_out(data, starts, ends)
     return words, pc.dictionary_encode(words).indices.to_numpy(), at
 
 

@@ -73,12 +73,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, letters: bool = False,
+          kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the index of its first word (and one past the last).
 
-    With ``letters`` a word is a run of ASCII letters, digits and bytes beyond ASCII only.
+    With ``letters`` a word is a run of ASCII letters, digits and bytes beyond ASCII only; with ``kind`` a run of
+    bytes that this table marks.
     """
-    word = _LETTER[data] if letters else ~_SPACE[data]
+    word = kind[data] if kind is not None else _LETTER[data] if letters else ~_SPACE[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -90,6 +92,17 @@ def spans(data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words between ``starts`` and ``ends``, in order and apart, as strings."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] = 1
+    inside[ends] -= 1
+    cuts = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=cuts[1:])
+    kept = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(kept)])
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, lower-cased."""
     out = np.empty(len(starts), np.uint64)
