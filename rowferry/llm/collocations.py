@@ -10,10 +10,11 @@ the prefix.
 
 Nearly all elements are rare, and a frequent phrase has only frequent parts.
 So a first pass counts hashes of words and pairs, exactly enough never to miss
-a frequent one, and keeps those found often enough in a filter of fixed size.
-The second pass fills stripes, with the words themselves, where the filter lets
-all words and pairs of a phrase through; what came through by chance falls away
-when the counts are known.
+a frequent one, and keeps those found often enough in a filter of fixed size. A
+second pass does so with phrases of three and four words whose pairs the filter
+lets through. The last pass fills stripes, with the words themselves, where the
+filter lets a phrase and all its parts through; what came through by chance
+falls away when the counts are known.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 24 << 20
 #: The filter has two to this power bits, whatever the input.
 FILTER_BITS = 28
+#: Phrases of a language are ranked in so many lots first.
+LOTS = 64
 #: Stripes are cut by a hash of the next word into so many, by the number of words before.
 SLICES = (4096, 64, 16, 16)
 UNKNOWN = "und"
@@ -119,24 +122,69 @@ class _Words:
 
         self.hash = mix(hashed(words)[word] ^ mix(hashed(self.langs))[self.lang_at]) if len(words) else np.zeros(0, _U)
 
-    def pairs(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of neighbours at ``among``: first word, second word, number at each place, counts."""
-        n = max(1, len(self.word))
-        key, name, count = np.unique(self.at[among] * n + self.at[among + 1], return_inverse=True, return_counts=True)
-        return key // n, key % n, name, count
-
-    def pair_hash(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return mix(self.hash[first] * _U(3) + mix(self.hash[second]))
-
+    def phrases(self, let_through: _Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Distinct phrases that pass the filter, by the number ``k`` of words before the last, from 1.
 
-def _sketched(docs: DataFrame, bits: int) -> DataFrame:
-    """Hashes of words and pairs with their counts, up to :data:`LEAST`, packed by range of hashes."""
+        Gives ``k``, the number of each phrase's beginning among the phrases
+        given before (a word's own number for ``k`` = 1), its last word, its
+        hash and its count, sorted by beginning.
+        """
+        n = max(1, len(self.word))
+        hashed = self.hash
+        often = let_through(hashed, 1)
+        stands = np.where(often[self.at], self.at, -1) if len(self.at) else self.at
+        place = np.flatnonzero(self.joined)
+        place = place[(stands[place] >= 0) & (stands[place + 1] >= 0)]
+        for k in range(1, LONGEST):
+            both, name, count = np.unique(stands[place] * n + self.at[place + k], return_inverse=True, return_counts=True)
+            first, last = both // n, both % n
+            hashed = mix(hashed[first] * _U(3) + mix(self.hash[last]))
+            good = let_through(hashed, k + 1)
+            yield k, first[good], last[good], hashed[good], count[good]
+            if k == LONGEST - 1 or not good.any():
+                return
+            # Those kept are numbered; the next ones begin and end with one of them.
+            number = np.where(good, np.cumsum(good) - 1, -1)
+            hashed = hashed[good]
+            stands = np.full(len(self.at) + 1, -1, np.int64)
+            stands[place] = number[name]
+            place = place[(stands[place] >= 0) & (stands[place + 1] >= 0)]
+
+
+class _Filter:
+    """Tells hashes that may be frequent, of phrases of up to ``known`` words; lets all longer ones through."""
+
+    def __init__(self, held: bytes | None, known: int):
+        self.table = np.frombuffer(held, np.uint8) if known else None
+        self.known = known
+        self.bits = (8 * len(held or b"")).bit_length() - 1
+
+    def __call__(self, hashed: np.ndarray, words: int) -> np.ndarray:
+        if words > self.known:
+            return np.ones(len(hashed), bool)
+        place = (hashed >> _U(64 - self.bits)).astype(np.int64)
+        return (self.table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sketched(docs: DataFrame, bits: int, held, known: int) -> DataFrame:
+    """Hashes of words and pairs, or with a filter of longer phrases, with their counts up to :data:`LEAST`.
+
+    They are packed by range of hashes.
+    """
     def run(batches):
+        let_through = _Filter(held.value if held else None, known)
         for langs, texts in _chunks(batches):
             w = _Words(langs, texts)
-            first, second, _, count = w.pairs(np.flatnonzero(w.joined))
-            token = np.concatenate([w.hash, w.pair_hash(first, second)])
-            count = np.minimum(np.concatenate([w.count, count]), LEAST).astype(np.uint8)
+            tokens, counts = ([w.hash], [w.count]) if known == 0 else ([], [])
+            for k, _, _, hashed, count in w.phrases(let_through):
+                if k >= known:
+                    tokens.append(hashed)
+                    counts.append(count)
+                if k == (1 if known == 0 else LONGEST - 1):
+                    break
+            if not tokens:
+                continue
+            token, count = np.concatenate(tokens), np.minimum(np.concatenate(counts), LEAST).astype(np.uint8)
             order = np.argsort(token)
             token, count = token[order], count[order]
             part = (token >> _U(64 - bits)).astype(np.int64)
@@ -166,15 +214,19 @@ def _frequent(bits: int):
     return run
 
 
-def _filter(docs: DataFrame, bits: int) -> bytes:
-    """A bit for the leading bits of each frequent hash; its size is fixed."""
-    places = _sketched(docs, bits).groupBy("range").applyInArrow(_frequent(bits), "place long")
-    number = F.col("place") + 1
-    held = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for bucket, bitmap in places.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")).collect():
-        held[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bitmap, np.uint8)
-    return held.tobytes()
+def _filter(docs: DataFrame, bits: int):
+    """Broadcast bits for the leading bits of each frequent hash; their size is fixed."""
+    held, shared = np.zeros((1 << FILTER_BITS) // 8, np.uint8), None
+    for known in (0, 2):
+        places = _sketched(docs, bits, shared, known).groupBy("range").applyInArrow(_frequent(bits), "place long")
+        number = F.col("place") + 1
+        for bucket, bitmap in places.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(
+                F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")).collect():
+            held[(bucket - 1) * 4096:bucket * 4096] |= np.frombuffer(bitmap, np.uint8)
+        if shared is not None:
+            shared.unpersist()
+        shared = docs.sparkSession.sparkContext.broadcast(held.tobytes())
+    return shared
 
 
 _STRIPES = "lang string, k int, prefix string, nexts array<string>, counts array<long>"
@@ -193,40 +245,24 @@ def _stripe_rows(w: _Words, k: int, prefix: pa.Array, key: np.ndarray, following
         [c.split()[0] for c in _STRIPES.split(", ")])
 
 
-def _chunk_stripes(w: _Words, let_through) -> Iterator[pa.RecordBatch]:
-    n = max(1, len(w.word))
+def _chunk_stripes(w: _Words, let_through: _Filter) -> Iterator[pa.RecordBatch]:
     blank = pa.array([""] * len(w.langs), pa.large_string())
     # All words of a language are counted under the empty word.
     yield pa.RecordBatch.from_arrays([
         w.langs.cast(pa.string()), pa.array(np.zeros(len(w.langs), np.int32)), blank.cast(pa.string()),
         pa.array([[""]] * len(w.langs), pa.list_(pa.string())),
         pa.array([[int(t)] for t in w.totals], pa.list_(pa.int64()))], [c.split()[0] for c in _STRIPES.split(", ")])
-    often = let_through(w.hash)
-    at = np.flatnonzero(often)
+    at = np.flatnonzero(let_through(w.hash, 1))
     if not len(at):
         return
     yield _stripe_rows(w, 0, blank, w.lang_at[at], at, w.count[at])
-    place = np.flatnonzero(w.joined)
-    place = place[often[w.at[place]] & often[w.at[place + 1]]]
-    first, second, name, count = w.pairs(place)
-    good = let_through(w.pair_hash(first, second))
-    phrase, key, following = w.word, first, second
-    for k in range(1, LONGEST):
-        if not good.any():
-            return
-        yield _stripe_rows(w, k, phrase, key[good], following[good], count[good])
-        if k == LONGEST - 1:
+    begin = w.word
+    for k, key, following, _, count in w.phrases(let_through):
+        if not len(key):
             return
-        # The phrases kept, numbered, and where they stand; the next ones begin and end with such a phrase.
-        number = np.cumsum(good) - 1
-        phrase = pc.binary_join_element_wise(
-            phrase.take(pa.array(key[good])), w.word.take(pa.array(following[good])), pa.scalar(" ", pa.large_string()))
-        stands = np.full(len(w.at) + 1, -1, np.int64)
-        stands[place] = np.where(good[name], number[name], -1)
-        place = place[(stands[place] >= 0) & (stands[place + 1] >= 0)]
-        both, name, count = np.unique(stands[place] * n + w.at[place + k + 1], return_inverse=True, return_counts=True)
-        key, following = both // n, both % n
-        good = np.ones(len(both), bool)
+        yield _stripe_rows(w, k, begin, key, following, count)
+        begin = pc.binary_join_element_wise(
+            begin.take(pa.array(key)), w.word.take(pa.array(following)), pa.scalar(" ", pa.large_string()))
 
 
 def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -241,15 +277,10 @@ def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, min(31, int(total // RANGE_BYTES).bit_length()))
-    held = docs.sparkSession.sparkContext.broadcast(_filter(rows, bits))
+    held = _filter(rows, bits)
 
     def run(batches):
-        table = np.frombuffer(held.value, np.uint8)
-
-        def let_through(hashed: np.ndarray) -> np.ndarray:
-            place = (hashed >> _U(64 - FILTER_BITS)).astype(np.int64)
-            return (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-
+        let_through = _Filter(held.value, LONGEST)
         for langs, texts in _chunks(batches):
             yield from _chunk_stripes(_Words(langs, texts), let_through)
 
@@ -296,6 +327,10 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top
     score = F.expr(f"cast(a as {wide}) * {2 * UNIT} div (cast(l as {wide}) + cast(r as {wide}))")
     scored = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(
         F.min(F.struct("score", "cut", "l", "r")).alias("least")).select("lang", "phrase", "a", "least.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).join(
+    # The first of each of a language's lots go on to its own ranking, so that this sees a bounded number of rows.
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    lot = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(LOTS))).orderBy(*order)
+    first = scored.withColumn("rank", F.row_number().over(lot)).where(F.col("rank") <= top)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(
+        F.col("rank") <= top).join(
         totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
