@@ -15,7 +15,8 @@ from rowferry.plans.jobs import Store, map_job, run_job
 from rowferry.plans.run import result_frame, run_partitioned, run_sync
 from rowferry.plans.spec import Condition, DestinationSpec, Mapping, SourceSpec, Target
 from rowferry.session import scratch_path
-from rowferry.sources.readers import file_uri, read
+from rowferry.sources.ranges import csv_table, json_array_lines
+from rowferry.sources.readers import file_uri, read, read_json
 from rowferry.sources.writers import scratch_target, write
 
 ORDER_MAPPINGS = [
@@ -466,6 +467,27 @@ def csv_text_roundtrip(t):
     return read(t.spark, target.connector, target.table, cols)
 
 
+@query(r"SELECT cast(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(text, '^[\x00-\x20]+', ''), '[\x00-\x20]+$', '') AS text, lang, source FROM documents")
+def csv_ranges(t):
+    """One CSV file of whole texts, read by a task per megabyte; cells with line breaks cross the borders."""
+    target = scratch_target(t.spark, "documents.csv")
+    write(t.documents.select("doc_id", "text", "lang", "source").coalesce(1), target)
+    return csv_table(t.spark, file_uri(target.connector, target.table), range_bytes=1 << 20)
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def json_array_ranges(t):
+    """One array in one line of one file, its elements cut out by a task per megabyte."""
+    place = scratch_path(t.spark, "array") + ".json"
+    records = t.documents.select(F.to_json(F.struct("doc_id", "text", "lang")).alias("value")).coalesce(1)
+    first = t.documents.agg(F.min("doc_id")).scalar()
+    open_ = F.when(F.get_json_object("value", "$.doc_id").cast("long") == first, "[").otherwise(",")
+    rows = records.sortWithinPartitions(F.get_json_object("value", "$.doc_id").cast("long")).select(
+        F.concat(open_, "value").alias("value"))
+    rows.union(t.spark.createDataFrame([("]",)], "value string")).coalesce(1).write.option("lineSep", " ").text(place)
+    return read_json(t.spark, json_array_lines(t.spark, place, range_bytes=1 << 20), lines=True)
+
+
 @query("SELECT doc_id, text, lang FROM documents UNION ALL SELECT doc_id, text, lang FROM documents")
 def json_array_roundtrip(t):
     """One array file beside JSON Lines parts in a folder; both are read whole."""

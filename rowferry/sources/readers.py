@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from rowferry.plans.spec import Connector
 from rowferry.sources.identifiers import split_identifier
+from rowferry.sources.ranges import begins_with_array, csv_table, json_array_lines, large_files
 
 # Relational systems with JDBC URL form and default port ...
 JDBC_URLS = {
@@ -142,12 +143,18 @@ def read_csv(spark: SparkSession, path: str, quoting: str = "standard",
              options: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; all columns text, cells and header trimmed.
 
-    Quoted cells may hold line breaks, so a file is read by one task; where none
-    do, ``multi_line=False`` divides files between tasks. The files of a folder
-    must have the same header, other ones raise. ``quoting='none'`` treats
-    quotes as ordinary characters and splits at every comma and line break.
-    Blank lines are skipped, absent cells are NULL, surplus cells dropped.
+    Quoted cells may hold line breaks. A file longer than one of Spark's ranges
+    is cut into records by many tasks in two passes and staged (see
+    :func:`rowferry.sources.ranges.csv_table`); shorter ones are read by a task
+    each. Where no cell holds a line break, ``multi_line=False`` saves the
+    passes. The files of a folder must have the same header, other ones raise.
+    ``quoting='none'`` treats quotes as ordinary characters and splits at every
+    comma and line break. Blank lines are skipped, absent cells are NULL,
+    surplus cells dropped.
     """
+    own = {k.lower() for k in options or {}} & {"sep", "delimiter", "quote", "escape", "linesep", "encoding", "charset"}
+    if quoting != "none" and multi_line and not own and large_files(spark, path, options):
+        return csv_table(spark, path, options)
     reader = spark.read.options(**(options or {})).options(
         header="true", inferSchema="false", ignoreLeadingWhiteSpace="true", ignoreTrailingWhiteSpace="true",
         enforceSchema="false",
@@ -175,6 +182,10 @@ def json_layouts(spark: SparkSession, path: str, options: dict[str, str] | None
     return {"lines": sorted(r.file for r in files if r.whole), "document": sorted(r.file for r in files if not r.whole)}
 
 
+def _files(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> list[str]:
+    return [r.path for r in spark.read.format("binaryFile").options(**(options or {})).load(path).select("path").collect()]
+
+
 def json_names(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> list[str]:
     """Column names of a JSON table: those of its first record.
 
@@ -197,9 +208,10 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None,
     """An array of objects, one object, or JSON Lines.
 
     ``lines`` gives the layout; ``None`` finds that of each file, so a folder may
-    hold both. JSON Lines files are divided between tasks; use them for large
-    data. A ``schema`` saves the pass that infers it. Broken records raise. A
-    blank file has no rows and no columns.
+    hold both. JSON Lines files are divided between tasks, and so are array
+    files longer than one of Spark's ranges: their elements are cut out in two
+    passes and staged as JSON Lines. A ``schema`` saves the pass that infers it.
+    Broken records raise. A blank file has no rows and no columns.
     """
     reader = spark.read.options(**(options or {})).option("mode", "FAILFAST")
     if schema is not None:
@@ -208,10 +220,16 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None,
     def part(where, multi_line: bool) -> DataFrame:
         return reader.option("multiLine", str(multi_line).lower()).json(where)
 
-    if lines is not None:
-        return part(path, not lines)
-    found = [part(files, layout == "document")
-             for layout, files in json_layouts(spark, path, options).items() if files]
+    if lines:
+        return part(path, False)
+    arrays = [f for f in large_files(spark, path, options) if begins_with_array(spark, f, options)]
+    found = [part(json_array_lines(spark, arrays, options), False)] if arrays else []
+    rest = [f for f in _files(spark, path, options) if f not in set(arrays)] if arrays else path
+    if lines is False and rest:
+        found.append(part(rest, True))
+    elif rest:
+        found += [part(files, layout == "document")
+                  for layout, files in json_layouts(spark, rest, options).items() if files]
     if not found:
         return part(path, False)
     # Types that differ between the two layouts are brought together as in any union.
