@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowferry.llm.words import buffers, cut_out, groups, hashes, mix, spans
+from rowferry.llm.words import buffers, cut_out, groups, hashes, mix, spans, trimmed
 from rowferry.session import stage
 
 #: Candidates occur at least so often and have 2 to ``LONGEST`` words.
@@ -197,7 +197,7 @@ def _sketched(docs: DataFrame, bits: int, held, known: int) -> DataFrame:
                     pa.array(part[cut[at:at + 64]]), pa.array([short[a:b].tobytes() for a, b in some], pa.binary()),
                     pa.array([count[a:b].tobytes() for a, b in some], pa.binary())], ["range", "tokens", "counts"])
 
-    return docs.mapInArrow(run, "range long, tokens binary, counts binary")
+    return docs.mapInArrow(trimmed(run), "range long, tokens binary, counts binary")
 
 
 def _frequent(bits: int):
@@ -284,7 +284,7 @@ def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
         for langs, texts in _chunks(batches):
             yield from _chunk_stripes(_Words(langs, texts), let_through)
 
-    filled = rows.mapInArrow(run, _STRIPES)
+    filled = rows.mapInArrow(trimmed(run), _STRIPES)
     merged = filled.select("lang", "k", "prefix", F.explode(F.arrays_zip("nexts", "counts")).alias("one")).groupBy(
         "lang", "k", "prefix", F.col("one.nexts").alias("next")).agg(F.sum("one.counts").alias("n")).where(
         (F.col("n") >= LEAST) | (F.col("next") == ""))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.words import buffers, groups, hashes, mix, spans
+from rowferry.llm.words import buffers, groups, hashes, mix, spans, trimmed
 from rowferry.session import stage
 
 #: Samples of a fingerprint; the standard error of a likeness is below ``0.5 / sqrt(SAMPLES)``.
@@ -230,12 +230,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     # The last key divides rows that are alike in all else, so that no partition has to hold all copies of one row.
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
-    found = stage(ordered.mapInArrow(_streamed, _ROWS), "fingerprints")
+    found = stage(ordered.mapInArrow(trimmed(_streamed), _ROWS), "fingerprints")
     parts = sorted(r[0] for r in found.where(F.col("edge") == FIRST).select("part").collect())
     before = spark.createDataFrame(list(zip(parts, parts[-1:] + parts[:-1], strict=True)), "part int, before int")
     first = found.where(F.col("edge") == FIRST).select("part", "doc_id", "text").join(F.broadcast(before), "part")
     last = found.where(F.col("edge") == LAST).select(F.col("part").alias("before"), F.col("text").alias("following"))
-    borders = first.join(last, "before").select("doc_id", "text", "following").mapInArrow(_joined, _ROWS)
+    borders = first.join(last, "before").select("doc_id", "text", "following").mapInArrow(trimmed(_joined), _ROWS)
     return found.where("edge is null").union(borders).select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), F.lower(F.hex("fp")).alias("fingerprint"),
         F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")

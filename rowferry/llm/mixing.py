@@ -114,6 +114,9 @@ def solve(sizes: DataFrame, goals: DataFrame, limit: int = LIMIT) -> DataFrame:
             F.when(F.col("done"), F.col("low")).otherwise(F.col("low2")).alias("low"),
             F.when(F.col("done"), F.col("high")).otherwise(F.col("high2")).alias("high"),
             (F.col("done") | settled).alias("done")), "mix-step")
+    else:
+        if state.where(~F.col("done")).limit(1).count():
+            raise RuntimeError(f"a source did not settle in {MAX_STEPS} steps")
     return state.select("source_no", "tilt")
 
 
@@ -138,10 +141,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Copies of every document for the mix.
 
     Returns ``doc_id, size, source_size, target, rate, copies, taken``, and the
-    input columns named in ``keep`` in a struct ``kept``. A null text has size
+    input columns named in ``keep`` in a struct ``kept``; it travels through
+    every step, so let it be a key rather than texts. A null text has size
     0, a null source is a source of its own, sorted last. Documents of size 0
     give no words: they are taken once (``rate`` 1). Repeated rows are each
-    mixed on their own, rows alike in id and size in either order. An empty
+    mixed on their own, rows alike in id and text in either order. An empty
     table gives an empty result. Other columns are not read. Copies are the
     rates rounded systematically in order of size, which keeps a source's words
     within about one document of its target; then single documents are
@@ -150,9 +154,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"),
         size_of(docs[text_col].cast("string")).alias("size"),
-        F.struct(*[docs[c] for c in keep]).alias("kept") if keep else F.lit(None).cast("string").alias("kept"))
-    if not keep:
-        rows = stage(rows.drop("kept"), "mix-sizes").withColumn("kept", F.lit(None).cast("string"))
+        F.xxhash64(docs[text_col].cast("string")).alias("hash"),
+        F.struct(*[docs[f"`{c}`"].alias(c) for c in keep]).alias("kept") if keep
+        else F.lit(None).cast("string").alias("kept"))
+    rows = stage(rows, "mix-sizes")
     counts = stage(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     goals = stage(targets(counts, weights, limit), "mix-targets")
     named = counts.join(broadcast_if_small(goals.select("source", "source_no")),
@@ -173,9 +178,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lots_table = stage(lots_table, "mix-lots")
     a, b = rows.withColumn("class_", class_of), broadcast_if_small(lots_table)
     dealt = a.join(b, a["source"].eqNullSafe(b["of"]) & (a["class_"] == b["class"])).select(
-        "doc_id", "size", "kept", "source_no", "class", "source_size", "target", rate.alias("rate"),
+        "doc_id", "size", "hash", "kept", "source_no", "class", "source_size", "target", rate.alias("rate"),
         units.alias("units"),
-        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "size"), F.col("lots")).cast("int").alias("lot"))
+        F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "size", "hash"), F.col("lots")).cast("int").alias("lot"))
     lots = dealt.groupBy("source_no", "class", "lot").agg(F.sum(F.col("units").cast("decimal(38,0)")).alias("units"))
     lots = stage(lots, "mix-lot-sums")
     classes = lots.groupBy("source_no", "class").agg(F.sum("units").alias("units"))
@@ -187,11 +192,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             Window.partitionBy("source_no", "class").orderBy("lot").rowsBetween(upto, -1)), F.lit(0)),
             F.lit(UNIT).cast("decimal(38,0)")).cast("long").alias("from_lot"))
     placed = dealt.withColumn("upto", F.sum("units").over(
-        Window.partitionBy("source_no", "class", "lot").orderBy("size", "doc_id").rowsBetween(upto, 0)))
+        Window.partitionBy("source_no", "class", "lot").orderBy("size", "doc_id", "hash").rowsBetween(upto, 0)))
     half = UNIT // 2
     placed = placed.join(broadcast_if_small(stage(offsets, "mix-offsets")), ["source_no", "class", "lot"])
     copies = F.expr(f"(from_lot + upto + {half}) div {UNIT} - (from_lot + upto - units + {half}) div {UNIT}")
-    placed = placed.withColumn("copies", copies.cast("int")).drop("class", "lot", "units", "upto", "from_lot")
+    placed = placed.withColumn("copies", copies.cast("int")).drop("class", "lot", "units", "upto", "from_lot", "hash")
     # The numbers given to rows are fixed by writing them down.
     placed = stage(placed.withColumn("row", F.monotonically_increasing_id()), "mix-placed")
     for _ in range(SETTLING):

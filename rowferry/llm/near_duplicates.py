@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.components import components
-from rowferry.llm.words import buffers, groups, hashes, mix, shingles, spans
+from rowferry.llm.words import buffers, groups, hashes, mix, shingles, spans, trim, trimmed
 from rowferry.operators.sizing import broadcast_if_small
 from rowferry.session import stage
 
@@ -130,12 +130,12 @@ def _chunked(docs: DataFrame, bits: int, size: int) -> DataFrame:
                     held.append((doc_id, len(t), *_print(t), low))
                     tokens += len(low) + 1
                     if tokens >= CHUNK_TOKENS:
-                        yield from _chunk_rows(part << 32 | seq, held, bits, size)
+                        yield from _chunk_rows(part << 20 | seq, held, bits, size)
                         seq, held, tokens = seq + 1, [], 0
         if held:
-            yield from _chunk_rows(part << 32 | seq, held, bits, size)
+            yield from _chunk_rows(part << 20 | seq, held, bits, size)
 
-    return docs.mapInArrow(run, _CHUNKS)
+    return docs.mapInArrow(trimmed(run), _CHUNKS)
 
 
 def _shared_elsewhere(group: pa.Table) -> pa.Table:
@@ -151,8 +151,10 @@ def _shared_elsewhere(group: pa.Table) -> pa.Table:
     same[1:] |= equal
     same[:-1] |= equal
     same &= owners >= 0
-    both, count = np.unique(np.stack([chunks[same], owners[same].astype(np.int64)]), axis=1, return_counts=True)
-    return pa.table({"chunk": both[0], "idx": both[1].astype(np.int32), "more": count.astype(np.int64)})
+    # Chunks have 43 bits and places in them 20.
+    both, count = np.unique(chunks[same] << 20 | owners[same], return_counts=True)
+    trim()
+    return pa.table({"chunk": both >> 20, "idx": (both & (1 << 20) - 1).astype(np.int32), "more": count.astype(np.int64)})
 
 
 _POSTINGS = "key long, class int, node long, n long, own long, spare long, centre long, early array<long>"
@@ -236,7 +238,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     [pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b", "both", "link"])
 
     dealt = heads.union(members).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
-    return stage(dealt.mapInArrow(run, "a long, b long, both long, link long").groupBy("a", "b").agg(
+    return stage(dealt.mapInArrow(trimmed(run), "a long, b long, both long, link long").groupBy("a", "b").agg(
         F.max("both").alias("both"), F.max("link").alias("link")), "compared")
 
 
@@ -283,7 +285,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 yield full(piece)
 
     wanted = picked.join(broadcast_if_small(alive.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(run, "f1 long, f2 long, tokens binary, each array<long>").join(
+    sets = wanted.mapInArrow(trimmed(run), "f1 long, f2 long, tokens binary, each array<long>").join(
         broadcast_if_small(alive.select("f1", "f2", "node", "n")), ["f1", "f2"])
     sets = stage(sets.select("node", "n", "tokens", "each"), "sets")
 
@@ -294,7 +296,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             yield pa.RecordBatch.from_arrays([pa.array(token[count > 3]), pa.array(count[count > 3])],
                                              ["token", "many"])
 
-    hot = stage(sets.select("each").mapInArrow(often, "token long, many long").groupBy("token").agg(
+    hot = stage(sets.select("each").mapInArrow(trimmed(often), "token long, many long").groupBy("token").agg(
         F.sum("many").alias("many")).where(F.col("many") > 1000), "hot-tokens")
     tokens = sets.select("node", "n", F.explode("each").alias("token"))
     tokens = tokens.join(broadcast_if_small(hot), "token", "left").withColumn(
@@ -302,7 +304,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     df = F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))
     common = tokens.select("node", "n", "token", F.coalesce(F.col("many"), df).alias("df")).where("df > 1")
     postings = stage(common.groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-                     .mapInArrow(_postings, _POSTINGS), "postings")
+                     .mapInArrow(trimmed(_postings), _POSTINGS), "postings")
 
     lists = postings.groupBy("key", "class").agg(
         F.max_by("node", F.struct("centre", -F.col("node"))).alias("a"), F.count(F.lit(1)).alias("entries")).where(
@@ -362,17 +364,22 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, with all their columns, of which one document of each component is kept.
 
     The document with the smallest id stays; of rows that repeat an id one
-    stays, that with the smallest text. Rows without an id all stay.
+    stays, that with the smallest text, of those alike in that one with the
+    smallest hash of all its columns. Rows without an id all stay, as do texts
+    without words. Names of columns may hold dots.
     """
     found = stage(classes(docs, id_col, text_col, size).where("doc_id is not null"), "classes")
-    key = docs[id_col].cast("long")
+    key = docs[f"`{id_col}`"].cast("long")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(broadcast_if_small(gone), key == gone["doc_id"], "left_anti")
     again = stage(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_")), "again")
     if again.limit(1).count() == 0:
         return kept
     some = broadcast_if_small(again)
-    one = kept.join(some, kept[id_col].cast("long") == F.col("again_"), "left_semi").groupBy(
-        F.col(id_col).cast("long")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text_col).alias("one"))
-    return kept.join(some, kept[id_col].cast("long") == F.col("again_"), "left_anti").union(
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col(f"`{text_col}`").cast("string")
+    least = F.min_by(F.struct(*every), F.struct(text.isNull(), text, F.xxhash64(*every)))
+    one = kept.join(some, kept[f"`{id_col}`"].cast("long") == F.col("again_"), "left_semi").groupBy(
+        F.col(f"`{id_col}`").cast("long").alias("of_")).agg(least.alias("one"))
+    return kept.join(some, kept[f"`{id_col}`"].cast("long") == F.col("again_"), "left_anti").union(
         one.select(*[F.col(f"one.`{c}`").alias(c) for c in docs.columns]))

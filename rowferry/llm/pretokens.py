@@ -19,7 +19,7 @@ from rowferry.llm.words import buffers, mix
 #: Texts with code points from here on are left to the library.
 COMMON = 0x250
 #: Pieces kept between calls, at most, some 30 bytes each; and new ones that are gathered before they are sorted in.
-KEPT, GATHERED = 2_000_000, 60_000
+KEPT, GATHERED = 600_000, 60_000
 #: Text of special tokens, which the library treats in its own way.
 SPECIAL = b"<|"
 
@@ -120,6 +120,10 @@ class Encoder:
         self.known, self.recent = _Pieces(), _Pieces()
         self.powers: tuple[np.ndarray, np.ndarray] | None = None
 
+    def forget(self) -> None:
+        """Drop the pieces, which would otherwise stay with the worker after its task."""
+        self.known, self.recent, self.powers = _Pieces(), _Pieces(), None
+
     @property
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()

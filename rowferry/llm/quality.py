@@ -21,6 +21,8 @@ from rowferry.llm.words import buffers, hashes, mix, per_group, spans
 PASSAGE = 100
 #: Columns for hashed shapes of words.
 SHAPES = 64
+#: A longer text than this is encoded in spans of about so many bytes.
+LONG_BYTES, SPAN_BYTES = 2 << 20, 1 << 20
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 40, 64, 4e-3, 1e-4, 11
 #: Documents are of good quality from this score.
 THRESHOLD = 0.3
@@ -44,10 +46,46 @@ class Model(NamedTuple):
     empty: float
 
 
+def _word_spans(data: np.ndarray):
+    """A long text in spans of about :data:`SPAN_BYTES` that end between words: where each begins, and its words."""
+    at = 0
+    while at < len(data):
+        end = at + SPAN_BYTES
+        while True:
+            part = data[at:end]
+            starts, ends, _ = spans(part, np.array([0, len(part)]))
+            if end >= len(data):
+                yield at, len(data), starts, ends
+                return
+            whole = len(starts) // PASSAGE * PASSAGE
+            if whole and whole < len(starts):  # the rest of the words begin the next span
+                yield at, at + int(starts[whole]), starts[:whole], ends[:whole]
+                at += int(starts[whole])
+                break
+            end += SPAN_BYTES
+
+
+def _encode_long(data: np.ndarray) -> np.ndarray:
+    """Vectors of all passages of one long text, a span of whole passages at a time."""
+    words = sum(len(starts) for _, _, starts, _ in _word_spans(data))
+    return np.concatenate([
+        _encoded(data[a:b], starts, ends, np.array([0, len(starts)]), np.array([words]))[0]
+        for a, b, starts, ends in _word_spans(data)])
+
+
 def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of all passages of all texts, and where each text's begin (and the last ends)."""
     data, offsets = buffers(texts)
-    starts, ends, at = spans(data, offsets)
+    if (np.diff(offsets) > LONG_BYTES).any():
+        each = [_encode_long(data[a:b]) if b - a > LONG_BYTES else _encoded(
+            data[a:b], *spans(data[a:b], np.array([0, b - a])))[0] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
+    return _encoded(data, *spans(data, offsets))
+
+
+def _encoded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray,
+             words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of passages from the words of texts; ``words`` are numbers of words where only parts are given."""
     n = np.diff(at)
     count = -(-n // PASSAGE)
     begin = np.r_[0, np.cumsum(count)]
@@ -84,7 +122,7 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         chars[:, 1] / bytes_, chars[:, 2] / bytes_, chars[:, 3] / bytes_, chars[:, 4] / bytes_, chars[:, 5] / bytes_,
         chars[:, 6] / bytes_, np.minimum(bytes_ / size, 40) / 10, distinct / size, share(repeat), share(last == 4),
         share(last == 5), share(letters == 0), share((per_word[:, 2] > 1) & (per_word[:, 1] == 0)),
-        np.log1p(size), np.log1p(n[text]) / 4,
+        np.log1p(size), np.log1p((n if words is None else words)[text]) / 4,
         (lines[ends[first + size - 1]] - lines[starts[first]]) / size,
     ], 1)
     # The shape of a word: kinds of its last three bytes and its first, and its length.
@@ -215,5 +253,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is of good quality."""
+    """The rows of ``docs``, with all their columns, whose text is of good quality.
+
+    Null and empty texts have the score of :func:`score`, which is low, so they
+    go; repeated rows stay or go together, null ids make no difference, an
+    empty table stays empty.
+    """
     return _appended(docs, model, text_col, True, docs.schema)

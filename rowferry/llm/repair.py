@@ -1,7 +1,7 @@
 """Token ids in grammar-compressed shards (Re-Pair) with random access.
 
 A shard holds the ids of some documents. Frequent pairs of neighbouring symbols
-are replaced by nonterminals, round after round; the shard stores the rules,
+are replaced by nonterminals, round after round, until none is frequent; the shard stores the rules,
 the length that each expands to, and for every document where its symbols and
 ids begin. A document is decoded from its own symbols and the rules alone.
 """
@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.files import create, open_input
 from rowferry.llm.pretokens import encoder_for
-from rowferry.llm.words import groups
+from rowferry.llm.words import groups, trimmed
 from rowferry.operators.sizing import broadcast_if_small
 from rowferry.session import scratch_path
 
 #: Ids that a shard holds before it is closed; a longer document makes a longer shard.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, pairs replaced in one, and how often a pair must occur.
-ROUNDS, PAIRS, LEAST = 4, 3500, 16
+#: A pair is replaced as long as it occurs so often, by a rule that is used at least ``USES`` times at once.
+LEAST, USES = 16, 4
 END = 0
 _MAGIC = b"RPG1"
-_SLOTS = 1 << 20
+_SLOT_BITS = 22
 _U = np.uint64
 
 
@@ -48,49 +48,58 @@ class Shard(NamedTuple):
     symbols: np.ndarray
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS,
+def compress(ids: np.ndarray, starts: np.ndarray, base: int,
              least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, their starts by document, and the two sides of each rule. No pair spans documents."""
+    """Symbols, their starts by document, and the two sides of each rule. No pair spans documents.
+
+    Each round replaces all pairs that occur ``least`` times at once; where they
+    overlap the more frequent one goes first and the other one waits for the
+    next round. It ends when no pair is left that occurs so often. Counting by
+    hash tells first which places are worth sorting, few in all but the first
+    rounds.
+    """
     seq = ids.astype(np.int64)
     ends = np.zeros(len(seq), bool)  # the last symbol of a document
     full = np.diff(starts) > 0
     ends[starts[1:][full] - 1] = True
     lefts, rights, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = seq[:-1] << 32 | seq[1:]
-        key[ends[:-1]] = -1
-        ordered = np.sort(key)
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        count = np.diff(np.r_[first, len(ordered)])
-        value = ordered[first]
-        often = np.flatnonzero((count >= least) & (value >= 0))
+        slot = (key.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(64 - _SLOT_BITS)).astype(np.int64)
+        slot[ends[:-1]] = 1 << _SLOT_BITS
+        seen = np.bincount(slot, minlength=(1 << _SLOT_BITS) + 1)
+        seen[-1] = 0
+        place = np.flatnonzero(seen[slot] >= least)
+        value, name, count = np.unique(key[place], return_inverse=True, return_counts=True)
+        often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        often = often[np.lexsort((value[often], -count[often]))][:pairs]
-        chosen = value[often]
-        slot = (chosen.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(44)).astype(np.int64)
-        rank_of = np.full(_SLOTS, -1, np.int32)
-        rank_of[slot[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-        rank = rank_of[(key.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(44)).astype(np.int64)]
-        hit = (rank >= 0) & (key >= 0)
-        hit[hit] = chosen[rank[hit]] == key[hit]
-        # Where pairs overlap the more frequent one is replaced, and every other one in a run of the same.
-        order = np.where(hit, rank * 2 + (np.arange(len(rank), dtype=np.int32) & 1), np.iinfo(np.int32).max)
-        take = hit.copy()
-        take[1:] &= order[1:] < order[:-1]
-        take[:-1] &= (order[:-1] < order[1:]) | ~hit[1:]
-        at = np.flatnonzero(take)
-        used, name = np.unique(rank[at], return_inverse=True)
-        seq[at] = base + total + name
+        rank_of = np.full(len(value), -1, np.int64)
+        rank_of[often[np.lexsort((value[often], -count[often]))]] = np.arange(len(often))
+        rank = rank_of[name]
+        place, rank = place[rank >= 0], rank[rank >= 0]
+        # Neighbouring places overlap: the lower rank wins, and every other one in a run of the same.
+        order = rank * 2 + (place & 1)
+        close = place[1:] - place[:-1] == 1
+        take = np.ones(len(place), bool)
+        take[1:] &= ~close | (order[1:] < order[:-1])
+        take[:-1] &= ~close | (order[:-1] < order[1:])
+        used = np.bincount(rank[take], minlength=len(often))
+        good = used >= USES
+        good[0] = True  # the most frequent pair is never in another's way, so each round replaces something
+        take &= good[rank]
+        at = place[take]
+        name = np.cumsum(good) - 1
+        seq[at] = base + total + name[rank[take]]
         ends[at] |= ends[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, ends = seq[keep], ends[keep]
-        lefts.append(chosen[used] >> 32)
-        rights.append(chosen[used] & 0xFFFFFFFF)
-        total += len(used)
+        chosen = np.empty(len(often), np.int64)
+        chosen[rank_of[often]] = value[often]
+        lefts.append(chosen[good] >> 32)
+        rights.append(chosen[good] & 0xFFFFFFFF)
+        total += int(good.sum())
     inner = np.zeros(len(starts), np.int64)
     inner[1:][full] = np.flatnonzero(ends) + 1
     return seq, np.maximum.accumulate(inner), np.concatenate(lefts), np.concatenate(rights)
@@ -112,19 +121,29 @@ def rule_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = symbols.astype(np.int64)
+def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int,
+           lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for; ``lengths`` are those of the rules, worked out if not given.
+
+    Lengths tell where both sides of a rule begin, so each symbol is visited once.
+    """
+    lengths = rule_lengths(left, right, base) if lengths is None else lengths.astype(np.int64)
+
+    def size(x):
+        return np.where(x < base, 1, lengths[np.maximum(x - base, 0)]) if len(lengths) else np.ones(len(x), np.int64)
+
+    open_ = symbols.astype(np.int64)
+    width = size(open_)
+    out = np.empty(int(width.sum()), np.int64)
+    at = np.cumsum(width) - width
     while True:
-        rule = seq >= base
+        rule = open_ >= base
+        out[at[~rule]] = open_[~rule]
         if not rule.any():
-            return seq
-        width = 1 + rule.astype(np.int64)
-        first = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        out[first] = np.where(rule, left[np.where(rule, seq - base, 0)], seq)
-        out[first[rule] + 1] = right[seq[rule] - base]
-        seq = out
+            return out
+        rules, at = open_[rule] - base, at[rule]
+        first = left[rules]
+        open_, at = np.concatenate([first, right[rules]]), np.concatenate([at, at + size(first)])
 
 
 def dumps(doc_ids: list, ids: list[np.ndarray], base: int, **settings) -> bytes:
@@ -159,7 +178,8 @@ def loads(data: bytes) -> Shard:
 
 def document(shard: Shard, i: int) -> np.ndarray:
     """The ids of one document, from its own symbols only."""
-    return expand(shard.symbols[shard.symbol_at[i]:shard.symbol_at[i + 1]], shard.left, shard.right, shard.base)
+    return expand(shard.symbols[shard.symbol_at[i]:shard.symbol_at[i + 1]], shard.left, shard.right, shard.base,
+                  shard.lengths)
 
 
 _MANIFEST = "part int, seq int, file string, offset long, length long, first long, n_ids long, n_docs long"
@@ -170,12 +190,15 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     """Encode all texts, in ascending order of ids, into shards below ``folder``; returns the manifest.
 
     Each document's ids are followed by :data:`END`; a null text is empty. Null
-    ids come first; rows of one id follow each other. Other columns are not
+    ids come first; rows of one id follow each other in order of a hash of
+    their texts. Other columns are not
     read. Every attempt of a task writes a file of its own name, and only files
     of accepted attempts are in the manifest, which is written last.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The last key divides rows that are alike in all else.
+    order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
         encoder, part = encoder_for(tokenizer), TaskContext.get().partitionId()
@@ -206,6 +229,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                         shut()
         if held:
             shut()
+        encoder.forget()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays(
@@ -213,7 +237,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                     pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5), strict=True)],
                 [x.split()[0] for x in _MANIFEST.split(", ")])
 
-    rows.mapInArrow(run, _MANIFEST).write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(trimmed(run), _MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -235,7 +259,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
             for row in batch.to_pylist():
                 with open_input(row["file"]) as f:
                     shard = loads(f.read_at(row["length"], row["offset"]))
-                flat = expand(shard.symbols, shard.left, shard.right, shard.base).astype("<u4")
+                flat = expand(shard.symbols, shard.left, shard.right, shard.base, shard.lengths).astype("<u4")
                 sizes = np.diff(shard.id_at)
                 each = [flat[a:a + n] for a, n in zip(shard.id_at[:-1], sizes, strict=True)]
                 columns = [pa.array(shard.doc_ids, mask=shard.absent.astype(bool)),
@@ -247,7 +271,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     slots = manifest.sparkSession.sparkContext.defaultParallelism * 4
-    return placed.repartition(max(1, slots)).mapInArrow(run, schema)
+    return placed.repartition(max(1, slots)).mapInArrow(trimmed(run), schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, **columns) -> DataFrame:

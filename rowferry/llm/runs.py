@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.llm.words import buffers, cut_out, groups, mix, spans
+from rowferry.llm.words import buffers, cut_out, groups, mix, spans, trimmed
 
 #: A run has at least this many words, and at least this many periods.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -277,7 +277,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for piece in groups(batch, 1):
                 yield _examined(piece, alter)
 
-    return rows.mapInArrow(run, _ROWS)
+    return rows.mapInArrow(trimmed(run), _ROWS)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ bounded number of bytes at a time.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -154,16 +156,38 @@ def in_parts(texts: list[str]) -> Iterator[pa.Array]:
         yield pa.array(part, pa.string())
 
 
+def trim() -> None:
+    """Give memory that this worker holds but doesn't use back to the system; workers live on between tasks."""
+    if len(_POWERS) and len(_POWERS[0]) > SPAN + 4096:
+        _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run`` over the batches of a task, with :func:`trim` behind it."""
+    def held(batches):
+        yield from run(batches)
+        trim()
+
+    return held
+
+
 def per_group(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
               size: int | None = None) -> DataFrame:
     """``mapInArrow`` over slices with a bounded number of bytes in text column ``column``."""
-    at = df.columns.index(column)
+    at, names = df.columns.index(column), df.columns
 
     def run(batches):
         for batch in batches:
-            for part in groups(batch, at, size):
+            for part in groups(batch.rename_columns(names), at, size):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    # Columns are handed over by position, since names with dots can't be.
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(trimmed(run), schema)

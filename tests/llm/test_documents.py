@@ -305,7 +305,7 @@ def test_shards_are_exact():
     for docs in ([], [[0]], [[5] * 400 + [0]], [rng.integers(0, 6, 3000).tolist() + [0] for _ in range(5)],
                  [[1, 2] * 200 + [0]] * 9 + [[0]] * 3):
         ids = [np.array(d, np.int64) for d in docs]
-        shard = repair.loads(repair.dumps(list(range(len(ids))), ids, 50_257, least=4, rounds=6))
+        shard = repair.loads(repair.dumps(list(range(len(ids))), ids, 50_257, least=4))
         assert [repair.document(shard, i).tolist() for i in range(len(ids))] == docs
         sizes = [int(repair.expand(np.array([50_257 + r]), shard.left, shard.right, shard.base).size)
                  for r in range(len(shard.left))]
