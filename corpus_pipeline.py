@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm import decontamination, mixing, near_duplicates, quality, repair
 from rowferry.llm.ship import ship
+from rowferry.operators.sizing import broadcast_if_small
 from rowferry.session import configure, stage
 
 #: The classifier, the join and the tokenizer are beyond SQL; tests compare run() with a brute-force version.
@@ -28,32 +29,59 @@ def _ready(spark: SparkSession) -> SparkSession:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of good quality; the classifier is fitted on the labels of ``docs``."""
+    """Documents of good quality; the classifier is fitted on the labels of ``docs``.
+
+    Null and empty texts go; repeated rows are judged alike, null ids pass, an
+    empty table stays empty.
+    """
     model = quality.train(docs, _table(_ready(spark), sf_dir, "labels"))
     return quality.good(docs, model)
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates.
+
+    Null texts and those without words are alike to nothing and stay, as do
+    rows without an id. Of rows that repeat an id one stays. An empty table
+    stays empty.
+    """
     _ready(spark)
     return near_duplicates.representatives(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; repeated rows are judged alike, null ids
+    pass, an empty table of either kind removes nothing.
+    """
     return decontamination.clean(docs, _table(_ready(spark), sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those taken 0 times go."""
+    """Each document as often as the mix takes it; those taken 0 times go.
+
+    The mix is made of row numbers and sizes; the texts are joined to their
+    copies once. ``docs`` is a stored table, so a row has the same number in
+    both scans. Null texts and those without words are taken once, repeated
+    rows are mixed each on their own, an empty table stays empty.
+    """
     _ready(spark)
-    mixed = mixing.mix(docs, keep=tuple(docs.columns))
-    return mixed.where("copies > 0").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("kept.*")
+    row = next(n for n in ("row_", *(f"row_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    taken = stage(mixing.mix(numbered, keep=(row,)).where("copies > 0").select(
+        F.col(f"kept.{row}").alias("taken_"), "copies"), "copies")
+    copies = broadcast_if_small(taken.select(F.col("taken_").alias(row), F.col("copies").alias("copies_")))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return numbered.join(copies, row).select(
+        *every, F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias("copy_")).select(*every)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every copy, from the shards written."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every copy, from the shards written.
+
+    A null text is an empty one; null ids come first; an empty table gives no rows.
+    """
     import public_tokenizers
 
     _ready(spark)
