@@ -8,7 +8,6 @@ bounded number of bytes at a time.
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_P))[_LOWER]
 _POWERS: list[np.ndarray] = []
+_LIBC = ctypes.CDLL(None)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +160,8 @@ def trim() -> None:
     """Give memory that this worker holds but doesn't use back to the system; workers live on between tasks."""
     if len(_POWERS) and len(_POWERS[0]) > SPAN + 4096:
         _POWERS.clear()
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not a GNU C library
-        pass
+    _LIBC.malloc_trim(0) if hasattr(_LIBC, "malloc_trim") else None  # only the GNU C library has it
 
 
 def trimmed(run: Callable) -> Callable:
