@@ -17,6 +17,24 @@ def incremental_watermark(t):
     return I.incremental(t.events, "ts", "2024-01-20 06:00:00").select("event_id", "event_type")
 
 
+@query("""
+    SELECT event_id, cast(ts AS date) AS day, case when cast(ts AS date) > date '2024-01-20' then 3
+      when cast(ts AS date) < date '2024-01-15' or (cast(ts AS date) = date '2024-01-15' and event_id % 2 = 0) then 1
+      else 2 end AS batch FROM events""")
+def incremental_at_the_mark(t):
+    """Four copies by day: half of a day arrives after the mark has reached it, and the last call finds nothing new."""
+    rows = t.events.select("event_id", F.to_date("ts").alias("day"))
+    place, out = scratch_path(t.spark, "mark"), scratch_path(t.spark, "copied")
+    first = rows.where("day < '2024-01-15' or (day = '2024-01-15' and event_id % 2 = 0)")
+
+    def load(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    for some in (first, rows.where("day <= '2024-01-20'"), rows, rows):
+        I.incremental_copy(some, "day", ["event_id"], place, load)
+    return t.spark.read.parquet(out).select("event_id", "day", "batch")
+
+
 @query("SELECT cast(max(event_id) AS varchar) AS watermark FROM events")
 def watermark_after_load(t):
     return I.next_watermark(t.events, "event_id")

@@ -6,7 +6,7 @@ match; the definitions are this library's own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +30,51 @@ def next_watermark(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(column).cast("string").alias("watermark"))
 
 
+def _exists(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def incremental_copy(df: DataFrame, column: str, keys: Sequence[str], place: str,
+                     load: Callable[[DataFrame, int], None]) -> int:
+    """Copy the rows of ``df`` that no earlier call has copied; returns how many batches there are now.
+
+    The mark kept below the folder ``place`` is the largest value of ``column``
+    copied so far together with the keys seen at that value, so a row that
+    arrives later with the mark's own value is copied once. Rows behind the mark
+    are taken as known; rows where ``column`` is NULL are never copied.
+
+    ``load(rows, batch)`` gets the rows of one batch and its number. Rows are
+    written down before they are loaded and the mark after that. If a call ends
+    in between, the next one first loads the very same rows again under the same
+    number, so a load that replaces what an earlier one of that number left
+    behind gives every row exactly once. Without new rows nothing is loaded.
+    """
+    spark, number = df.sparkSession, 0
+    while _exists(spark, f"{place}/batch={number + 1}/mark"):
+        number += 1
+    known = spark.read.parquet(f"{place}/batch={number}/mark") if number else None
+    rows = f"{place}/batch={number + 1}/rows"
+    if not _exists(spark, rows):
+        new = df.where(F.col(column).isNotNull())
+        if known is not None:
+            at = known.agg(F.max("value")).first()[0]
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+            seen = known.select(F.col("value").alias("__value"), *[F.col(k).alias(f"__k_{k}") for k in keys])
+            new = new.where(F.col(column) >= F.lit(at)).join(seen, (F.col(column) == F.col("__value")) & same, "left_anti")
+        if new.limit(1).count() == 0:
+            return number
+        new.write.mode("overwrite").parquet(rows)
+    batch = spark.read.parquet(rows)
+    load(batch, number + 1)
+    top = batch.agg(F.max(column)).first()[0]
+    mark = batch.where(F.col(column) == F.lit(top)).select(F.col(column).alias("value"), *keys)
+    if known is not None:
+        mark = mark.union(known.where(F.col("value") == F.lit(top)).select("value", *keys))
+    mark.write.mode("overwrite").parquet(f"{place}/batch={number + 1}/mark")
+    return number + 1
+
+
 def latest_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last change per key. An aggregate, so a key with many changes folds map-side."""
     newest = F.max_by(F.struct(*[F.col(c) for c in changes.columns]),

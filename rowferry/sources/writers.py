@@ -125,6 +125,9 @@ def write(df: DataFrame, target: Target, mode: str = "append", align_policy: str
     path, fmt = file_uri(target.connector, target.table), file_format(target.table)
     if mode == "append":
         columns = existing if existing is not None else existing_columns(spark, target)
+        if existing is None and columns and fmt in ("json", "jsonl") and set(df.columns) - set(columns):
+            # Later records may have columns that the first one lacks.
+            columns = read(spark, target.connector, target.table, **target.options).columns
         if columns is not None:
             df = align(df, columns, align_policy)
         folder_of(spark, path)

@@ -25,7 +25,9 @@ def stream_fanout(stream: DataFrame, mappings: Sequence[Mapping],
     """
     def load(batch: DataFrame, number: int) -> None:
         rows = fanout_rows(Combined(batch), mappings, destinations)
-        rows.write.mode("overwrite").partitionBy("destination_id").parquet(f"{out}/batch={number}")
+        # Whatever the session's mode is, a repeated batch leaves nothing of the first attempt.
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("destination_id").parquet(
+            f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if available_now:
