@@ -120,10 +120,6 @@ class Encoder:
         self.known, self.recent = _Pieces(), _Pieces()
         self.powers: tuple[np.ndarray, np.ndarray] | None = None
 
-    def forget(self) -> None:
-        """Drop the pieces, which would otherwise stay with the worker after its task."""
-        self.known, self.recent, self.powers = _Pieces(), _Pieces(), None
-
     @property
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()

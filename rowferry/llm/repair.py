@@ -15,6 +15,7 @@ import zlib
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,7 @@ SHARD_IDS = 1 << 20
 LEAST, USES = 16, 4
 END = 0
 _MAGIC = b"RPG1"
-_SLOT_BITS = 22
+_SLOT_BITS = 18
 _U = np.uint64
 
 
@@ -65,12 +66,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int,
     lefts, rights, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while len(seq) > 1:
         key = seq[:-1] << 32 | seq[1:]
-        slot = (key.astype(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(64 - _SLOT_BITS)).astype(np.int64)
+        slot = (key.view(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(64 - _SLOT_BITS)).view(np.int64)
         slot[ends[:-1]] = 1 << _SLOT_BITS
         seen = np.bincount(slot, minlength=(1 << _SLOT_BITS) + 1)
         seen[-1] = 0
         place = np.flatnonzero(seen[slot] >= least)
-        value, name, count = np.unique(key[place], return_inverse=True, return_counts=True)
+        name, value = pd.factorize(key[place])
+        count = np.bincount(name, minlength=len(value))
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
@@ -229,7 +231,6 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                         shut()
         if held:
             shut()
-        encoder.forget()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays(
