@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from checks.derived import Tables
 from checks.registry import query
 from rowferry.functions.coerce import number_of, row_bytes, text_of
-from rowferry.operators.combine import combine
+from rowferry.operators.combine import Combined, combine
+from rowferry.operators.condition_index import LINES, condition_index, indexed_summary
 from rowferry.operators.fanout import fanout_summary, run_totals
 from rowferry.operators.predicates import condition, conditions, flag
 from rowferry.operators.remap import cast_failures, remap
@@ -100,6 +101,42 @@ def run_partitioned_loads(t):
          SourceSpec(t.nation, "join", "left", (("c_nationkey", "n_nationkey"),))], ORDER_DESTINATIONS)
 
 
+@query("""
+    WITH o AS (SELECT *, strlen(concat('{"order_id":', o_orderkey, ',"priority":"', o_orderpriority, '"}')) AS nbytes FROM orders),
+    d AS (
+      SELECT 'primary' AS id, nbytes FROM o
+      UNION ALL SELECT concat('customer-', c_custkey), nbytes FROM o JOIN customer ON o_custkey = c_custkey
+        AND o_totalprice > cast(floor(c_acctbal) AS bigint) * 20
+      UNION ALL SELECT concat('part-', p_partkey), nbytes FROM o JOIN part
+        ON o_totalprice >= cast(floor(p_retailprice) AS bigint) * 100 AND o_totalprice < cast(floor(p_retailprice) AS bigint) * 100 + 50
+      UNION ALL SELECT concat('supplier-', s_suppkey), nbytes FROM o JOIN supplier
+        ON o_custkey = s_suppkey OR o_totalprice > 300000 + cast(floor(s_acctbal) AS bigint) * 20),
+    n AS (SELECT 'primary' AS id UNION ALL SELECT concat('customer-', c_custkey) FROM customer
+      UNION ALL SELECT concat('part-', p_partkey) FROM part UNION ALL SELECT concat('supplier-', s_suppkey) FROM supplier)
+    SELECT id AS destination_id, count(nbytes) AS records, cast(coalesce(sum(nbytes), 0) AS bigint) AS bytes
+    FROM n LEFT JOIN d USING (id) GROUP BY id""")
+def fanout_indexed(t):
+    """A destination for each customer (value and bound), part (interval) and supplier (either of two conditions)."""
+    def lines(df, kind, key, mode, *conditions):
+        each = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(op).alias("operator"),
+                                  v.cast("string").alias("value")) for i, (c, op, v) in enumerate(conditions)])
+        return df.select(F.concat(F.lit(f"{kind}-"), F.col(key).cast("string")).alias("destination_id"),
+                         F.lit(mode).alias("match_mode"), F.inline(each)).select(LINES.names)
+
+    def whole(name):
+        return F.floor(F.col(name)).cast("bigint")
+
+    price = whole("p_retailprice") * 100
+    wanted = lines(t.customer, "customer", "c_custkey", "all", ("o_custkey", "=", F.col("c_custkey")),
+                   ("o_totalprice", ">", whole("c_acctbal") * 20))
+    wanted = wanted.union(lines(t.part, "part", "p_partkey", "all", ("o_totalprice", ">=", price), ("o_totalprice", "<", price + 50)))
+    wanted = wanted.union(lines(t.supplier, "supplier", "s_suppkey", "any", ("o_custkey", "=", F.col("s_suppkey")),
+                                ("o_totalprice", ">", whole("s_acctbal") * 20 + 300000)))
+    orders = Combined(t.orders)
+    return indexed_summary(orders, [Mapping("o_orderkey", "order_id"), Mapping("o_orderpriority", "priority")],
+                           condition_index(orders, wanted))
+
+
 # -- joins -------------------------------------------------------------------
 
 @query("""
