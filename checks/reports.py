@@ -11,8 +11,11 @@ from rowferry.functions import labels
 from rowferry.functions.coerce import elapsed_ms, iso_text, round_half_up
 from rowferry.functions.pricing import run_cost
 from rowferry.operators import analytics as A
+from rowferry.operators import daily_state as D
+from rowferry.operators import incremental as I
 from rowferry.operators import listings as L
 from rowferry.operators import metering as M
+from rowferry.session import scratch_path
 
 NOW = datetime(2024, 1, 15, 12, 0, 0)
 
@@ -118,6 +121,76 @@ def hourly_throughput(t):
     return A.hourly_throughput(t.sync_runs, NOW)
 
 
+_PAGE = f"""
+    WITH {_PER}, daily AS ({_DAILY}), used AS ({_USAGE}), hourly AS ({_HOURLY}), lines AS (
+    SELECT 'overview' AS report, 'all' AS line, count(*) AS a, cast(coalesce(sum(records), 0) AS bigint) AS b,
+      coalesce(cast(floor(avg({_LAT}) FILTER (WHERE status = 'completed') + 0.5) AS bigint), 0) AS c FROM sync_runs
+    UNION ALL (SELECT 'daily', date, total_syncs, total_records, avg_latency_ms FROM daily ORDER BY date DESC LIMIT 15)
+    UNION ALL SELECT 'connectors', connector_id, total_syncs, total_records, total_pipelines FROM used
+    UNION ALL SELECT 'directions', 'all', coalesce(sum(records) FILTER (WHERE direction = 'cloud_bound'), 0),
+      coalesce(sum(records) FILTER (WHERE direction = 'on_prem_bound'), 0),
+      coalesce(sum(records) FILTER (WHERE direction = 'bidirectional'), 0) FROM sync_runs
+    UNION ALL SELECT 'leaderboard', p.id, n, recs, lat FROM per JOIN pipelines p ON pipeline_id = p.id
+    UNION ALL SELECT 'hourly', hour, cloud_bound, on_prem_bound, bidirectional FROM hourly)
+    SELECT report, line, cast(a AS bigint) AS a, cast(b AS bigint) AS b, cast(c AS bigint) AS c FROM lines"""
+
+
+def _page_lines(page):
+    """All reports of the page under common names."""
+    def lines(report, df, line, *values):
+        key = F.lit("all") if line is None else F.col(line).cast("string")
+        return df.select(F.lit(report).alias("report"), key.alias("line"),
+                         *[F.col(v).alias(n) for v, n in zip(values, "abc")])
+
+    out = lines("overview", page.overview, None, "total_syncs", "total_records", "avg_latency_ms")
+    for more in (
+        lines("daily", page.daily, "date", "total_syncs", "total_records", "avg_latency_ms"),
+        lines("connectors", page.connectors, "connector_id", "total_syncs", "total_records", "total_pipelines"),
+        lines("directions", page.directions, None, *[f"{d}_records" for d in A.DIRECTIONS]),
+        lines("leaderboard", page.leaderboard, "pipeline_id", "total_syncs", "records", "avg_latency_ms"),
+        lines("hourly", page.hourly, "hour", *A.DIRECTIONS),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+@query(_PAGE)
+def analytics_page(t):
+    """All reports over one staged copy of the log."""
+    return _page_lines(A.analytics(t.sync_runs, t.pipelines, t.connectors, NOW))
+
+
+@query(_PAGE)
+def analytics_folded(t):
+    """The same from daily states: three batches, each with late runs of every day, the last batch folded twice."""
+    runs = t.sync_runs.withColumn("arrived", F.pmod(F.xxhash64("id"), F.lit(3)))
+    mark, state = scratch_path(t.spark, "runs-mark"), scratch_path(t.spark, "runs-state")
+    for seen in range(3):
+        I.incremental_copy(runs.where(F.col("arrived") <= seen), "arrived", ["id"], mark, lambda b, n: D.fold(b, state, n))
+    D.fold(runs.where("arrived = 2"), state, 3)
+    return _page_lines(D.analytics(D.folded(t.spark, state), t.sync_runs, t.pipelines, t.connectors, NOW))
+
+
+@query("""
+    WITH m AS (SELECT pipeline_id, cast(sum(records) AS bigint) AS records, cast(sum(bytes) AS bigint) AS bytes,
+      sum(cost_usd) AS cost FROM metering_events GROUP BY 1)
+    SELECT 'summary' AS report, 'all' AS line, cast(sum(records) AS bigint) AS records, cast(sum(bytes) AS bigint) AS bytes,
+      round(sum(cost_usd), 8) AS cost FROM metering_events
+    UNION ALL SELECT 'daily', strftime(ts, '%Y-%m-%d'), NULL, NULL,
+      round(coalesce(sum(cost_usd) FILTER (WHERE direction = 'cloud_bound'), 0)
+        + coalesce(sum(cost_usd) FILTER (WHERE direction = 'on_prem_bound'), 0)
+        + coalesce(sum(cost_usd) FILTER (WHERE direction NOT IN ('cloud_bound', 'on_prem_bound')), 0), 8) FROM metering_events GROUP BY 2
+    UNION ALL SELECT 'pipelines', pipeline_id, records, bytes, round(cost, 8) FROM m""")
+def metering_page(t):
+    """All reports over one staged copy of the usage log."""
+    page, no = M.metering(t.metering_events, t.pipelines), F.lit(None).cast("bigint")
+    out = page.summary.select(F.lit("summary").alias("report"), F.lit("all").alias("line"), F.col("total_records").alias("records"),
+                              F.col("total_bytes").alias("bytes"), F.col("total_cost").alias("cost"))
+    out = out.union(page.daily.select(F.lit("daily"), "date", no, no, F.col("cloud") + F.col("on_prem") + F.col("bi")))
+    out = out.union(page.pipelines.select(F.lit("pipelines"), "pipeline_id", "records", "bytes", "cost"))
+    return rounded(out, "cost")
+
+
 @query("""
     SELECT cast(coalesce(sum(records), 0) AS bigint) AS records_24h FROM sync_runs
     WHERE started_at >= timestamp '2024-01-14 12:00:00' AND started_at < timestamp '2024-01-15 12:00:00'""")

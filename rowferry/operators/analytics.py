@@ -92,13 +92,17 @@ def runs_per_pipeline(runs: DataFrame) -> DataFrame:
     )
 
 
-def connector_usage(runs: DataFrame, pipelines: DataFrame, connectors: DataFrame) -> DataFrame:
-    """Connectors with runs, busiest first; a pipeline from a connector to itself counts once."""
+def connector_usage(runs: DataFrame | None, pipelines: DataFrame, connectors: DataFrame,
+                    per: DataFrame | None = None) -> DataFrame:
+    """Connectors with runs, busiest first; a pipeline from a connector to itself counts once.
+
+    ``per``, if given, is the log already folded (:func:`runs_per_pipeline`).
+    """
     ends = pipelines.select(
         F.col("id").alias("pid"),
         F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("connector_id"),
     )
-    per_pipeline = runs_per_pipeline(runs)
+    per_pipeline = runs_per_pipeline(runs) if per is None else per
     usage = (
         ends.join(per_pipeline, ends.pid == per_pipeline.pipeline_id, "left")
         .groupBy("connector_id")
@@ -130,9 +134,9 @@ def direction_split(runs: DataFrame) -> DataFrame:
     ])
 
 
-def pipeline_leaderboard(runs: DataFrame, pipelines: DataFrame) -> DataFrame:
-    """Pipelines with runs, most records first."""
-    per = runs_per_pipeline(runs)
+def pipeline_leaderboard(runs: DataFrame | None, pipelines: DataFrame, per: DataFrame | None = None) -> DataFrame:
+    """Pipelines with runs, most records first; ``per`` as for :func:`connector_usage`."""
+    per = runs_per_pipeline(runs) if per is None else per
     named = pipelines.select("id", "name")
     return (
         per.join(named, per.pipeline_id == named.id, "inner")
