@@ -9,8 +9,8 @@ from rowferry.functions.coerce import key_part
 from rowferry.operators import lifecycle as C
 from rowferry.operators import matching as S
 from rowferry.operators import validation as V
-from rowferry.operators.secure import decrypt, encrypt
-from rowferry.session import scratch_path
+from rowferry.operators.secure import KeyRing, decrypt, encrypt
+from rowferry.session import scratch_path, stage
 from rowferry.sources.identifiers import schema_and_table, valid_identifier
 from rowferry.sources.readers import extract, preview
 from rowferry.sources.writers import rewrite_table
@@ -280,6 +280,22 @@ def encrypt_roundtrip(t):
     return sealed.select("c_custkey", decrypt(F.col("sealed"), TRIAL_KEY).alias("c_name"))
 
 
+#: Another one, for trials of replacing the first.
+NEXT_KEY = "ZmVkY2JhOTg3NjU0MzIxMGZlZGNiYTk4NzY1NDMyMTA="
+
+
+@query("SELECT c_custkey, c_name, case when c_custkey % 3 = 0 then 'new' else 'old' end AS was, 'new' AS now FROM customer")
+def key_rotation(t):
+    """A table under two keys, read, brought under the newer one, stored and read again."""
+    old = KeyRing(t.spark, {"old": TRIAL_KEY}, "old")
+    ring = KeyRing(t.spark, {"old": TRIAL_KEY, "new": NEXT_KEY}, "new")
+    names = t.customer.select("c_custkey", "c_name")
+    mixed = ring.seal(names.where("c_custkey % 3 = 0"), "c_name").union(old.seal(names.where("c_custkey % 3 <> 0"), "c_name"))
+    mixed = stage(mixed, "sealed").withColumn("was", F.substring_index("c_name", ".", 1))
+    moved = stage(ring.reseal(mixed, "c_name"), "resealed").withColumn("now", F.substring_index("c_name", ".", 1))
+    return KeyRing(t.spark, {"new": NEXT_KEY}, "new").open(moved, "c_name")
+
+
 @query("""
     SELECT c_custkey, 16 AS iv_chars, 24 AS tag_chars, cast(4 * ceil(strlen(c_name) / 3.0) AS integer) AS data_chars FROM customer""")
 def encrypt_layout(t):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rowferry.functions.pricing import run_cost
 from rowferry.operators.lifecycle import apply_updates, replace_by_key
 from rowferry.operators.matching import listed_columns, match_schemas, targets_or_sources
-from rowferry.operators.secure import decrypt
+from rowferry.operators.secure import KeyRing
 from rowferry.plans.run import Loaded, run_sync
 from rowferry.plans.spec import (
     Condition, Connector, DestinationSpec, Mapping, SourceSpec, Target,
@@ -57,8 +57,10 @@ class Store:
     small file; compact old days from time to time.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key_b64: str | None = None):
-        self.spark, self.root, self.key_b64 = spark, root.rstrip("/"), key_b64
+    def __init__(self, spark: SparkSession, root: str, key_b64: str | KeyRing | None = None):
+        self.spark, self.root = spark, root.rstrip("/")
+        # One key without a ring opens values that do not name their key.
+        self.keys = KeyRing(spark, {"": key_b64, "one": key_b64}, "one") if isinstance(key_b64, str) and key_b64 else key_b64
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -98,10 +100,9 @@ class Store:
     def connector(self, connector_id: str) -> Connector:
         """Settings of a connector, its password decrypted where a key is given."""
         df = self.table("connectors").filter(F.col("id") == connector_id)
-        if self.key_b64:
-            sealed = F.col("config.password")
-            df = df.withColumn("config", F.col("config").withField(
-                "password", decrypt(sealed, self.key_b64)))
+        if self.keys:
+            df = self.keys.open(df.withColumn("__password", F.col("config.password")), "__password")
+            df = df.withColumn("config", F.col("config").withField("password", F.col("__password")))
         found = df.take(1)
         if not found:
             raise JobError(f"Connector {connector_id} not found")
