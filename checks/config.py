@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from rowferry.functions.coerce import key_part
 from rowferry.operators import lifecycle as C
+from rowferry.operators import versions
 from rowferry.operators import matching as S
 from rowferry.operators import validation as V
 from rowferry.operators.secure import KeyRing, decrypt, encrypt
@@ -241,6 +242,22 @@ def replace_all(t):
     return C.replace_by_key(t.nodes.select("id", "pipeline_id", "position_x"), new, keys, "pipeline_id")
 
 
+@query("""
+    SELECT id, pipeline_id, position_x FROM nodes WHERE pipeline_id NOT IN (SELECT id FROM pipelines WHERE status IN ('active', 'draft'))
+    UNION ALL SELECT concat('new', id), id, 1 FROM pipelines WHERE status = 'active'""")
+def replace_versions(t):
+    """Active transfers replaced twice and drafts cleared as versions over an untouched table, which are then folded."""
+    place = scratch_path(t.spark, "versions")
+    ids = t.pipelines.select(F.col("id").alias("pipeline_id"), "status")
+    active = ids.filter("status = 'active'")
+    for x in (0, 1):
+        new = active.select(F.concat(F.lit("new"), "pipeline_id").alias("id"), "pipeline_id", F.lit(x).alias("position_x"))
+        versions.replace_keys(new, active, "pipeline_id", place)
+    versions.replace_keys(new.limit(0), ids.filter("status = 'draft'"), "pipeline_id", place)
+    versions.compact(t.spark, place, "pipeline_id")
+    return versions.current(t.spark, place, "pipeline_id", t.nodes.select("id", "pipeline_id", "position_x"))
+
+
 @query("""
     SELECT concat('p_', replace(n.pipeline_id, ' ', '%20'), '_', replace(label, ' ', '%20')) AS doc_id, count(*) AS n
     FROM nodes n GROUP BY 1""")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.functions.pricing import run_cost
+from rowferry.operators import versions
 from rowferry.operators.lifecycle import apply_updates, replace_by_key
 from rowferry.operators.matching import listed_columns, match_schemas, targets_or_sources
 from rowferry.operators.secure import KeyRing
@@ -54,11 +55,13 @@ class Store:
     """Configuration and log tables as Parquet folders below ``root``.
 
     Logs are partitioned by day and only ever appended to, so each run adds one
-    small file; compact old days from time to time.
+    small file; compact old days from time to time. With ``versioned``, mappings
+    are replaced as versions beside the table, which is not rewritten then, so
+    jobs that map different transfers at the same time lose nothing.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key_b64: str | KeyRing | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, key_b64: str | KeyRing | None = None, versioned: bool = False):
+        self.spark, self.root, self.versioned = spark, root.rstrip("/"), versioned
         # One key without a ring opens values that do not name their key.
         self.keys = KeyRing(spark, {"": key_b64, "one": key_b64}, "one") if isinstance(key_b64, str) and key_b64 else key_b64
 
@@ -67,6 +70,15 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         """A table as it stands; transfers with the last status that was logged for each."""
+        place = self.path(f"{name}_versions")
+        if self.versioned and name == "schema_mappings" and versions.exists(self.spark, place):
+            try:
+                base = self.spark.read.parquet(self.path(name))
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                base = None
+            return versions.current(self.spark, place, "pipeline_id", base)
         df = self.spark.read.parquet(self.path(name))
         return self._with_status(df) if name == "pipelines" else df
 
@@ -272,6 +284,11 @@ def map_job(store: Store, pipeline_id: str, actor: str) -> DataFrame:
         F.col("pair").alias("pipeline_id"), "source_ordinal", "source_col", "target_col", "source_type",
         "target_type", "confidence", "warning")
     keys = store.spark.createDataFrame([(pipeline_id,)], "pipeline_id string")
+    if store.versioned:
+        versions.replace_keys(new, keys, "pipeline_id", store.path("schema_mappings_versions"))
+        mine = store.table("schema_mappings").filter(F.col("pipeline_id") == pipeline_id)
+        store.audit("schema.map", actor, "success", MAP_DONE.format(columns=mine.count(), name=p.name), pipeline_id)
+        return mine
     try:
         current = store.table("schema_mappings")
         if "source_ordinal" not in current.columns:

@@ -206,3 +206,16 @@ def test_mappings_come_back_in_order(spark, store):
     from rowferry.plans.jobs import _place
 
     assert [m.source_col for m in sorted(mapped.collect(), key=_place)] == ["id", "customer_id", "amount"]
+
+
+def test_mappings_kept_as_versions(spark, store):
+    versioned = Store(spark, store.root, KEY, versioned=True)
+    store.append("schema_mappings", spark.createDataFrame(
+        [("p1", "old", "old", "text", "text", 0.9, None), ("p9", "a", "b", "text", "text", 0.9, None)],
+        "pipeline_id string, source_col string, target_col string, source_type string, target_type string, confidence double, warning string"))
+    before = store.table("schema_mappings").inputFiles()
+    mapped = map_job(versioned, "p1", "me")
+    assert sorted(r.source_col for r in mapped.collect()) == ["amount", "customer_id", "id"]
+    assert sorted(r.source_col for r in versioned.rows("schema_mappings")) == ["a", "amount", "customer_id", "id"]
+    assert store.table("schema_mappings").inputFiles() == before
+    assert run_job(versioned, "p1", "me").error is None
