@@ -15,6 +15,7 @@ from rowferry.operators import daily_state as D
 from rowferry.operators import incremental as I
 from rowferry.operators import listings as L
 from rowferry.operators import metering as M
+from rowferry.operators import text_index as X
 from rowferry.session import scratch_path
 
 NOW = datetime(2024, 1, 15, 12, 0, 0)
@@ -353,17 +354,31 @@ def audit_enriched(t):
         "id", "actor", "action", "status", "pipeline_id", "details", "pipeline_name", "direction")
 
 
-@query("""
+_SEARCH = """
     SELECT a.id, a.action, a.status, p.name AS pipeline_name, a.details FROM audit_logs a
     LEFT JOIN pipelines p ON a.pipeline_id = p.id
     WHERE a.status = 'success' AND (contains(lower(a.action), 'ring') OR coalesce(contains(lower(p.name), 'ring'), false)
-      OR coalesce(contains(lower(a.details), 'ring'), false))""")
+      OR coalesce(contains(lower(a.details), 'ring'), false))"""
+
+
+@query(_SEARCH)
 def log_search(t):
     """Search over the whole log, not only its newest entries."""
     entries = L._with_pipeline(t.audit_logs, t.pipelines)
     return L.search_log(entries, "RING", "success").select("id", "action", "status", "pipeline_name", "details")
 
 
+@query(_SEARCH)
+def log_search_indexed(t):
+    """The same search through trigrams of a log indexed in two batches."""
+    place = scratch_path(t.spark, "trigrams")
+    entries = L._with_pipeline(t.audit_logs, t.pipelines)
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    for n in (0, 1):
+        X.index_batch(entries.where(half == n), place, n)
+    return X.search_index(t.spark, place, "RING", "success").select("id", "action", "status", "pipeline_name", "details")
+
+
 @query("""
     WITH a AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id) AS n FROM audit_logs)
     SELECT id, action, coalesce(nullif(details, ''), concat(actor, ' — ', status)) AS detail, cast(n AS integer) AS position,
