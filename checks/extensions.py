@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -9,6 +11,7 @@ from rowferry.operators import incremental as I
 from rowferry.operators.metering import usage_throughput as throughput_of_usage
 from rowferry.plans.spec import Condition, DestinationSpec, Mapping
 from rowferry.session import scratch_path
+from rowferry.streaming.latest import apply_stream, stream_latest
 from rowferry.streaming.live import hourly_by_direction, stream_fanout, write_stream
 
 
@@ -40,10 +43,13 @@ def watermark_after_load(t):
     return I.next_watermark(t.events, "event_id")
 
 
-@query("""
+_LATEST = """
     WITH c AS (SELECT o_custkey, arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS price FROM orders GROUP BY 1)
     SELECT c_custkey, coalesce(price, c_acctbal) AS balance FROM customer LEFT JOIN c ON c_custkey = o_custkey
-    UNION ALL SELECT o_custkey, price FROM c WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+    UNION ALL SELECT o_custkey, price FROM c WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"""
+
+
+@query(_LATEST)
 def upsert_latest(t):
     """Each customer's balance replaced by their newest order's price."""
     current = t.customer.select("c_custkey", F.col("c_acctbal").alias("balance"))
@@ -52,6 +58,19 @@ def upsert_latest(t):
     return I.upsert_latest(current, changes, ["c_custkey"], ["o_orderdate", "o_orderkey"])
 
 
+@query(_LATEST)
+def stream_upsert_latest(t):
+    """The same from a stream whose changes arrive in four lots that are in no order."""
+    spark, order = t.spark, ["o_orderdate", "o_orderkey"]
+    current = t.customer.select("c_custkey", F.col("c_acctbal").alias("balance"))
+    lots, out = scratch_path(spark, "changes"), scratch_path(spark, "latest")
+    changes = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("balance"), *order)
+    changes.repartition(4, F.xxhash64("o_orderkey")).write.parquet(lots)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(lots)
+    stream_latest(stream, ["c_custkey"], order, out, scratch_path(spark, "offsets"), timedelta(days=3650)).awaitTermination()
+    return apply_stream(spark, current, out, changes.schema, ["c_custkey"], order)
+
+
 @query("""
     WITH b AS (SELECT c_custkey, c_name, case when c_custkey % 5 = 0 then lower(c_mktsegment) else c_mktsegment end AS seg,
       case when c_custkey % 7 <> 0 then c_nationkey end AS nat FROM customer)
