@@ -65,19 +65,18 @@ def stream_latest(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
         if state.hasTimedOut:
             state.remove()
             return
-        best, change, at = (tuple(state.get) if state.exists else None), None, None
+        best, change = (tuple(state.get) if state.exists else None), None
         for pdf in batches:
-            top = pdf.sort_values(names).iloc[-1]
-            mine = tuple(int(top[n]) for n in names)
-            if best is None or mine > best:
-                best, change, at = mine, top["change"], top["at"]
+            places = list(zip(*(pdf[n].tolist() for n in names), strict=True))
+            top = max(range(len(places)), key=places.__getitem__)
+            if best is None or places[top] > best:
+                best, change = places[top], pdf["change"].iat[top]
         if change is not None:
             state.update(best)
-            state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + wait, state.getCurrentWatermarkMs() + 1))
+        # A timer lasts for one call only, so it is set anew also where nothing newer came.
+        state.setTimeoutTimestamp(max(_millis(best[0], kinds[0]) + wait, state.getCurrentWatermarkMs() + 1))
+        if change is not None:
             yield pd.DataFrame({"change": [change]})
-        else:
-            # A timer lasts for one call only; nothing newer came, so the change kept is as old as its place says.
-            state.setTimeoutTimestamp(max(_millis(best[0], kinds[0]) + wait, state.getCurrentWatermarkMs() + 1))
 
     held = folded.withWatermark("at", f"{wait} milliseconds").groupBy("key").applyInPandasWithState(
         newest, "change string", ", ".join(f"{n} {t}" for n, (_, t) in zip(names, places, strict=True)),
