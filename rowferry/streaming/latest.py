@@ -1,7 +1,9 @@
 """Extension: the latest change of each key from a stream whose changes arrive out of order.
 
 The state of a key is the place in order of its newest change, not the change
-itself. A timer drops it once every older change would be late.
+itself. Keys are held in buckets, so that Python is called per bucket and works
+on whole columns, not per key. A timer drops a key once every older change would
+be late.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Sequence
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowferry.operators.incremental import latest_changes, upsert
 
+#: Keys are dealt to this many buckets by their hash; it stays as it is for the life of a checkpoint.
+BUCKETS = 1024
+
 # All six digits, so that a time comes back as it was.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -48,39 +54,48 @@ def stream_latest(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
         raise ValueError(f"{order[0]} must be a time or a date")
     places = [_place(c, k) for c, k in zip(order, kinds, strict=True)]
     names = [f"o{i}" for i in range(len(order))]
-    changes = stream.dropna(subset=list(order)).select(
-        F.to_json(F.struct(*[F.col(c) for c in keys]), {**_JSON, "ignoreNullFields": "false"}).alias("key"),
-        F.col(order[0]).cast("timestamp").alias("at"), *[p.alias(n) for (p, _), n in zip(places, names, strict=True)],
-        F.to_json(F.struct(*[F.col(c) for c in stream.columns]), _JSON).alias("change"))
+    key = F.to_json(F.struct(*[F.col(c) for c in keys]), {**_JSON, "ignoreNullFields": "false"})
+    # A file may be one task to read; its changes are spread before any work on them, those of a hot key too.
+    spread = stream.dropna(subset=list(order)).repartition(key, *[F.col(c) for c in order])
+    changes = spread.select(
+        key.alias("key"), F.col(order[0]).cast("timestamp").alias("at"),
+        *[p.alias(n) for (p, _), n in zip(places, names, strict=True)],
+        F.to_json(F.struct(*[F.col(c) for c in stream.columns]), _JSON).alias("change")).withColumn(
+        "bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+
+    def latest(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Of equal places the last one counts.
+        return pdf.sort_values(names, kind="stable").drop_duplicates("key", keep="last")
 
     def fold(batches):
         # Before the shuffle, so that a key with many changes sends few.
         for pdf in batches:
-            yield pdf.sort_values(names).drop_duplicates("key", keep="last")
+            yield latest(pdf)
 
     folded = changes.mapInPandas(fold, changes.schema)
     wait = int(delay.total_seconds() * 1000)
 
-    def newest(key, batches, state: GroupState):
-        if state.hasTimedOut:
+    def newest(bucket, batches, state: GroupState):
+        held, now = (_unpacked(state.get[0]) if state.exists else None), state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for pdf in batches:
+                fresh = pdf[["key", *names, "change"]]
+                # What is held comes last, so that a change has to be newer than it.
+                held = latest(fresh if held is None else pd.concat([fresh, held], ignore_index=True))
+            changed = held["change"].notna()
+            if changed.any():
+                yield held.loc[changed, ["change"]]
+        # A key's time is up when the watermark has passed it, and a timer lasts for one call only.
+        ends = _millis(held[names[0]], kinds[0]) + wait
+        left = ends > now
+        if not left.any():
             state.remove()
             return
-        best, change = (tuple(state.get) if state.exists else None), None
-        for pdf in batches:
-            places = list(zip(*(pdf[n].tolist() for n in names), strict=True))
-            top = max(range(len(places)), key=places.__getitem__)
-            if best is None or places[top] > best:
-                best, change = places[top], pdf["change"].iat[top]
-        if change is not None:
-            state.update(best)
-        # A timer lasts for one call only, so it is set anew also where nothing newer came.
-        state.setTimeoutTimestamp(max(_millis(best[0], kinds[0]) + wait, state.getCurrentWatermarkMs() + 1))
-        if change is not None:
-            yield pd.DataFrame({"change": [change]})
-
-    held = folded.withWatermark("at", f"{wait} milliseconds").groupBy("key").applyInPandasWithState(
-        newest, "change string", ", ".join(f"{n} {t}" for n, (_, t) in zip(names, places, strict=True)),
-        "update", GroupStateTimeout.EventTimeTimeout)
+        state.update((_packed(held.loc[left, ["key", *names]]),))
+        state.setTimeoutTimestamp(max(int(ends[left].min()), now + 1))
+
+    held = folded.withWatermark("at", f"{wait} milliseconds").groupBy("bucket").applyInPandasWithState(
+        newest, "change string", "held binary", "update", GroupStateTimeout.EventTimeTimeout)
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
@@ -93,10 +108,22 @@ def stream_latest(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     return writer.start()
 
 
-def _millis(place: int, kind: T.DataType) -> int:
+def _millis(place: pd.Series, kind: T.DataType) -> pd.Series:
     return place * 86_400_000 if isinstance(kind, T.DateType) else place // 1000
 
 
+def _packed(held: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(held, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(held)).read_pandas().assign(change=None)
+
+
 def apply_stream(spark: SparkSession, current: DataFrame, out: str, changes_schema: T.StructType,
                  keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``current`` with the latest change of each key that :func:`stream_latest` has written to ``out``."""

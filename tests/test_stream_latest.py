@@ -61,3 +61,20 @@ def test_order_must_be_comparable(spark, tmp_path):
     for order in (["no"], ["at", "v"]):
         with pytest.raises(ValueError):
             stream_latest(stream.withColumn("n", F.lit(1)), ["k"], order, "x", "y", timedelta(1))
+
+
+def test_many_keys_share_few_states(spark, tmp_path, monkeypatch):
+    """Python is called per bucket of keys, not per key, and a bucket drops only those of its keys whose time is up."""
+    monkeypatch.setattr("rowferry.streaming.latest.BUCKETS", 2)
+    folder, out, offsets = (str(tmp_path / x) for x in ("in", "out", "offsets"))
+    day = [datetime(2024, 1, d) for d in range(1, 29)]
+    for rows in ([(k, day[0], k, "first", 0, 0.0) for k in range(500)], [(k, day[9], 1, "later", 0, 0.0) for k in range(0, 500, 2)],
+                 [(1000, day[10], 1, "moves the watermark", 0, 0.0)],
+                 [(1, day[1], 1, "late", 0, 0.0), (2, day[9], 1, "again", 0, 0.0), (4, day[9], 2, "newer", 0, 0.0)]):
+        lot(spark, folder, rows)
+        q = run(spark, folder, out, offsets, timedelta(days=2))
+    left = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert left[-1] == 2
+    written = spark.read.schema(CHANGES).parquet(f"{out}/batch=*")
+    assert written.groupBy("v").count().rdd.map(tuple).collectAsMap() == {
+        "first": 500, "later": 250, "moves the watermark": 1, "newer": 1}
