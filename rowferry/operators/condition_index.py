@@ -20,16 +20,21 @@ The rows are scanned once, repeated for their keys (one per column looked up by
 value, ``LEVELS + 1`` per ordered one; most meet no entry), and not shuffled while the index is small enough to be broadcast (its size is measured).
 Beyond that the join shuffles on the key and Spark divides hot keys of the rows.
 
+Totals need no pair where an interval of one column decides alone: the rows are
+summed along that column once, and a destination gets the difference of the sums
+at its two bounds. What an ``any`` found by value before is taken off again.
+
 Comparison is loose, as in :mod:`rowferry.operators.predicates`; the one
 difference is that whole numbers beyond 2**53 are ordered as doubles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,17 +72,24 @@ def condition_lines(spark: SparkSession, destinations: Sequence[DestinationSpec]
 
 @dataclass(frozen=True)
 class ConditionIndex:
-    """``entries``: key, destination_id, must (all of which hold), unless (none of which holds).
+    """``wanted``: destination_id, must (all of which hold), unless (none of which holds).
 
     ``columns`` are those that conditions look at, in the order of their
-    numbers; ``equal`` and ``cuts`` tell which of them rows are looked up by.
+    numbers; ``equal`` and ``cuts`` tell which of them rows are looked up by,
+    ``weights`` how many values each is compared with.
     """
 
-    entries: DataFrame
+    wanted: DataFrame
     destinations: DataFrame
     columns: tuple[str, ...]
     equal: tuple[int, ...]
     cuts: dict[int, tuple[float, ...]]
+    weights: tuple[int, ...]
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """``wanted`` with the keys that each is filed under."""
+        return stage(_access(self.wanted, self.weights, self.cuts), "condition-index")
 
 
 def _bin(number: Column, cuts: Sequence[float]) -> Column:
@@ -150,8 +162,8 @@ def _access(entries: DataFrame, weights: Sequence[int], cuts: dict[int, tuple[fl
     keys = (F.when(by_value, F.array(F.concat(F.lit("e"), (-F.col("eq.i")).cast("string"), F.lit(":"), F.col("eq.text"))))
             .when(F.col("by").isNotNull(), ranges).otherwise(F.array(F.lit(EVERY))))
     left = F.filter("must", lambda c: ~((c["operator"] == "=") & (c["idx"] == -F.col("eq.i")) & (c["text"] == F.col("eq.text"))))
-    return rows.select(F.explode(keys).alias("key"), "destination_id",
-                       F.when(by_value, left).otherwise(F.col("must")).alias("must"), "unless")
+    return rows.select(F.explode(keys).alias("key"), F.when(by_value, left).otherwise(F.col("must")).alias("must"),
+                       *[c for c in entries.columns if c != "must"])
 
 
 def condition_index(combined: Combined, lines: DataFrame) -> ConditionIndex:
@@ -207,9 +219,9 @@ def condition_index(combined: Combined, lines: DataFrame) -> ConditionIndex:
         "destination_id", F.when(F.col("always"), none).otherwise(F.col("tests")).alias("must"), none.alias("unless"))
     each = per.where("any and not always").select("destination_id", "tests", F.posexplode("tests").alias("at", "test")).select(
         "destination_id", F.array("test").alias("must"), F.expr("slice(tests, 1, at)").alias("unless"))
-    filed = _access(whole.unionByName(each), [used[n]["values"] for n in columns] or [0], cuts)
     equal = tuple(i for n, i in number_by_name.items() if used[n]["values"])
-    return ConditionIndex(stage(filed, "condition-index"), lines.select("destination_id").distinct(), columns, equal, cuts)
+    return ConditionIndex(stage(whole.unionByName(each), "condition-sets"), lines.select("destination_id").distinct(),
+                          columns, equal, cuts, tuple(used[n]["values"] for n in columns) or (0,))
 
 
 def _row_ranges(column: int, finest: Column) -> Column:
@@ -229,8 +241,14 @@ def _holds(test: Column) -> Column:
         .when(op == "<", number < bound).when(op == "<=", number <= bound), F.lit(False))
 
 
-def _looked_up(combined: Combined, index: ConditionIndex) -> list[Column]:
-    """What a row is looked up and tested by; evaluated on source columns."""
+def _looked_up(combined: Combined, index: ConditionIndex, used: Collection[str] | None = None) -> list[Column]:
+    """What a row is looked up and tested by; evaluated on source columns.
+
+    ``used`` are the beginnings of keys that anything is filed under, if known.
+    """
+    def wanted(begin: str) -> bool:
+        return used is None or begin in used
+
     types = {f.name: f.dataType for f in combined.df.schema.fields}
     texts, numbers = [], []
     for name in index.columns:
@@ -238,18 +256,19 @@ def _looked_up(combined: Combined, index: ConditionIndex) -> list[Column]:
         number, here = number_of(c, types[name]), combined.present.get(name)
         texts.append(text_of(c, types[name]))
         numbers.append(number if here is None else F.when(here, number))
-    keys = [F.concat(F.lit(f"e{i}:"), texts[i]) for i in index.equal]
-    ranges = [_row_ranges(i, _bin(numbers[i], cuts)) for i, cuts in index.cuts.items()]
+    keys = [F.concat(F.lit(f"e{i}:"), texts[i]) for i in index.equal if wanted(f"e{i}")]
+    keys += [F.lit(EVERY)] if wanted(EVERY) else []
+    ranges = [_row_ranges(i, _bin(numbers[i], cuts)) for i, cuts in index.cuts.items() if wanted(f"r{i}")]
     return [F.array(*[t.cast("string") for t in texts]).cast("array<string>").alias("__texts"),
             F.array(*numbers).cast("array<double>").alias("__numbers"),
-            F.array_compact(F.concat(F.array(*keys, F.lit(EVERY)), *ranges)).alias("__keys")]
+            F.array_compact(F.concat(F.array(*keys).cast("array<string>"), *ranges)).alias("__keys")]
 
 
-def _met(rows: DataFrame, index: ConditionIndex) -> DataFrame:
-    """``rows`` once per destination that wants them."""
+def _met(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """``rows`` once per entry that wants them."""
     keyed = rows.withColumn("__key", F.explode("__keys")).drop("__keys")
-    entries = index.entries.select(F.col("key").alias("__key"), F.col("destination_id").alias("__destination"),
-                                   F.col("must").alias("__must"), F.col("unless").alias("__unless"))
+    named = {"key": "__key", "destination_id": "__destination", "must": "__must", "unless": "__unless"}
+    entries = entries.withColumnsRenamed(named)
     pairs = keyed.join(broadcast_if_small(entries), "__key", "inner")
     return pairs.where(F.forall("__must", _holds) & ~F.exists("__unless", _holds)).drop(
         "__key", "__must", "__unless", "__texts", "__numbers")
@@ -262,21 +281,105 @@ def indexed_rows(combined: Combined, mappings: Sequence[Mapping], index: Conditi
     The rows of ``fanout_rows`` without those of the primary target.
     """
     rows = combined.df.select(*mapping_columns(combined.df, mappings), *carry, *_looked_up(combined, index))
-    met = _met(rows, index)
+    met = _met(rows, index.entries)
     return met.select(F.col("__destination").alias("destination_id"),
                       *[F.col(f"`{c}`") for c in met.columns if c != "__destination"])
 
 
+#: What is left of an ordering when it must not hold; beside a number either it or its opposite holds.
+OPPOSITE = {">": "<=", ">=": "<", "<": ">=", "<=": ">"}
+
+
+def _intervals(wanted: DataFrame) -> DataFrame:
+    """``wanted`` with ``by``, the column an entry wants an interval of, if it wants nothing else.
+
+    Such an entry may leave out rows found by value (``unless`` of ``=``). Where
+    it leaves out rows by an ordering of its own column, that becomes a bound.
+    """
+    by = F.get("must", F.lit(0))["idx"]
+    opposite = F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair])
+
+    def ordering(c: Column) -> Column:
+        return (c["idx"] == F.col("by")) & c["operator"].isin(*OPPOSITE)
+
+    turned = F.transform(F.filter("unless", ordering), lambda c: F.struct(
+        c["idx"].alias("idx"), opposite[c["operator"]].alias("operator"), c["text"].alias("text"), c["num"].alias("num")))
+    alone = (F.size("must") > 0) & F.forall("must", ordering) & F.forall(
+        "unless", lambda c: ordering(c) | (c["operator"] == "="))
+    found = wanted.withColumn("by", by).withColumn("alone", F.coalesce(alone, F.lit(False)))
+    return found.select(
+        "destination_id", F.when(F.col("alone"), F.concat("must", turned)).otherwise(F.col("must")).alias("must"),
+        F.when(F.col("alone"), F.filter("unless", lambda c: ~ordering(c))).otherwise(F.col("unless")).alias("unless"),
+        F.when(F.col("alone"), F.col("by")).alias("by"))
+
+
+def _sums_between(rows: DataFrame, intervals: DataFrame, columns: Sequence[int]) -> DataFrame:
+    """``destination_id, records, bytes`` of intervals from sums along each column, without a pair of row and interval."""
+    each = F.filter(F.array(*[F.struct(F.lit(i).alias("by"), (F.get("__numbers", F.lit(i)) + F.lit(0.0)).alias("at")) for i in columns]),
+                    lambda p: p["at"].isNotNull())
+    points = rows.select(F.inline(each), "__bytes").groupBy("by", "at").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("__bytes").alias("bytes"))
+    # A bound stands before or behind the rows of its value.
+    side = F.when(F.col("t.operator").isin(">=", "<"), F.lit(-1)).otherwise(F.lit(1))
+    lower = F.col("t.operator").isin(*LOWER_BOUNDS)
+    number = intervals.select(F.monotonically_increasing_id().alias("entry"), "destination_id", "by", "must")
+    number = stage(number, "intervals")
+    bounds = number.select("entry", "by", F.explode("must").alias("t")).select(
+        "entry", "by", (F.col("t.num") + F.lit(0.0)).alias("at"), side.alias("side"), lower.alias("lower"))
+    none = F.lit(0).cast("bigint")
+    line = points.select("by", "at", F.lit(0).alias("side"), "records", "bytes", F.lit(None).cast("bigint").alias("entry"),
+                         F.lit(None).cast("boolean").alias("lower")).unionByName(
+        bounds.select("by", "at", "side", none.alias("records"), none.alias("bytes"), "entry", "lower"))
+    # Stretches of the line, each summed in a task of its own, and what comes before each.
+    line = stage(line.repartitionByRange("by", "at").withColumn("part", F.spark_partition_id()), "line")
+    parts = line.groupBy("by", "part").agg(F.sum("records").alias("r"), F.sum("bytes").alias("b"))
+    before = Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("by", "part", *[F.coalesce(F.sum(c).over(before), none).alias(c) for c in ("r", "b")])
+    along = Window.partitionBy("by", "part").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    summed = line.select("by", "part", "entry", "lower", *[F.sum(c).over(along).alias(c) for c in ("records", "bytes")])
+    placed = summed.where("entry is not null").join(F.broadcast(parts), ["by", "part"]).select(
+        "by", "entry", "lower", (F.col("records") + F.col("r")).alias("records"), (F.col("bytes") + F.col("b")).alias("bytes"))
+    whole = line.groupBy("by").agg(F.sum("records").alias("r"), F.sum("bytes").alias("b"))
+    # The highest lower bound and the lowest upper one; sums never fall along the line, so each column's extreme is theirs.
+    ends = placed.groupBy("entry", "by").agg(*[
+        f(F.when(F.col("lower") == low, F.col(c))).alias(f"{c}{int(low)}")
+        for c in ("records", "bytes") for f, low in ((F.max, True), (F.min, False))])
+    inside = [F.greatest(F.coalesce(f"{c}0", t) - F.coalesce(f"{c}1", none), none).alias(c) for c, t in (("records", "r"), ("bytes", "b"))]
+    sums = ends.join(F.broadcast(whole), "by").select("entry", *inside)
+    return number.select("entry", "destination_id").join(sums, "entry").drop("entry")
+
+
 def indexed_summary(combined: Combined, mappings: Sequence[Mapping], index: ConditionIndex) -> DataFrame:
     """Rows and bytes of the primary target and of each destination, none left out.
 
     The result of ``fanout_summary``, as a shuffle of one partial sum per task
-    and destination in place of a row as wide as there are destinations.
+    and destination in place of a row as wide as there are destinations. Entries
+    that are one interval, or want every row, meet no rows one by one.
     """
-    rows = mapped_with_bytes(combined, mappings, _looked_up(combined, index))
+    wanted = _intervals(index.wanted)
+    every = (F.size("must") == 0) & (F.size("unless") == 0)
+    spans = wanted.where("by is not null")
+    # Rows of an interval that it leaves out as found by value are counted by pairs, and taken off.
+    off = spans.select("destination_id", "must", "unless", F.posexplode("unless").alias("at", "test")).select(
+        "destination_id", F.concat("must", F.array("test")).alias("must"), F.expr("slice(unless, 1, at)").alias("unless"))
+    rest = wanted.where(F.col("by").isNull() & ~every).select("destination_id", "must", "unless")
+    filed = stage(_access(rest.withColumn("sign", F.lit(1)).unionByName(off.withColumn("sign", F.lit(-1))),
+                          index.weights, index.cuts), "condition-index")
+    # Rows are only looked up by what is filed there.
+    used = {r.k for r in filed.select(F.split("key", ":")[0].alias("k")).distinct().collect()}
+    rows = mapped_with_bytes(combined, mappings, _looked_up(combined, index, used))
     totals = [F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("__bytes"), F.lit(0)).alias("bytes")]
     primary = rows.agg(*totals).select(F.lit(PRIMARY).alias("destination_id"), "records", "bytes")
-    sums = _met(rows.select("__texts", "__numbers", "__keys", "__bytes"), index).groupBy("__destination").agg(*totals)
+    met = _met(rows.select("__texts", "__numbers", "__keys", "__bytes"), filed)
+    signed = [F.sum("sign").alias("records"), F.sum(F.col("sign") * F.col("__bytes")).alias("bytes")]
+    sums = met.groupBy("__destination").agg(*signed).select(F.col("__destination").alias("destination_id"), "records", "bytes")
+    columns = sorted(r.by for r in spans.select("by").distinct().collect())
+    if columns:
+        sums = sums.unionByName(_sums_between(rows.select("__numbers", "__bytes"), spans, columns))
+    sums = sums.unionByName(wanted.where(every).select("destination_id").crossJoin(
+        F.broadcast(primary.select("records", "bytes"))))
+    sums = sums.groupBy(F.col("destination_id").alias("__destination")).agg(
+        F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
     named = index.destinations.join(sums, F.col("destination_id") == F.col("__destination"), "left").select(
         "destination_id", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
     return primary.unionByName(named)

@@ -89,3 +89,27 @@ def test_five_thousand_destinations(spark):
         if n:
             want[f"d{i}"] = n
     assert got == want
+
+
+def test_totals_of_intervals_meet_no_rows(spark, monkeypatch):
+    """Intervals are settled by sums along their column; only what is found by value is still paired."""
+    from rowferry.operators import condition_index as C
+
+    met, real = [], C._met
+
+    def counted(rows, entries):
+        met.append(sorted({r.key.split(":")[0] for r in entries.select("key").distinct().collect()}))
+        return real(rows, entries)
+
+    monkeypatch.setattr(C, "_met", counted)
+    rows = Combined(spark.createDataFrame(
+        [(i, None if i % 9 == 0 else float("nan") if i % 8 == 0 else -0.0 if i % 7 == 0 else i % 40 / 4, f"t{i % 5}") for i in range(200)],
+        "id int, d double, t string"))
+    above, below = (lambda v: Condition("d", ">", v)), (lambda v: Condition("d", "<=", v))
+    destinations = [DestinationSpec("all"), DestinationSpec("empty", None, (above("7"), below("3")))]
+    destinations += [DestinationSpec(f"in{i}", None, (Condition("d", ">=", str(i / 2)), Condition("d", "<", str(i / 2 + 2)))) for i in range(-2, 20)]
+    destinations += [DestinationSpec(f"or{i}", None, (Condition("t", "=", f"t{i}"), above(str(i)), below("0"), above("9")), "any") for i in range(8)]
+    index = condition_index(rows, condition_lines(spark, destinations))
+    got = sorted(map(tuple, indexed_summary(rows, MAPPINGS[:1], index).collect()))
+    assert got == sorted(map(tuple, fanout_summary(rows, MAPPINGS[:1], destinations).collect()))
+    assert met == [["e1"]]
