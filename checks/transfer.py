@@ -506,39 +506,62 @@ def csv_text_roundtrip(t):
 
 @query(r"SELECT cast(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(text, '^[\x00-\x20]+', ''), '[\x00-\x20]+$', '') AS text, lang, source FROM documents")
 def csv_ranges(t):
-    """One CSV file of whole texts, read by a task per megabyte; cells with line breaks cross the borders."""
+    """CSV files of whole texts, each read by a task per megabyte; cells with line breaks cross the borders."""
     target = scratch_target(t.spark, "documents.csv")
-    write(t.documents.select("doc_id", "text", "lang", "source").coalesce(1), target)
+    texts = t.documents.select("doc_id", "text", "lang", "source")
+    write(_dealt(texts, _files_for(texts), "doc_id").drop("part"), target)
     return csv_table(t.spark, file_uri(target.connector, target.table), range_bytes=1 << 20)
 
 
+#: A file is written by one task, so whole tables become files of about this size.
+FILE_BYTES = 64 << 20
+
+
+def _files_for(rows) -> int:
+    """How many files of :data:`FILE_BYTES` the values of ``rows`` fill."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(0))
+    return 1 + (rows.agg(F.sum(width).alias("n")).first().n or 0) // FILE_BYTES
+
+
+def _dealt(rows, files: int, key: str):
+    """``rows`` with the number of the file (``part``) that each is dealt to, one task a file."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int")
+    return rows.withColumn("part", part).repartitionById(files, "part").sortWithinPartitions(key)
+
+
+def _array_files(records, key: str, glue: str = ""):
+    """The lines of files with one array each from ``records`` (``key``, ``value``): what stands before a record opens
+    the array or parts it from the one before, the last line of a file ends it."""
+    files = _files_for(records)
+    part = F.pmod(F.xxhash64(key, "value"), F.lit(files)).cast("int")
+    ends = records.sparkSession.range(files).select(
+        F.lit(1).alias("end"), F.lit(None).cast("bigint").alias(key), F.lit("]").alias("value"), F.col("id").cast("int").alias("part"))
+    lines = records.select(F.lit(0).alias("end"), key, "value", part.alias("part")).union(ends)
+    lines = lines.repartitionById(files, "part").sortWithinPartitions("end", key)
+    # Numbers of rows begin anew, from 0 in their lower 33 bits, in each task and so in each file.
+    opens = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    before = F.when(opens, F.lit("[" + glue)).when(F.col("end") == 0, F.lit("," + glue)).otherwise(F.lit(""))
+    return lines.select(F.concat(before, "value").alias("value"))
+
+
 @query("SELECT doc_id, text, lang FROM documents")
 def json_array_ranges(t):
-    """One array in one line of one file, its elements cut out by a task per megabyte."""
+    """Arrays that each stand in one line of one file, their elements cut out by a task per megabyte."""
     place = scratch_path(t.spark, "array") + ".json"
-    records = t.documents.select(F.to_json(F.struct("doc_id", "text", "lang")).alias("value")).coalesce(1)
-    first = t.documents.agg(F.min("doc_id")).scalar()
-    open_ = F.when(F.get_json_object("value", "$.doc_id").cast("long") == first, "[").otherwise(",")
-    rows = records.sortWithinPartitions(F.get_json_object("value", "$.doc_id").cast("long")).select(
-        F.concat(open_, "value").alias("value"))
-    rows.union(t.spark.createDataFrame([("]",)], "value string")).coalesce(1).write.option("lineSep", " ").text(place)
+    records = t.documents.select("doc_id", F.to_json(F.struct("doc_id", "text", "lang")).alias("value"))
+    _array_files(records, "doc_id").write.option("lineSep", " ").text(place)
     return read_json(t.spark, json_array_lines(t.spark, place, range_bytes=1 << 20), lines=True)
 
 
 @query("SELECT doc_id, text, lang FROM documents UNION ALL SELECT doc_id, text, lang FROM documents")
 def json_array_roundtrip(t):
-    """One array file beside JSON Lines parts in a folder; both are read whole."""
+    """Files of one array each beside JSON Lines parts in a folder; all are read whole."""
     target = scratch_target(t.spark, "documents.json")
     cols = ["doc_id", "text", "lang"]
     run_sync(t.documents, [Mapping(c, c) for c in cols], target)
-    rows = t.documents.select(F.to_json(F.struct(*cols)).alias("j"), F.col("doc_id").alias("i")).coalesce(1)
-    # An array over many lines: what stands before each record opens it or parts it from the one before.
-    first = t.documents.agg(F.min("doc_id")).scalar()
-    text = rows.sortWithinPartitions("i").select(
-        F.concat(F.when(F.col("i") == first, "[\n").otherwise(",\n"), "j").alias("value"))
-    end = t.spark.createDataFrame([("]",)], "value string")
-    path = file_uri(target.connector, target.table)
-    text.union(end).coalesce(1).write.mode("append").text(path)
+    records = t.documents.select("doc_id", F.to_json(F.struct(*cols)).alias("value"))
+    # Arrays over many lines.
+    _array_files(records, "doc_id", "\n").write.mode("append").text(file_uri(target.connector, target.table))
     return read(t.spark, target.connector, target.table, cols)
 
 
