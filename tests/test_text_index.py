@@ -47,3 +47,28 @@ def test_empty_batch(spark, log, tmp_path):
     index_batch(df.where("id = 400"), place, 0)
     index_batch(df.limit(0), place, 1)
     assert [r.id for r in search_index(spark, place, "needle").collect()] == [400]
+
+
+@pytest.mark.parametrize("held", [1, 40, 4_000_000])
+def test_bitmaps_are_made_from_columns(monkeypatch, held):
+    """Every trigram's entries, whatever a task holds at once; none runs over the border of two texts."""
+    import pyarrow as pa
+
+    from rowferry.operators import text_index as X
+
+    monkeypatch.setattr(X, "HELD", held)
+    monkeypatch.setattr(X, "AT_ONCE", 2)
+    texts = ["", "ab", "abc", "😀bcabc", "aaaa", "ß\nabc"] * 7
+    rows = [("d1" if i < 20 else "d2", 32_760 + i, t) for i, t in enumerate(texts)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))]
+    batch = pa.RecordBatch.from_arrays(columns, ["log_day", "log_no", "text"])
+    got = {}
+    for out in X._posted([batch.slice(0, 13), batch.slice(13), batch.slice(0, 0)]):
+        for r in out.to_pylist():
+            bits = {8 * i + k for i, b in enumerate(r["bits"]) for k in range(8) if b >> k & 1}
+            got.setdefault((r["log_day"], r["gram"], r["bucket"]), set()).update(bits)
+    want = {}
+    for day, no, t in rows:
+        for i in range(len(t) - 2):
+            want.setdefault((day, t[i:i + 3], 1 + (no - 1) // 32_768), set()).add((no - 1) % 32_768)
+    assert got == want
