@@ -147,3 +147,26 @@ def test_normalised_names_leave_out_every_blank(spark):
                                       0x205F, 0x3000, 0xFEFF))
     df = spark.createDataFrame([("A" + blanks + "_-b",)], "n string")
     assert df.select(S.normalized(F.col("n")).alias("n")).first().n == "ab"
+
+
+def test_lambdas_neither_normalise_nor_classify(spark):
+    """Lambdas and what collect_list is given are interpreted: 20 searches of a type's name there took most of the time."""
+    source, target = catalog(spark, [("a", "int")]), catalog(spark, [("b", "int")])
+    for found in (S.match_schemas(source, target), S.best_candidates(source, target)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # A blank in the list of separators breaks its line in two.
+        nodes = plan.replace(S.SEPARATORS, "").split("\n")
+        slow = [n for n in nodes if "lambdafunction(" in n or "collect_list(" in n]
+        assert slow and not [n for n in slow if "translate(" in n or "Contains(" in n or "StartsWith(" in n]
+        assert any("translate(" in n for n in nodes) and any("Contains(" in n for n in nodes)
+
+
+def test_repeated_and_missing_names(spark):
+    """Names alike once normalised are paired in order, the rest fall to the fold; a column listed twice counts once."""
+    source = catalog(spark, [("a_b", "int"), (None, "int"), ("A B", "text"), ("a_b", "date"), ("ab", None), ("AB_", "int")])
+    target = catalog(spark, [("zz", "int"), ("AB", "int"), (None, "text"), ("a-b", "bigint"), ("abx", "int"), ("AB", "int")])
+    assert pairs(S.match_schemas(source, target)) == [("A B", "a-b", 0.75), ("a_b", "AB", 0.99), ("ab", "abx", 0.5)]
+    got = S.match_schemas(source, target).orderBy("source_ordinal").collect()
+    assert [(r.source_ordinal, r.source_col, r.warning) for r in got][0] == (0, "a_b", None)
+    best = sorted((r.source_col, r.target_col, r.score) for r in S.best_candidates(source, target).collect())
+    assert best == [("A B", "AB", 0.75), ("AB_", "AB", 1.0), ("a_b", "AB", 1.0), ("ab", "AB", 0.75)]
